@@ -9,7 +9,11 @@ QUERIES = {
     "op3_decontamination": "decontaminate",
     "op4_mixing": "mixing",
     "op6_quality_rules": "quality_rules",
+    "op2_language_id": "language_id",
+    "op5_license_scan": "licenses",
+    "op7_substring_dedup": "substring_dedup",
     "op8_url_filters": "url_filters",
+    "op9_quality_classifier": "quality_classifier",
 }
 
 
