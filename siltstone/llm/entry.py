@@ -14,6 +14,7 @@ QUERIES = {
     "op7_substring_dedup": "substring_dedup",
     "op8_url_filters": "url_filters",
     "op9_quality_classifier": "quality_classifier",
+    "op10_jaccard_join": "jaccard_join",
 }
 
 
