@@ -9,6 +9,7 @@ QUERIES = {
     "op3_decontamination": "decontaminate",
     "op4_mixing": "mixing",
     "op6_quality_rules": "quality_rules",
+    "op1_lm_scoring": "lm_scoring",
     "op2_language_id": "language_id",
     "op5_license_scan": "licenses",
     "op7_substring_dedup": "substring_dedup",
