@@ -180,4 +180,6 @@ FROM placed p LEFT JOIN took t ON p.doc_id = t.doc_id AND p.source IS NOT DISTIN
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with how often and at what target."""
-    return mix(docs, keep=("text", "lang", "n_chars")).filter("copies > 0").select("doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "copies", "taken")
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
+    taken = mix(rows, keep=("_row",)).filter("copies > 0").select("_row", "size", "source_size", "target", "copies", "taken")
+    return rows.join(taken, "_row").drop("_row")
