@@ -33,7 +33,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    t = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE))
 
 
 def _bucket(*parts: Column) -> Column:
@@ -51,13 +52,14 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("_w", words(F.col(text)))
     w, n = F.col("_w"), F.size("_w")
-    # slice() copies its whole input, get() doesn't: a window is put together from single words.
-    window = lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(WINDOW)))
-    df = df.withColumn("_win", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(F.array().cast("array<string>")))
+    # slice() copies its whole input, get() doesn't. Hashes tell which texts can repeat a window at
+    # all; in those the windows themselves are put together and sorted.
+    five = lambda i: [F.get(w, i + j) for j in range(WINDOW)]
+    starts = F.sequence(F.lit(0), n - WINDOW)
+    df = df.withColumn("_hashes", F.when(n >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*five(i)))))
+    pairs = F.array_sort(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", *five(i)).alias("s"), i.alias("i"))))
+    df = df.withColumn("_sorted", F.when(F.size("_hashes") > F.size(F.array_distinct("_hashes")), pairs))
     df = df.withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    # Only texts that repeat a window at all are sorted to find which.
-    pairs = F.array_sort(F.transform(F.col("_win"), lambda s, i: F.struct(s.alias("s"), i.alias("i"))))
-    df = df.withColumn("_sorted", F.when(F.size("_win") > F.size(F.array_distinct("_win")), pairs))
     s = F.col("_sorted")
     near = lambda x, i, d: (F.get(s, i + d)["s"] == x["s"])
     hit = F.filter(s, lambda x, i: F.coalesce(near(x, i, 1), F.lit(False)) | (F.when(i > 0, F.coalesce(near(x, i, -1), F.lit(False))).otherwise(F.lit(False))))
@@ -66,7 +68,7 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     cover = F.aggregate(F.transform(at, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at, i + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
     return df.withColumns({
         "n_words": n.cast("long"),
-        "word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.coalesce(cover, F.lit(0)).cast("long"),
@@ -79,7 +81,8 @@ def ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str
     # The words are a column of their own: inside a lambda an expression would run for every element.
     grams = lambda df: df.select(words(F.col(text)).alias("_w")).select(F.explode(_grams(F.col("_w"))).alias("b"))
     raw = grams(docs).groupBy("b").agg(F.count("*").alias("c"))
-    marked = docs.join(good, docs[doc_id] == good["_good"], "left_semi")
+    # Always merged: the labels grow with the documents, so neither side may be broadcast.
+    marked = docs.join(good.hint("merge"), docs[doc_id] == good["_good"], "left_semi")
     target = grams(marked).groupBy("b").agg(F.count("*").alias("t"))
     spark = docs.sparkSession
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
