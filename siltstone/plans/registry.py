@@ -1,11 +1,280 @@
-"""Queries over the driver's tables, with the SQL that must give the same rows."""
+"""Queries over the driver's tables, with the SQL that must give the same rows.
+
+The tables hold no media, so byte payloads are the UTF-8 texts, 64-bit hashes are sign bits of
+``embeddings``, and signals are generated from row numbers by formulas that SQL can repeat.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.functions import chunking, raster, text, u64
+from siltstone.operators import calibrate as cal
+from siltstone.operators import dedup, matching
+from siltstone.runtime import materialise, table
+from siltstone.sources import detect as sniff
+
+GAP = "[\\x09-\\x0D\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+CANON = f"(regexp_replace(lower(nfc_normalize(text)), '{GAP}$', '') || chr(10))"
+WORDS = f"list_filter(regexp_split_to_array({CANON}, '{GAP}'), lambda w: w <> '')"
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents")
+
+
+def _canon(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", text.canonicalize("text").alias("canon"))
+
+
+def text_content_hash(spark, sf):
+    return _canon(spark, sf).select("doc_id", F.sha2(F.encode("canon", "UTF-8"), 256).alias("tier1"))
+
+
+def exact_groups(spark, sf):
+    g = text_content_hash(spark, sf).groupBy("tier1").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    return g.filter("n > 1")
+
+
+def text_facts(spark, sf):
+    return _canon(spark, sf).select("doc_id", F.size(text.words(F.col("canon"))).cast("long").alias("words"), F.octet_length("canon").cast("long").alias("canonical_bytes"))
+
+
+def shingle_counts(spark, sf):
+    w = _canon(spark, sf).select("doc_id", text.words(F.col("canon")).alias("w"))
+    k = F.least(F.lit(text.SHINGLE_WORDS), F.size("w"))
+    n = F.size("w") - k + 1
+    grams = F.when(k > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat_ws(" ", *(F.get(F.col("w"), i + j) for j in range(text.SHINGLE_WORDS)))))
+    s = w.select("doc_id", F.coalesce(grams, F.array().cast("array<string>")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("shingles"), F.size(F.array_distinct("s")).cast("long").alias("distinct_shingles"))
+
+
+def text_near_duplicates(spark, sf):
+    _, _, sigs = dedup.text_signatures(_docs(spark, sf))
+    return matching.text_pairs(sigs)
+
+
+def text_dedup(spark, sf):
+    return dedup.text_dedup(_docs(spark, sf)).withColumnRenamed("id", "doc_id")
+
+
+def dedup_report(spark, sf):
+    return dedup.report(dedup.text_dedup(_docs(spark, sf)))
+
+
+def lsh_candidates(spark, sf):
+    _, _, sigs = dedup.text_signatures(_docs(spark, sf))
+    return matching.lsh_candidates(sigs.filter("id % 50 = 0"), sigs)
+
+
+def binary_dedup(spark, sf):
+    return dedup.binary_dedup(_docs(spark, sf).select("doc_id", F.encode("text", "UTF-8").alias("content"))).withColumnRenamed("id", "doc_id")
+
+
+def cdc_chunks(spark, sf):
+    c = _docs(spark, sf).select("doc_id", F.explode(chunking.fastcdc(F.encode("text", "UTF-8"))).alias("c"))
+    return c.select("doc_id", "c.offset", "c.length", u64.hex64(F.col("c.hash")).alias("hash"))
+
+
+def checksums(spark, sf):
+    b = F.encode("text", "UTF-8")
+    return _docs(spark, sf).select("doc_id", u64.sha256(b).alias("sha256"), F.md5(b).alias("md5"), F.sha1(b).alias("sha1"), F.octet_length(b).cast("long").alias("bytes"))
+
+
+def checksums_more(spark, sf):
+    b = F.encode("text", "UTF-8")
+    return _docs(spark, sf).select("doc_id", u64.crc32(b).alias("crc32"), u64.adler32(b).alias("adler32"), u64.hex64(u64.fnv1a64(b)).alias("fnv1a64"))
+
+
+#: Byte prefixes put before each text, so that every rule of the sniffer has rows.
+HEADS = ("", "89504E470D0A1A0A", "FFD8FF", "424D", "47494638", "5249464600000000574156", "524946460000000057415645", "664C6143", "494433", "FFFB", "FFFE", "FFFF", "FFE9", "FFF9", "0000000066747970", "255044462D", "504B", "C328")
+
+
+def detect(spark, sf):
+    head = F.element_at(F.array(*(F.unhex(F.lit(h)) for h in HEADS)), F.pmod("doc_id", F.lit(len(HEADS))).cast("int") + 1)
+    d = sniff.detect(F.concat(head, F.encode("text", "UTF-8")))
+    return _docs(spark, sf).select("doc_id", d.alias("d")).select("doc_id", "d.format", "d.modality", "d.pending")
+
+
+def _hashes(spark, sf):
+    """64 sign bits of each vector: the first component is the highest bit."""
+    e = table(spark, sf, "embeddings")
+    cols = e.columns
+    vec = next(c for c, t in e.dtypes if t.startswith("array"))
+    bits = F.transform(F.slice(vec, 1, 64), lambda v: F.when(v > 0, "1").otherwise("0"))
+    return e.select(F.col(cols[0]).alias("id"), F.array_join(bits, "").alias("bits"), vec)
+
+
+def _with_hash(spark, sf):
+    b = _hashes(spark, sf)
+    half = lambda a: F.conv(F.substring("bits", a, 32), 2, 10).cast("long")
+    return b.select("id", F.shiftleft(half(1), 32).bitwiseOR(half(33)).alias("hash"))
+
+
+RADIUS = 14
+
+
+def hamming_search(spark, sf):
+    h = materialise(_with_hash(spark, sf), "hashes")
+    return matching.hamming_search(h.filter("id % 50 = 0"), h, RADIUS)
+
+
+def hash_hex(spark, sf):
+    return _with_hash(spark, sf).select("id", u64.hex64(F.col("hash")).alias("hex"), F.bit_count("hash").cast("long").alias("bits"))
+
+
+def _labelled(spark, sf):
+    """Neighbouring rows of labels as pairs: the distance mixes sizes and toxicity, same means equal quality."""
+    l = table(spark, sf, "labels")
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    x = l.join(d, "doc_id").select("doc_id", "n_chars", "quality", "toxic")
+    return x.filter("quality IS NOT NULL").select((F.col("n_chars") % 23 + 5 * F.col("toxic")).cast("long").alias("distance"), (F.col("quality") == 1).alias("same"))
+
+
+def calibrate_dedup(spark, sf):
+    return cal.calibrate(_labelled(spark, sf), "dedup")
+
+
+def calibrate_search(spark, sf):
+    return cal.calibrate(_labelled(spark, sf), "search")
+
+
+def evaluate(spark, sf):
+    return cal.evaluate(_labelled(spark, sf), 11)
+
+
+def _peaks(spark, sf):
+    """Landmarks from events' stand-in: line items as (item, time, band)."""
+    l = table(spark, sf, "lineitem")
+    return l.select((F.col("l_suppkey") % 40).alias("id"), (F.col("l_orderkey") % 97).cast("int").alias("t"), (F.col("l_partkey") % 59).cast("int").alias("f"))
+
+
+def audio_votes(spark, sf):
+    p = _peaks(spark, sf).distinct()
+    return matching.audio_votes(p.filter("id % 4 = 0"), p)
+
+
+def audio_fingerprint(spark, sf):
+    first = _peaks(spark, sf).groupBy("id", "t").agg(F.min("f").alias("f"))
+    return first.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, f % 64)")).alias("x")).select("id", u64.hex64(F.col("x")).alias("fingerprint"))
+
+
+def video_slots(spark, sf):
+    """The first frame of every half second, frames in order of presentation time."""
+    from siltstone.functions import video
+
+    l = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 40).alias("id"), ((F.col("l_orderkey") % 5000) - 100).cast("long").alias("pts"), (F.col("l_linenumber") + 10 * F.col("l_partkey")).cast("long").alias("frame"))
+    return video.sample(l, "id", "pts", "frame", timescale=600).select("id", "slot", "pts", "frame")
+
+
+def luma(spark, sf):
+    p = _pixels(spark, sf)
+    return p.select("x", "y", raster.luma(F.col("r"), F.col("g"), F.col("b")).cast("long").alias("luma"))
+
+
+def _pixels(spark, sf):
+    """A 96 x 64 picture from the part table's keys."""
+    d = table(spark, sf, "part").select(F.col("p_partkey").alias("k")).filter("k < 6144")
+    return d.select((F.col("k") % 96).alias("x"), F.floor(F.col("k") / 96).alias("y"), (F.col("k") * 7 % 256).alias("r"), (F.col("k") * F.col("k") % 256).alias("g"), (F.col("k") * 31 % 251).alias("b"))
+
+
+def to_mono(spark, sf):
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 201 - 100).alias("left"), (F.col("l_suppkey") % 77 - 40).alias("right"))
+    return l.select("l_orderkey", "l_linenumber", F.expr("(left + right) div 2").cast("long").alias("mono"))
+
+
+def median(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity)").cast("double").alias("median"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        text_content_hash, exact_groups, text_facts, shingle_counts, text_near_duplicates, text_dedup, dedup_report, lsh_candidates, binary_dedup, cdc_chunks,
+        checksums, checksums_more, detect, hamming_search, hash_hex, calibrate_dedup, calibrate_search, evaluate, audio_votes, audio_fingerprint, video_slots, luma, to_mono, median,
+    )
+}
+
+_BITS = "(SELECT {id} AS id, list_reduce(list_transform({v}[1:64], lambda x: (x > 0)::UHUGEINT), lambda a, b: a * 2 + b)::UBIGINT AS hash FROM embeddings)".format(id="vec_id", v="embedding")
+_LABELLED = "(SELECT (n_chars % 23 + 5 * toxic)::BIGINT AS distance, quality = 1 AS same FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL)"
+_PEAKS = "(SELECT l_suppkey % 40 AS id, (l_orderkey % 97)::INT AS t, (l_partkey % 59)::INT AS f FROM lineitem)"
+
+
+def _calibrate_sql(profile: str) -> str:
+    b2 = cal.BETA[profile] ** 2
+    order = "tp + fp" if profile == "dedup" else "-(tp + fp)"
+    return f"""
+WITH per AS (SELECT distance, count(*) FILTER (same) AS p, count(*) FILTER (NOT same) AS n FROM {_LABELLED} GROUP BY distance),
+cum AS (
+  SELECT distance, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS pos, sum(n) OVER () AS neg FROM per WINDOW w AS (ORDER BY distance)
+  UNION ALL SELECT NULL, 0, 0, sum(p), sum(n) FROM per
+), rates AS (
+  SELECT *, CASE WHEN tp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr, CASE WHEN tp > 0 THEN tp / pos ELSE 0 END AS re FROM cum
+), scored AS (
+  SELECT *, CASE WHEN tp > 0 THEN (1 + {b2}) * pr * re / ({b2} * pr + re) ELSE 0 END AS score FROM rates
+)
+SELECT distance AS threshold, score::DOUBLE AS score, tp::BIGINT AS true_positives, fp::BIGINT AS false_positives, (pos - tp)::BIGINT AS false_negatives,
+       (neg - fp)::BIGINT AS true_negatives, pr::DOUBLE AS precision, re::DOUBLE AS recall
+FROM scored ORDER BY score DESC, {order} LIMIT 1"""
+
+
+def _detect_sql() -> str:
+    heads = ", ".join(f"'{h}'" for h in HEADS)
+    case = ""
+    for marks, fmt, modality in sniff.SIGNATURES:
+        hit = " AND ".join(f"substr(h, {2 * at + 1}, {len(mark)}) = '{mark}'" for at, mark in marks)
+        if not marks:
+            hit = "substr(h, 1, 6) = '494433' OR (substr(h, 1, 2) = 'FF' AND length(h) >= 4 AND b >= 224 AND b NOT IN (254, 255) AND (b & 24) <> 8 AND (b & 6) <> 0)"
+        case += f" WHEN {hit} THEN '{fmt}:{modality}'"
+    return f"""
+WITH x AS (SELECT doc_id, [{heads}][1 + (doc_id % {len(HEADS)})::INT] AS head, text FROM documents),
+y AS (SELECT doc_id, head, head || hex(encode(text)) AS h FROM x),
+z AS (SELECT doc_id, head, h, CASE WHEN length(h) >= 4 THEN ('0x' || substr(h, 3, 2))::INT ELSE 0 END AS b FROM y),
+k AS (SELECT doc_id, CASE {case} WHEN head IN ('FFFE', 'FFFF', 'FFE9', 'FFF9', 'C328') THEN 'unknown:binary' ELSE 'unknown:text' END AS k FROM z)
+SELECT doc_id, split_part(k, ':', 1) AS format, split_part(k, ':', 2) AS modality, false AS pending FROM k"""
+
+
+SQL = {
+    "text_content_hash": f"SELECT doc_id, sha256({CANON}) AS tier1 FROM documents",
+    "exact_groups": f"SELECT sha256({CANON}) AS tier1, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "text_facts": f"SELECT doc_id, len({WORDS})::BIGINT AS words, strlen({CANON})::BIGINT AS canonical_bytes FROM documents",
+    "shingle_counts": f"""
+WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, len(w) - least({text.SHINGLE_WORDS}, len(w)) + 2), lambda i: array_to_string(w[i:i + {text.SHINGLE_WORDS - 1}], ' ')) END AS s FROM w)
+SELECT doc_id, len(s)::BIGINT AS shingles, len(list_distinct(s))::BIGINT AS distinct_shingles FROM s""",
+    "checksums": "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5, sha1(text) AS sha1, strlen(text)::BIGINT AS bytes FROM documents",
+    "detect": _detect_sql(),
+    "hash_hex": f"SELECT id, lpad(lower(to_hex(hash)), 16, '0') AS hex, bit_count(hash)::BIGINT AS bits FROM {_BITS}",
+    "hamming_search": f"SELECT q.id AS query_id, i.id, bit_count(xor(q.hash, i.hash))::INT AS distance FROM {_BITS} q, {_BITS} i WHERE q.id % 50 = 0 AND bit_count(xor(q.hash, i.hash)) <= {RADIUS}",
+    "calibrate_dedup": _calibrate_sql("dedup"),
+    "calibrate_search": _calibrate_sql("search"),
+    "evaluate": f"""
+WITH c AS (SELECT count(*) FILTER (distance <= 11 AND same) AS tp, count(*) FILTER (distance <= 11 AND NOT same) AS fp, count(*) FILTER (distance > 11 AND same) AS fn,
+  count(*) FILTER (distance > 11 AND NOT same) AS tn, count(*) FILTER (distance IS NULL) AS skipped FROM {_LABELLED}),
+r AS (SELECT *, CASE WHEN tp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM c)
+SELECT *, CASE WHEN tp > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM r""",
+    "audio_votes": f"""
+WITH p AS (SELECT DISTINCT * FROM {_PEAKS}),
+v AS (SELECT q.id AS query_id, s.id, q.t - s.t AS delta, count(*) AS v FROM p q JOIN p s ON q.f = s.f WHERE q.id % 4 = 0 GROUP BY ALL),
+r AS (SELECT *, sum(v) OVER (PARTITION BY query_id, id ORDER BY delta RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS votes, row_number() OVER (PARTITION BY query_id, id ORDER BY v DESC, delta) AS k FROM v)
+SELECT query_id, id, votes::BIGINT AS votes, delta FROM r WHERE k = 1""",
+    "audio_fingerprint": f"""
+WITH f AS (SELECT id, t, min(f) AS f FROM {_PEAKS} GROUP BY ALL)
+SELECT id, lpad(lower(to_hex(bit_or((1::UBIGINT << (f % 64)::UBIGINT)))), 16, '0') AS fingerprint FROM f GROUP BY id""",
+    "video_slots": """
+WITH l AS (SELECT l_suppkey % 40 AS id, ((l_orderkey % 5000) - 100)::BIGINT AS pts, (l_linenumber + 10 * l_partkey)::BIGINT AS frame FROM lineitem),
+s AS (SELECT *, floor(2.0 * pts / 600)::BIGINT AS slot FROM l)
+SELECT id, slot, pts, frame FROM s QUALIFY row_number() OVER (PARTITION BY id, slot ORDER BY pts, frame) = 1""",
+    "luma": "SELECT k % 96 AS x, (k // 96)::BIGINT AS y, ((299 * (k * 7 % 256) + 587 * (k * k % 256) + 114 * (k * 31 % 251) + 500) // 1000)::BIGINT AS luma FROM (SELECT p_partkey AS k FROM part WHERE p_partkey < 6144)",
+    "to_mono": "SELECT l_orderkey, l_linenumber, trunc(((l_partkey % 201 - 100) + (l_suppkey % 77 - 40)) / 2.0)::BIGINT AS mono FROM lineitem",
+    "median": "SELECT l_returnflag, quantile_disc(l_quantity, 0.5)::DOUBLE AS median FROM lineitem GROUP BY 1",
+}
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
