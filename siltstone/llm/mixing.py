@@ -179,7 +179,8 @@ FROM placed p LEFT JOIN took t ON p.doc_id = t.doc_id AND p.source IS NOT DISTIN
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with how often and at what target."""
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
-    taken = mix(rows, keep=("_row",)).filter("copies > 0").select("_row", "size", "source_size", "target", "copies", "taken")
-    return rows.join(taken, "_row").drop("_row")
+    """The documents that the mix takes, with how often and at what target; these columns replace any of their names."""
+    added = ("size", "source_size", "target", "copies", "taken")
+    rows = materialise(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")), "mix-docs")
+    taken = mix(rows.select("_doc.doc_id", "_doc.source", "_doc.text", "_row"), keep=("_row",)).filter("copies > 0").select("_row", *added)
+    return rows.join(taken, "_row").select(*(f"_doc.`{c}`" for c in docs.columns if c not in added), *added)

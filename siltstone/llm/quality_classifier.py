@@ -212,5 +212,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     model = train(_train_rows(docs), table(spark, sf_dir, "labels"))
-    names = [c for c in docs.columns if c != "doc_id"]
-    return score(docs, model, keep=tuple(names)).filter("predicted = 1").select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct("*").alias("_doc"))
+    return score(rows, model, keep=("_doc",)).filter("predicted = 1").select("_doc.*")

@@ -94,6 +94,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept)."""
+    docs, text, doc_id = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "doc_id"
     r = ratios(docs, trusted, text, doc_id)
     df = base_columns(docs, text).withColumn("_g", _grams(F.col("_w")))
     df = df.withColumn("_r", r.scalar())

@@ -64,21 +64,22 @@ def intervals(listed: DataFrame) -> DataFrame:
 
 
 def filter_urls(captures: DataFrame, listed: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
-    """The captures with host, decided_by, categories (of all active patterns, sorted) and blocked."""
-    df = captures.withColumn("host", F.coalesce(host(F.col(url)), F.lit("")))
+    """The captures with host, decided_by, categories (of all active patterns, sorted) and blocked; these replace any of their names."""
+    added = ("host", "decided_by", "categories", "blocked")
+    df = captures.select(F.struct(*(c for c in captures.columns if c not in added)).alias("_doc"), F.col(url).alias("_url"), F.col(fetched).alias("_t"), F.coalesce(host(F.col(url)), F.lit("")).alias("host"))
     df = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "captures")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    first = F.regexp_extract(F.col(url), r"^[^:/?#]+://[^/?#]*(/[^/?#]+)", 1)
+    first = F.regexp_extract(F.col("_url"), r"^[^:/?#]+://[^/?#]*(/[^/?#]+)", 1)
     keys = F.array_union(suffixes, F.when(first != "", F.array(F.concat("host", F.lower(first)))).otherwise(F.array().cast("array<string>")))
-    narrow = df.filter(f"host <> '' AND `{fetched}` IS NOT NULL").select("_row", F.col(fetched).alias("_t"), F.explode(keys).alias("pattern"))
+    narrow = df.filter("host <> '' AND _t IS NOT NULL").select("_row", "_t", F.explode(keys).alias("pattern"))
     active = narrow.join(intervals(listed), "pattern").filter("start <= _t AND (stop IS NULL OR _t < stop)")
     verdicts = active.groupBy("_row").agg(
         F.max(F.struct(F.length("pattern").alias("n"), (F.col("verdict") == "block").alias("block"), "pattern")).alias("_best"),
         F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"),
     )
     out = df.join(verdicts, "_row", "left")
-    return out.select(*captures.columns, "host", F.col("_best.pattern").alias("decided_by"), F.coalesce("categories", F.lit("")).alias("categories"), F.coalesce("_best.block", F.lit(False)).alias("blocked"))
+    return out.select("_doc.*", "host", F.col("_best.pattern").alias("decided_by"), F.coalesce("categories", F.lit("")).alias("categories"), F.coalesce("_best.block", F.lit(False)).alias("blocked"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
