@@ -222,10 +222,14 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated windows; a document of which nothing is left goes."""
-    names = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = substring_dedup(docs, keep=tuple(names)).filter(F.col("kept").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_words") == 0))
-    out = out.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
-    return out.select(*docs.columns)
+    out = substring_dedup(docs.select("doc_id", "text", F.struct("*").alias("_doc")), keep=("_doc",))
+    out = out.filter(F.col("kept").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_words") == 0))
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.col("kept")).otherwise(F.col("_doc.text"))
+    doc = F.col("_doc").withField("text", text)
+    if "n_chars" in docs.columns:
+        doc = doc.withField("n_chars", F.when(changed, F.length("kept")).otherwise(F.col("_doc.n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(doc.alias("_doc")).select("_doc.*")
 
 
 SQL = f"""
