@@ -13,11 +13,12 @@ Steps, none of which collects documents, links or components to the driver:
    ranges send back the shingles that two entities share, with their frequencies. A shingle of one
    entity alone can't match; it counts in the prefix and is never sent again.
 3. Postings of the prefixes. Shingles with the same entities are one posting list.
-4. Every list links its members to its smallest one, if they pass the l-match and the exact test.
-   Lists whose members are all in one component are done.
-5. The lists that are left are cut into blocks of ``BLOCK`` entities; tasks compare blocks, only
-   pairs from different components, by l-match and then exactly. A task returns a spanning forest
-   of its links, so output is linear in its input.
+4. Every list links its members to the one with the smallest share of shingles of its own, if
+   they pass the l-match and the exact test. Lists whose members are all in one component are done.
+5. The lists that are left are cut into blocks of ``BLOCK`` entities. Tasks compare blocks by
+   numbers alone: two sets share at most the shingles that neither has alone, which bounds their
+   similarity. Only pairs from different components under that bound are candidates, for the
+   l-match and the exact test.
 6. Components of all links; a component is named by its smallest doc_id.
 
 Definitions: A-Z lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; texts under five words are one
@@ -43,10 +44,10 @@ SHINGLE = 5
 PERCENT = 80
 #: Largest l, and what verifying a candidate costs in postings.
 MOST_MATCHES, VERIFY_COST = 8, 4.0
-BLOCK = 256
+BLOCK = 1024
 SLICE = 8 << 20
 #: Bytes of input per hash range.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 
 
 def sets(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -178,91 +179,64 @@ def _prefixes(t: pa.Table) -> pa.Table:
 ENTITY = "e long, n int, l int, base int, prefix array<long>, toks array<long>"
 
 
-def links_by_smallest(lists: DataFrame, entities: DataFrame) -> DataFrame:
-    """(a, b) of the pairs of a list's smallest entity with another member that pass both tests."""
-    pairs = lists.filter("e <> low").select("low", "e").distinct()
-    one = entities.select(F.col("e").alias("low"), *(F.col(c).alias(f"{c}1") for c in ("n", "l", "base", "prefix", "toks")))
-    both = pairs.join(entities, "e").join(one, "low")
-    m = F.least("l", "l1")
-    upto = lambda p, b: F.slice(p, 1, F.greatest(F.lit(0), F.least(F.size(p), m + b)))
-    matches = F.size(F.array_intersect(upto(F.col("prefix"), F.col("base")), upto(F.col("prefix1"), F.col("base1"))))
-    both = both.filter(matches >= m).withColumn("i", F.size(F.array_intersect("toks", "toks1")))
-    return both.filter(100 * F.col("i") >= PERCENT * (F.col("n") + F.col("n1") - F.col("i"))).select(F.col("low").alias("a"), F.col("e").alias("b"))
-
-
-def _incidence(lists: list[np.ndarray]) -> np.ndarray:
-    flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-    u, inv, count = np.unique(flat, return_inverse=True, return_counts=True)
-    column = np.cumsum(count > 1) - 1
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    ok = count[inv] > 1
-    out = np.zeros((len(lists), int(column[-1]) + 1 if len(column) else 0), np.float32)
-    out[row[ok], column[inv[ok]]] = 1
-    return out
-
-
-def _compare(rows: dict[str, list]) -> list[tuple[int, int]]:
-    """Spanning links between different components among the entities of one task's group."""
-    e, comp, side = np.array(rows["e"]), np.array(rows["comp"]), np.array(rows["side"])
-    n, l, base = (np.array(rows[c], np.int64) for c in ("n", "l", "base"))  # noqa: E741
+def _bounded(n, r, n1, r1):
+    """Whether two sets of n and n1 shingles, r and r1 of them not alone, can be similar enough."""
+    i = F.least(r, r1)
+    return 100 * i >= PERCENT * (n + n1 - i)
+
+
+def verify(pairs: DataFrame, entities: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share enough prefix shingles and then are similar enough."""
+    side = lambda c, k: entities.select(F.col("e").alias(c), *(F.col(x).alias(f"{x}{k}") for x in ("n", "l", "base", "prefix", "toks")))
+    both = pairs.join(side("b", 2), "b").join(side("a", 1), "a")
+    m = F.least("l1", "l2")
+    upto = lambda k: F.slice(f"prefix{k}", 1, F.greatest(F.lit(0), F.least(F.size(f"prefix{k}"), m + F.col(f"base{k}"))))
+    both = both.filter(F.size(F.array_intersect(upto(1), upto(2))) >= m).withColumn("i", F.size(F.array_intersect("toks1", "toks2")))
+    return both.filter(100 * F.col("i") >= PERCENT * (F.col("n1") + F.col("n2") - F.col("i"))).select("a", "b")
+
+
+def _candidates(rows: dict[str, list]) -> list[tuple[int, int]]:
+    """Pairs of a task's group from different components that may be similar enough."""
+    e, comp, side, n, r = (np.array(rows[c], np.int64) for c in ("e", "comp", "side", "n", "r"))
     if len(e) < 2 or (comp == comp[0]).all():
         return []
     # Two blocks: only pairs across; one block with itself: all of its pairs.
-    apart = (comp[:, None] != comp[None, :]) & ((side[:, None] != side[None, :]) if (side > 0).any() else True)
-    least = np.minimum(l[:, None], l[None, :])
-    able = np.zeros(apart.shape, bool)
-    for m in np.unique(least[apart]) if apart.any() else []:
-        p = _incidence([x[: max(0, min(len(x), m + b))] for x, b in zip(rows["prefix"], base, strict=True)])
-        able |= apart & (least == m) & (p @ p.T >= m)
-    hit = able.any(1)
-    if not hit.any():
-        return []
-    i = np.flatnonzero(hit)
-    t = _incidence([rows["toks"][j] for j in i])
-    common = t @ t.T
-    ok = able[np.ix_(i, i)] & (100 * common >= PERCENT * (n[i][:, None] + n[i][None, :] - common))
-    parent = {c: c for c in comp.tolist()}
-
-    def root(c):
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
-    out = []
-    for x, y in zip(*np.nonzero(np.triu(ok, 1)), strict=True):
-        a, b = root(int(comp[i[x]])), root(int(comp[i[y]]))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((int(e[i[x]]), int(e[i[y]])))
-    return out
+    ok = comp[:, None] != comp[None, :]
+    if (side > 0).any():
+        ok &= side[:, None] != side[None, :]
+    i = np.minimum(r[:, None], r[None, :])
+    ok &= 100 * i >= PERCENT * (n[:, None] + n[None, :] - i)
+    x, y = np.nonzero(np.triu(ok, 1))
+    return list(zip(np.minimum(e[x], e[y]).tolist(), np.maximum(e[x], e[y]).tolist(), strict=True))
 
 
 def _blocks(batches):
     """Groups arrive sorted by key; the last one of a batch waits for the next batch."""
-    names = ["e", "comp", "side", "n", "l", "base", "prefix", "toks"]
+    names = ["e", "comp", "side", "n", "r"]
     key, rows = None, {c: [] for c in names}
-    for b in batches:
-        keys = b["key"].to_numpy()
-        cols = {c: (b[c].to_numpy() if c not in ("prefix", "toks") else None) for c in names}
-        flat = {c: (b[c].flatten().to_numpy(), b[c].offsets.to_numpy() - b[c].offsets[0].as_py()) for c in ("prefix", "toks")}
+
+    def pairs(out):
+        a, b = zip(*sorted(set(out)), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for t in batches:
+        keys = t["key"].to_numpy()
+        cols = [t[c].to_numpy().tolist() for c in names]
+        cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])).tolist()
         out = []
-        for i in range(b.num_rows):
-            if keys[i] != key:
-                out += _compare(rows) if key is not None else []
-                key, rows = keys[i], {c: [] for c in names}
-            for c in names:
-                rows[c].append(cols[c][i] if cols[c] is not None else flat[c][0][flat[c][1][i] : flat[c][1][i + 1]])
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == z:
+                continue
+            if keys[a] != key:
+                out += _candidates(rows) if key is not None else []
+                key, rows = keys[a], {c: [] for c in names}
+            for c, v in zip(names, cols, strict=True):
+                rows[c] += v[a:z]
         if out:
-            yield _pairs(out)
-    out = _compare(rows) if key is not None else []
+            yield pairs(out)
+    out = _candidates(rows) if key is not None else []
     if out:
-        yield _pairs(out)
-
-
-def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*out, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        yield pairs(out)
 
 
 def _n_ranges(df: DataFrame) -> int:
@@ -281,24 +255,26 @@ def shingle_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     shared = packed.groupBy("part").applyInArrow(_frequencies(ranges), "part int, x binary, e binary, n binary, c binary, df binary")
     entities = materialise(shared.groupBy("part").applyInArrow(_prefixes, ENTITY), "entities")
 
-    postings = entities.select("e", F.explode("prefix").alias("x"))
+    postings = entities.select("e", "n", F.size("toks").alias("r"), F.explode("prefix").alias("x"))
     mark = F.xxhash64(F.lit(5), "e").cast("decimal(38,0)")
-    lists = postings.groupBy("x").agg(F.count("*").alias("m"), F.min("e").alias("low"), F.sum(mark).alias("sig")).filter("m > 1")
-    lists = lists.groupBy("sig", "m", "low").agg(F.min("x").alias("x"))
-    lists = materialise(postings.join(lists, "x").select("x", "e", "m", "low"), "lists")
-    first = materialise(links_by_smallest(lists, entities), "links")
+    near = F.min(F.struct((1 - F.col("r") / F.col("n")).alias("own"), "e", "n", "r")).alias("p")
+    lists = postings.groupBy("x").agg(F.count("*").alias("m"), near, F.sum(mark).alias("sig")).filter("m > 1")
+    lists = lists.groupBy("sig", "m", "p").agg(F.min("x").alias("x"))
+    lists = materialise(postings.join(lists, "x").select("x", "e", "n", "r", "m", "p"), "lists")
+    star = lists.filter((F.col("e") != F.col("p.e")) & _bounded(F.col("n"), F.col("r"), F.col("p.n"), F.col("p.r")))
+    first = materialise(verify(star.select(F.col("p.e").alias("a"), F.col("e").alias("b")).distinct(), entities), "links")
     comps = connected_components(first).withColumnsRenamed({"node": "e", "component": "comp"})
     comps = materialise(comps, "components")
-    lists = lists.join(comps, "e", "left").select("x", "e", "m", F.coalesce("comp", "e").alias("comp"))
+    lists = lists.join(comps, "e", "left").select("x", "e", "n", "r", "m", F.coalesce("comp", "e").alias("comp"))
     still = lists.groupBy("x").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("x")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     left = lists.join(still, "x").withColumn("s", blocks).withColumn("i", F.pmod(F.xxhash64(F.lit(9), "e", "x"), F.col("s")).cast("int"))
-    left = left.select("x", "e", "comp", "i", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"))
+    left = left.select("x", "e", "comp", "n", "r", "i", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"))
     lo, hi = F.least("i", "j"), F.greatest("i", "j")
-    work = left.select(F.xxhash64("x", lo, hi).alias("key"), "e", "comp", F.when(F.col("i") > F.col("j"), 1).when(F.col("i") < F.col("j"), 2).otherwise(0).alias("side"))
-    work = work.join(entities, "e").select("key", "e", "comp", "side", "n", "l", "base", "prefix", "toks")
+    work = left.select(F.xxhash64("x", lo, hi).alias("key"), "e", "comp", F.when(F.col("i") > F.col("j"), 1).when(F.col("i") < F.col("j"), 2).otherwise(0).alias("side"), "n", "r")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    second = work.repartition(parts, "key").sortWithinPartitions("key", "e").mapInArrow(_blocks, "a long, b long")
+    candidates = work.repartition(parts, "key").sortWithinPartitions("key", "e").mapInArrow(_blocks, "a long, b long").distinct()
+    second = verify(candidates, entities)
     links = materialise(first.union(second), "links")
     comps = connected_components(links)
 
