@@ -27,14 +27,13 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import words as W
 from siltstone.llm.arrow import map_slices, slices
-from siltstone.runtime import materialise, table
+from siltstone.runtime import table
 
 K = 50
 LAST = (1 << 63) - 1
 #: Bytes of text that are grouped before anything is sent.
 SLICE = 8 << 20
-#: Second hash: its words are hashed words once more, with another constant.
-_SECOND = np.uint64(0xA0761D6478BD642F)
+_SALT = np.uint64(0xA0761D6478BD642F)
 
 
 def _run_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -76,70 +75,129 @@ def _keys(h: np.ndarray, ptr: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _first_keys(k: int):
+    """One row per smallest hash of a slice: the ids of the texts that show it."""
+
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch | None:
         h, ptr = _pieces(b)
         low, _, doc = _keys(h, ptr, k)
         if not len(low):
             return None
-        change = np.flatnonzero((low[1:] != low[:-1]) | (doc[1:] != doc[:-1])) + 1
-        i = np.concatenate(([0], change))
-        return pa.RecordBatch.from_arrays([pa.array(W.signed(low[i])), b["id"].take(pa.array(doc[i])), b["th"].take(pa.array(doc[i]))], names=["m", "id", "th"])
+        ids = b["id"].to_numpy()[doc]
+        change = np.ones(len(low), bool)
+        change[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
+        low, ids = low[change], ids[change]
+        order = np.lexsort((ids, low))
+        low, ids = low[order], ids[order]
+        new = np.ones(len(low), bool)
+        new[1:] = (low[1:] != low[:-1]) | (ids[1:] != ids[:-1])
+        low, ids = low[new], ids[new]
+        head = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+        return pa.RecordBatch.from_arrays([pa.array(W.signed(low[head])), pa.ListArray.from_arrays(pa.array(np.append(head, len(low)).astype(np.int32)), pa.array(ids))], names=["m", "ids"])
 
     return kernel
 
 
 def _candidates(k: int):
-    """Windows of the texts whose keys repeat: rows to compare (own = false) and intervals already known to go."""
+    """Of the texts whose smallest hashes repeat: runs of windows to compare, and intervals already known to go."""
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch | None:
         h, ptr = _pieces(b)
         low, at, doc = _keys(h, ptr, k)
         lists = b["ms"]
-        m_ptr = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        ms = lists.flatten().to_numpy()
-        order = np.lexsort((ms, np.repeat(np.arange(b.num_rows), np.diff(m_ptr))))
-        ms, of = ms[order], np.repeat(np.arange(b.num_rows), np.diff(m_ptr))[order]
-        # Look each window's (text, key) up among the repeated ones of its text.
+        sizes = np.diff(lists.offsets.to_numpy())
+        ms, of = lists.flatten().to_numpy(), np.repeat(np.arange(b.num_rows), sizes)
+        # Look each window's (text, smallest hash) up among the repeated ones of its text.
         _, code = np.unique(np.concatenate((ms, W.signed(low))), return_inverse=True)
         wanted = np.unique(of * (len(code) + 1) + code[: len(ms)])
         mine = doc * (len(code) + 1) + code[len(ms) :]
         place = np.minimum(np.searchsorted(wanted, mine), max(0, len(wanted) - 1))
         ok = wanted[place] == mine if len(wanted) else np.zeros(len(mine), bool)
-        at, doc = at[ok], doc[ok]
+        low, at, doc = low[ok], at[ok], doc[ok]
         if not len(at):
             return None
         full, every = W.windows(h, ptr, k)
-        i = np.searchsorted(every, at)
-        h1 = full[i]
-        full, _ = W.windows(W.mix(h ^ _SECOND), ptr, k)
-        h2 = full[i] & W.U64(0x7FFFFFFF)
-        ids = b["id"].to_numpy()[doc]
-        pos = at - ptr[doc]
-        order = np.lexsort((pos, ids, h2, h1))
-        h1, h2, ids, doc, pos = h1[order], h2[order], ids[order], doc[order], pos[order]
+        h1 = full[np.searchsorted(every, at)]
+        ids, pos = b["id"].to_numpy()[doc], at - ptr[doc]
+        order = np.lexsort((ids, h1, low))
         new = np.ones(len(h1), bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        lowest = ids[np.maximum.accumulate(np.where(new, np.arange(len(h1)), 0))]
+        new[1:] = (h1[order][1:] != h1[order][:-1]) | (low[order][1:] != low[order][:-1])
+        lowest = np.empty(len(h1), np.int64)
+        lowest[order] = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(h1)), 0))]
         later = ids > lowest
-        # Rows of the smallest id go on; rows of later ids are gone already and merge to intervals.
+        # Windows are still in the order of texts and positions. Those of the smallest id go on as
+        # runs with one smallest hash; those of later ids are gone already and merge to intervals.
+        rows = []
         c = np.flatnonzero(~later)
-        out = [(h1[c], h2[c], doc[c], pos[c], np.full(len(c), k), np.zeros(len(c), bool))]
+        if len(c):
+            head = np.ones(len(c), bool)
+            head[1:] = (doc[c][1:] != doc[c][:-1]) | (pos[c][1:] != pos[c][:-1] + 1) | (low[c][1:] != low[c][:-1])
+            s = np.flatnonzero(head)
+            rows.append((W.signed(low[c][s]), doc[c][s], pos[c][s], np.zeros(len(s), np.int64), pa.ListArray.from_arrays(pa.array(np.append(s, len(c)).astype(np.int32)), pa.array(W.signed(h1[c])))))
         g = np.flatnonzero(later)
         if len(g):
-            g = g[np.lexsort((pos[g], doc[g]))]
-            d, p = doc[g], pos[g]
             head = np.ones(len(g), bool)
-            head[1:] = (d[1:] != d[:-1]) | (p[1:] > p[:-1] + k)
+            head[1:] = (doc[g][1:] != doc[g][:-1]) | (pos[g][1:] > pos[g][:-1] + k)
             s = np.flatnonzero(head)
             e = np.append(s[1:], len(g)) - 1
-            out.append((W.mix(d[s].astype(W.U64) * _SECOND + p[s].astype(W.U64)), np.zeros(len(s), W.U64), d[s], p[s], p[e] - p[s] + k, np.ones(len(s), bool)))
-        h1, h2, doc, pos, size, own = (np.concatenate(x) for x in zip(*out, strict=True))
+            d, p = doc[g][s], pos[g][s]
+            key = W.mix(b["id"].to_numpy()[d].view(W.U64) * _SALT + p.astype(W.U64))
+            rows.append((W.signed(key), d, p, pos[g][e] - p + k, pa.array([[]] * len(s), pa.list_(pa.int64()))))
+        m, doc, pos, gone = (np.concatenate([r[i] for r in rows]) for i in range(4))
         take = pa.array(doc)
-        return pa.RecordBatch.from_arrays([pa.array(W.signed(h1)), pa.array(h2.astype(np.int32)), b["id"].take(take), b["th"].take(take), pa.array(pos.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(own)], names=["h1", "h2", "id", "th", "pos", "size", "gone"])
+        return pa.RecordBatch.from_arrays([pa.array(m), b["id"].take(take), b["th"].take(take), pa.array(pos.astype(np.int32)), pa.array(gone.astype(np.int32)), pa.concat_arrays([r[4] for r in rows])], names=["m", "id", "th", "pos", "gone", "hs"])
 
     return kernel
 
 
+def _repeated(k: int):
+    """Intervals of the runs whose windows start in a smaller id too; runs arrive sorted by their key."""
+
+    def decide(t: pa.Table) -> pa.RecordBatch | None:
+        known = t["gone"].to_numpy() > 0
+        lists = t["hs"].combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        run = np.repeat(np.arange(t.num_rows), size)
+        h, m, ids = lists.flatten().to_numpy(), t["m"].to_numpy()[run], t["id"].to_numpy()[run]
+        first = np.concatenate(([0], np.cumsum(size)))[:-1]
+        order = np.lexsort((ids, h, m))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (m[order][1:] != m[order][:-1])
+        off = np.zeros(len(h), bool)
+        off[order] = ids[order] > ids[order][np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else False
+        w = np.flatnonzero(off)
+        head = np.ones(len(w), bool)
+        head[1:] = (run[w][1:] != run[w][:-1]) | (w[1:] != w[:-1] + 1)
+        s = np.flatnonzero(head)
+        e = np.append(s[1:], len(w)) - 1
+        pos = t["pos"].to_numpy()
+        i, p, n = run[w[s]], pos[run[w[s]]] + w[s] - first[run[w[s]]], w[e] - w[s] + k if len(s) else np.zeros(0, np.int64)
+        j = np.flatnonzero(known)
+        take = pa.array(np.concatenate((i, j)))
+        if not len(take):
+            return None
+        cols = [t["id"].take(take), t["th"].take(take)]
+        return pa.RecordBatch.from_arrays([*(x.combine_chunks() for x in cols), pa.array(np.concatenate((p, pos[j])).astype(np.int32)), pa.array(np.concatenate((n, t["gone"].to_numpy()[j])).astype(np.int32))], names=["id", "th", "pos", "size"])
+
+    def run(batches):
+        wait: list[pa.RecordBatch] = []
+        for b in batches:
+            wait.append(b)
+            m = b["m"].to_numpy()
+            if len(m) and m[0] != m[-1]:
+                cut = int(np.searchsorted(m, m[-1]))
+                done = pa.Table.from_batches([*wait[:-1], b.slice(0, cut)])
+                wait = [b.slice(cut)]
+                out = decide(done)
+                if out is not None:
+                    yield out
+        if wait:
+            out = decide(pa.Table.from_batches(wait))
+            if out is not None:
+                yield out
+
+    return run
+
+
 def _covered(n: int, spans) -> np.ndarray:
     mark = np.zeros(n + 1, np.int32)
     np.add.at(mark, [s["pos"] for s in spans], 1)
@@ -151,13 +209,14 @@ def _apply(digest: bool):
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
         w = W.split(b["text"], False)
         raw = w.data.tobytes()
-        spans = b["spans"].to_pylist()
+        spans, keys = b["spans"].to_pylist(), b["th"].to_pylist()
         n = w.n
         gone, kept, cuts = np.zeros(b.num_rows, np.int64), [], []
         for i in range(b.num_rows):
             lo, hi = w.ptr[i], w.ptr[i + 1]
             starts, ends = w.start[lo:hi], w.end[lo:hi]
-            off = _covered(hi - lo, spans[i]) if spans[i] else None
+            own = [x for x in spans[i] or () if x["th"] == keys[i]]
+            off = _covered(hi - lo, own) if own else None
             if off is not None:
                 gone[i] = off.sum()
             if digest:
@@ -180,8 +239,8 @@ def _apply(digest: bool):
             parts.append(raw[at:z])
             kept.append(b"".join(parts).decode())
             cuts.append([{"first": x, "n": y - x} for x, y in cut])
-        cols = [b[c] for c in b.schema.names if c not in ("text", "spans")]
-        names = [c for c in b.schema.names if c not in ("text", "spans")]
+        cols = [b[c] for c in b.schema.names if c not in ("text", "spans", "th")]
+        names = [c for c in b.schema.names if c not in ("text", "spans", "th")]
         if digest:
             return pa.RecordBatch.from_arrays([*cols, pa.array(n), pa.array(gone), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept_sha256"])
         cut_type = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
@@ -199,19 +258,17 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     kind = dict(docs.dtypes)[doc_id]
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(t).alias("th"), F.col(doc_id).isNull().alias("no_id"), t.alias("text"), *keep)
-    texts = rows.select("id", "th", "text")
-    keys = map_slices(texts, "text", "m long, id long, th long", _first_keys(k), SLICE)
-    keys = materialise(keys, "keys")
-    # A window matters if its key starts in two documents; equal ids don't compare.
-    many = keys.groupBy("m").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("m")
-    lists = keys.join(many, "m").groupBy("id", "th").agg(F.collect_set("m").alias("ms"))
-    spans = map_slices(texts.join(lists, ["id", "th"]), "text", "h1 long, h2 int, id long, th long, pos int, size int, gone boolean", _candidates(k), SLICE)
-    first = F.min("id").over(Window.partitionBy("h1", "h2", "gone"))
-    found = spans.withColumn("first", first).filter("gone OR first < id").groupBy("id", "th").agg(F.collect_set(F.struct("pos", "size")).alias("spans"))
-    found = materialise(found, "spans")
-    joined = rows.join(found, ["id", "th"], "left").select(F.when(~F.col("no_id"), F.col("id")).cast(kind).alias("doc_id"), *keep, "text", "spans")
-    fields = ", ".join(f"`{c}` {x}" for c, x in joined.dtypes if c not in ("text", "spans"))
+    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(t).alias("th"), t.alias("text"), *keep)
+    keys = map_slices(texts.select("id", "text"), "text", "m long, ids array<long>", _first_keys(k), SLICE)
+    # A smallest hash matters if two documents show it; equal ids don't compare.
+    every = Window.partitionBy("m")
+    keys = keys.withColumn("a", F.min(F.array_min("ids")).over(every)).withColumn("b", F.max(F.array_max("ids")).over(every))
+    lists = keys.filter("a < b").select("m", F.explode("ids").alias("id")).groupBy("id").agg(F.collect_set("m").alias("ms"))
+    runs = map_slices(texts.join(lists, "id").select("id", "th", "text", "ms"), "text", "m long, id long, th long, pos int, gone int, hs array<long>", _candidates(k), SLICE)
+    spans = runs.repartition("m").sortWithinPartitions("m").mapInArrow(_repeated(k), "id long, th long, pos int, size int")
+    found = spans.groupBy("id").agg(F.collect_set(F.struct("th", "pos", "size")).alias("spans"))
+    joined = texts.join(found, "id", "left").select(F.when(F.col("id") < LAST, F.col("id")).cast(kind).alias("doc_id"), *keep, "th", "text", "spans")
+    fields = ", ".join(f"`{c}` {x}" for c, x in joined.dtypes if c not in ("th", "text", "spans"))
     tail = "kept_sha256 string" if digest else "kept string, removed array<struct<first:int,n:int>>"
     return map_slices(joined, "text", f"{fields}, n_words long, n_removed long, {tail}", _apply(digest))
 
