@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.runtime import materialise
+from siltstone.runtime import materialise, release
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        before, e = e, materialise(small.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        release(before)
         # Stars around the smallest nodes map to themselves; equal hash sums mean equal edge tables.
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == last:

@@ -28,15 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def _sweep() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the JVM may be gone already at exit; the folder belongs to the cluster then
-            return
+_written: dict[str, SparkSession] = {}
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -44,30 +36,36 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-atexit.register(_sweep)
+@atexit.register
+def _sweep() -> None:
+    for path, spark in list(_written.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # the JVM may be gone already at exit; the folder belongs to the cluster then
+            return
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage the way ``checkpoint()`` does, survives lost executors, and stays columnar.
+    ``release`` deletes it early; at the latest it goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df_path_label: str) -> None:
-    """Delete materialised tables whose label starts with ``df_path_label`` before the session ends."""
-    kept = []
-    for spark, path in _written:
-        if f"/siltstone/{df_path_label}" in path:
-            _delete(spark, path)
-        else:
-            kept.append((spark, path))
-    _written[:] = kept
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialised_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_materialised_at", None)
+        if path in _written:
+            _delete(_written.pop(path), path)
 
 
 def ship(spark: SparkSession) -> None:
