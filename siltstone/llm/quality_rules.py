@@ -25,7 +25,7 @@ from siltstone.runtime import table
 
 BUCKETS = 1 << 14
 #: Natural logarithm per n-gram.
-THRESHOLD = -0.15
+THRESHOLD = -0.10
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
