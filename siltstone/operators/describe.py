@@ -28,19 +28,20 @@ def describe(files: DataFrame, key: str = "path", content: str = "content") -> D
 
     pics = base.filter("modality = 'image'").withColumn("i", media.decode_image("content", "format"))
     sounds = base.filter("modality = 'audio'").withColumn("a", media.decode_audio("content", "format"))
+    words = lambda: {"tier1": F.sha2(F.encode("canon", "UTF-8"), 256), "minhash": text.signature("canon"), "facts": facts(words=F.size(text.words(F.col("canon"))), canonical_bytes=F.octet_length("canon"))}
     texts = base.filter("modality = 'text' AND format <> 'pdf'").withColumn("canon", text.canonicalize(F.decode("content", "UTF-8")))
     blobs = base.filter("modality = 'binary'").withColumn("c", chunking.binary_signature("content"))
     clips = base.filter("modality = 'video'").withColumn("v", media.mp4_samples("content"))
-    papers = base.filter("format = 'pdf'")
+    papers = base.filter("format = 'pdf'").withColumn("p", media.pdf_text("content")).withColumn("canon", text.canonicalize("p.text"))
     wrong_rate = F.when(F.col("a.error").isNull() & (F.col("a.rate") != 44100), F.struct(F.lit("BadValue").alias("kind"), F.lit("sample rate").alias("message"))).otherwise(F.col("a.error"))
     refused = lambda m: F.struct(F.lit("Unsupported").alias("kind"), F.lit(m).alias("message"))
     parts = [
         lane(pics, tier1=F.sha2("i.payload", 256), phash=F.col("i.phash"), facts=facts(width=F.col("i.width"), height=F.col("i.height"), channels=F.col("i.channels")), error=F.col("i.error")),
         lane(sounds, tier1=F.sha2("a.payload", 256), peaks=F.col("a.peaks"), facts=facts(rate=F.col("a.rate"), channels=F.col("a.channels"), frames=F.col("a.frames"), peaks=F.size("a.peaks")), error=wrong_rate),
-        lane(texts, tier1=F.sha2(F.encode("canon", "UTF-8"), 256), minhash=text.signature("canon"), facts=facts(words=F.size(text.words(F.col("canon"))), canonical_bytes=F.octet_length("canon"))),
+        lane(texts, **words()),
         lane(blobs, tier1=F.sha2("content", 256), chunks=F.col("c"), facts=facts(bytes=F.length("content"), chunks=F.size("c"))),
         lane(clips, facts=facts(width=F.col("v.width"), height=F.col("v.height"), samples=F.size("v.samples")), error=F.coalesce("v.error", refused("h264"))),
-        lane(papers, error=refused("pdf")),
+        lane(papers, **words(), error=F.col("p.error")),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import audio, raster
 from siltstone.functions import types as t
-from siltstone.sources import archive, bmp, flac, mp4, png, wav
+from siltstone.sources import archive, bmp, flac, mp4, pdf, png, wav
 from siltstone.sources.errors import Refused, unsupported
 
 ERROR = t.struct(kind=t.STRING, message=t.STRING)
@@ -84,6 +84,16 @@ def mp4_samples(content: pd.Series) -> pd.DataFrame:
     return _rows(f, ("timescale", "width", "height", "samples"), content)
 
 
+@F.pandas_udf(t.struct(text=t.STRING, pages=t.INT, error=ERROR))
+def pdf_text(content: pd.Series) -> pd.DataFrame:
+    """The text layer, pages joined by form feeds; the first page that fails refuses the document."""
+    def f(data: bytes) -> dict:
+        d = pdf.Document(data)
+        return {"text": d.text(), "pages": len(d.pages)}
+
+    return _rows(f, ("text", "pages"), content)
+
+
 @F.pandas_udf(t.struct(members=t.array(t.struct(name=t.STRING, size=t.LONG, content=t.BINARY)), error=ERROR))
 def zip_members(content: pd.Series) -> pd.DataFrame:
     def f(data: bytes) -> dict:

@@ -12,6 +12,7 @@ from siltstone.operators import calibrate as cal
 from siltstone.operators import dedup, describe, matching
 from siltstone.operators.components import connected_components
 from siltstone.streaming import incremental
+from tests.test_pdf import make
 from tests.test_sources import bmp_bytes, wav_bytes
 
 rng = np.random.default_rng(2)
@@ -150,11 +151,11 @@ def test_video_lane(spark):
 
 def test_describe(spark):
     img = rng.integers(0, 256, (40, 40, 3), np.uint8)
-    rows = [("i", bmp_bytes(img)), ("t", b"alpha beta gamma"), ("b", b"\xff\xfe" * 3000), ("a", wav_bytes(np.zeros((9000, 1)))), ("a48", wav_bytes(np.zeros((9, 1)), 48000)), ("p", b"%PDF-1.4"), ("x", b"BMxx")]
+    rows = [("i", bmp_bytes(img)), ("t", b"alpha beta gamma"), ("b", b"\xff\xfe" * 3000), ("a", wav_bytes(np.zeros((9000, 1)))), ("a48", wav_bytes(np.zeros((9, 1)), 48000)), ("p", b"%PDF-1.4"), ("p2", make(["BT /F1 1 Tf (Alpha Beta GAMMA) Tj ET"])), ("x", b"BMxx")]
     d = describe.describe(spark.createDataFrame(rows, "path string, content binary"))
     got = {r.key: r for r in d.collect()}
-    assert len(got) == 7 and got["t"].facts["words"] == 3 and len(got["t"].minhash) == 128
-    assert got["a48"].error.kind == "BadValue" and got["a48"].tier1 and got["p"].error.kind == "Unsupported" and got["x"].error.kind == "Truncated"
+    assert len(got) == 8 and got["p2"].minhash == got["t"].minhash and got["p2"].tier1 == got["t"].tier1 and got["t"].facts["words"] == 3 and len(got["t"].minhash) == 128
+    assert got["a48"].error.kind == "BadValue" and got["a48"].tier1 and got["p"].error.kind == "BadValue" and got["x"].error.kind == "Truncated"
     assert got["b"].facts["bytes"] == 6000 and got["i"].facts["width"] == 40
     text = {r.key: r.report for r in describe.to_line(d).collect()}
     assert "5409aadb22bb8479" in text["t"] and text["x"].endswith("width") or "refused" in text["x"]
