@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import audio, raster
 from siltstone.functions import types as t
-from siltstone.sources import archive, bmp, flac, mp4, pdf, png, wav
+from siltstone.sources import archive, bmp, flac, jpeg, mp4, pdf, png, wav
 from siltstone.sources.errors import Refused, unsupported
 
 ERROR = t.struct(kind=t.STRING, message=t.STRING)
@@ -26,7 +26,7 @@ def _refuse(what: str) -> Callable:
     return decode
 
 
-IMAGES = {"png": png.decode, "bmp": bmp.decode, "jpeg": _refuse("jpeg"), "gif": _refuse("gif")}
+IMAGES = {"png": png.decode, "bmp": bmp.decode, "jpeg": jpeg.decode, "gif": _refuse("gif")}
 SOUNDS = {"wav": wav.decode, "flac": flac.decode, "mp3": _refuse("mp3")}
 
 
