@@ -188,11 +188,71 @@ def median(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity)").cast("double").alias("median"))
 
 
+def _chains(spark, sf):
+    l = table(spark, sf, "lineitem").withColumn("id", F.col("l_suppkey") % 40)
+    rows = l.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", (F.col("l_partkey") * 7919).alias("h")))).alias("r"))
+    return rows.select("id", F.slice(F.transform("r", lambda x: x["h"]), 1, 50).alias("chain"))
+
+
+def video_match(spark, sf):
+    c = materialise(_chains(spark, sf), "chains")
+    both = c.select(F.col("id").alias("a"), F.col("chain").alias("ca")).join(c.select((F.col("id") - 1).alias("a"), F.col("chain").alias("cb")), "a")
+    return both.select("a", matching.video_score(F.col("ca"), F.col("cb")).cast("double").alias("score"))
+
+
+def chain_signatures(spark, sf):
+    from siltstone.functions import video
+
+    return _chains(spark, sf).select("id", F.transform(video.chain_signature("chain"), u64.hex64).alias("sig")).select("id", F.array_join(F.slice("sig", 1, 4), " ").alias("head"))
+
+
+def text_signatures(spark, sf):
+    return _canon(spark, sf).select("doc_id", matching.signature_head(text.signature("canon")).alias("minhash"))
+
+
+def distance_axis(spark, sf):
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(F.array(*map(F.lit, ("image", "audio", "text", "binary", "video"))), (F.col("l_linenumber") % 5 + 1).cast("int")).alias("m"), (F.col("l_partkey") % 65).alias("h"), (F.col("l_suppkey") % 30).alias("v"), ((F.col("l_partkey") % 129) / 128.0).cast("double").alias("s"))
+    return l.select("l_orderkey", "l_linenumber", matching.scalar_distance(F.col("m"), F.col("h"), F.col("v"), F.col("s")).alias("distance"), matching.is_match(F.col("m"), F.col("h"), F.col("v"), F.col("s")).alias("matched"))
+
+
+def describe(spark, sf):
+    from siltstone.operators import describe as d
+
+    head = F.element_at(F.array(*(F.unhex(F.lit(h)) for h in HEADS)), F.pmod("doc_id", F.lit(len(HEADS))).cast("int") + 1)
+    files = _docs(spark, sf).select("doc_id", F.concat(head, F.encode("text", "UTF-8")).alias("content"))
+    return d.to_json(d.describe(files, "doc_id"))
+
+
+def image_phash(spark, sf):
+    """Perceptual hashes of 48 x 32 pictures whose pixels are bytes of the texts."""
+    d = _docs(spark, sf).filter("octet_length(text) >= 1536").select("doc_id", F.substring(F.encode("text", "UTF-8"), 1, 1536).alias("px"))
+    return d.select("doc_id", u64.hex64(raster.image_phash("px", F.lit(48), F.lit(32), F.lit(1))).alias("phash"))
+
+
+def orb_features(spark, sf):
+    from siltstone.functions import geometry
+
+    d = _docs(spark, sf).filter("octet_length(text) >= 4096 AND doc_id % 50 = 0").select("doc_id", F.substring(F.encode("text", "UTF-8"), 1, 4096).alias("px"))
+    f = d.select("doc_id", F.explode(geometry.orb_features("px", F.lit(64), F.lit(64))).alias("o"))
+    return f.select("doc_id", "o.x", "o.y", F.lower(F.hex("o.desc")).alias("desc"))
+
+
+def time_warping(spark, sf):
+    from siltstone.functions import geometry
+
+    l = table(spark, sf, "lineitem").withColumn("id", F.col("l_suppkey") % 40)
+    s = l.groupBy("id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_quantity"))), lambda x: x["l_quantity"].cast("double")), 1, 40).alias("q"))
+    s = materialise(s, "series")
+    both = s.select(F.col("id").alias("a"), F.col("q").alias("x")).join(s.select((F.col("id") - 1).alias("a"), F.col("q").alias("y")), "a")
+    return both.select("a", F.round(geometry.dtw_distance("x", "y"), 9).alias("cost"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         text_content_hash, exact_groups, text_facts, shingle_counts, text_near_duplicates, text_dedup, dedup_report, lsh_candidates, binary_dedup, cdc_chunks,
         checksums, checksums_more, detect, hamming_search, hash_hex, calibrate_dedup, calibrate_search, evaluate, audio_votes, audio_fingerprint, video_slots, luma, to_mono, median,
+        video_match, chain_signatures, text_signatures, distance_axis, describe, image_phash, orb_features, time_warping,
     )
 }
 
@@ -266,6 +326,14 @@ SELECT id, lpad(lower(to_hex(bit_or((1::UBIGINT << (f % 64)::UBIGINT)))), 16, '0
 WITH l AS (SELECT l_suppkey % 40 AS id, ((l_orderkey % 5000) - 100)::BIGINT AS pts, (l_linenumber + 10 * l_partkey)::BIGINT AS frame FROM lineitem),
 s AS (SELECT *, floor(2.0 * pts / 600)::BIGINT AS slot FROM l)
 SELECT id, slot, pts, frame FROM s QUALIFY row_number() OVER (PARTITION BY id, slot ORDER BY pts, frame) = 1""",
+    "video_match": """
+WITH c AS (SELECT l_suppkey % 40 AS id, list(l_partkey * 7919 ORDER BY l_orderkey, l_linenumber, l_partkey * 7919)[1:50] AS chain FROM lineitem GROUP BY 1),
+p AS (SELECT a.id AS a, a.chain AS x, b.chain AS y, least(len(a.chain), len(b.chain)) AS n FROM c a JOIN c b ON b.id = a.id + 1)
+SELECT a, CASE WHEN n = 0 THEN 1.0 ELSE len(list_filter(range(1, n + 1), lambda i: bit_count(xor(x[i], y[i])) <= 10)) / n END::DOUBLE AS score FROM p""",
+    "distance_axis": """
+WITH l AS (SELECT l_orderkey, l_linenumber, ['image', 'audio', 'text', 'binary', 'video'][1 + l_linenumber % 5] AS m, l_partkey % 65 AS h, l_suppkey % 30 AS v, ((l_partkey % 129) / 128.0)::DOUBLE AS s FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE m WHEN 'image' THEN h WHEN 'audio' THEN 4294967295 - v ELSE round((1 - s) * 1e6)::BIGINT END AS distance,
+       CASE m WHEN 'image' THEN h <= 10 WHEN 'audio' THEN v >= 8 WHEN 'binary' THEN s >= 0.5 ELSE s >= 0.8 END AS matched FROM l""",
     "luma": "SELECT k % 96 AS x, (k // 96)::BIGINT AS y, ((299 * (k * 7 % 256) + 587 * (k * k % 256) + 114 * (k * 31 % 251) + 500) // 1000)::BIGINT AS luma FROM (SELECT p_partkey AS k FROM part WHERE p_partkey < 6144)",
     "to_mono": "SELECT l_orderkey, l_linenumber, trunc(((l_partkey % 201 - 100) + (l_suppkey % 77 - 40)) / 2.0)::BIGINT AS mono FROM lineitem",
     "median": "SELECT l_returnflag, quantile_disc(l_quantity, 0.5)::DOUBLE AS median FROM lineitem GROUP BY 1",
