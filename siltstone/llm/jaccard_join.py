@@ -13,12 +13,14 @@ Steps, none of which collects documents, links or components to the driver:
    ranges send back the shingles that two entities share, with their frequencies. A shingle of one
    entity alone can't match; it counts in the prefix and is never sent again.
 3. Postings of the prefixes. Shingles with the same entities are one posting list.
-4. Every list links its members to the one with the smallest share of shingles of its own, if
-   they pass the l-match and the exact test. Lists whose members are all in one component are done.
+4. Every list links its members to its most typical one (by mean log frequency of its shingles:
+   among edited copies, their common origin), if they pass the l-match and the exact test. Lists
+   whose members are all in one component are done.
 5. The lists that are left are cut into blocks of ``BLOCK`` entities. Tasks compare blocks by
-   numbers alone: two sets share at most the shingles that neither has alone, which bounds their
-   similarity. Only pairs from different components under that bound are candidates, for the
-   l-match and the exact test.
+   numbers alone. With i shingles in common with the list's typical set, and o more that some other
+   set has, two sets share at most min(i, i') + min(o, o') shingles. Only pairs from different
+   components that this bound allows are candidates, each from the first list that both are in;
+   they take the l-match and the exact test.
 6. Components of all links; a component is named by its smallest doc_id.
 
 Definitions: A-Z lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; texts under five words are one
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from siltstone.llm import words as W
 from siltstone.llm.arrow import map_slices, slices
 from siltstone.operators.components import connected_components
-from siltstone.runtime import materialise, table
+from siltstone.runtime import materialise, release, table
 
 SHINGLE = 5
 #: Similarity in percent.
@@ -170,71 +172,76 @@ def _prefixes(t: pa.Table) -> pa.Table:
         better = cost < best * (1 - 1e-12)
         best[better], pick[better] = cost[better], m
     length = np.choose(pick - 1, [reach(m) for m in range(1, MOST_MATCHES + 1)]) if len(head) else pick
+    typical = (np.add.reduceat(np.log2(df), head) if len(head) else np.zeros(0)) / np.maximum(size, 1)
     some = np.flatnonzero(length >= np.minimum(pick, need)) if len(head) else head
     lists = lambda a, z: pa.array([W.signed(x[p:q]) for p, q in zip(a, z, strict=True)], pa.list_(pa.int64()))
     a = head[some]
-    return pa.table([pa.array(W.signed(e[a])), pa.array(size[some].astype(np.int32)), pa.array(pick[some].astype(np.int32)), pa.array((size - need - alone)[some].astype(np.int32)), lists(a, a + length[some]), lists(a, ptr[some + 1])], names=["e", "n", "l", "base", "prefix", "toks"])
+    return pa.table([pa.array(W.signed(e[a])), pa.array(size[some].astype(np.int32)), pa.array(pick[some].astype(np.int32)), pa.array((size - need - alone)[some].astype(np.int32)), pa.array(typical[some].astype(np.float64)), lists(a, a + length[some]), lists(a, ptr[some + 1])], names=["e", "n", "l", "base", "typical", "prefix", "toks"])
 
 
-ENTITY = "e long, n int, l int, base int, prefix array<long>, toks array<long>"
+ENTITY = "e long, n int, l int, base int, typical double, prefix array<long>, toks array<long>"
 
 
-def _bounded(n, r, n1, r1):
-    """Whether two sets of n and n1 shingles, r and r1 of them not alone, can be similar enough."""
-    i = F.least(r, r1)
-    return 100 * i >= PERCENT * (n + n1 - i)
-
-
-def verify(pairs: DataFrame, entities: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share enough prefix shingles and then are similar enough."""
+def overlaps(pairs: DataFrame, entities: DataFrame) -> DataFrame:
+    """(a, b, enough, i, n1, n2): whether a pair shares enough prefix shingles, its overlap, and the set sizes."""
     side = lambda c, k: entities.select(F.col("e").alias(c), *(F.col(x).alias(f"{x}{k}") for x in ("n", "l", "base", "prefix", "toks")))
     both = pairs.join(side("b", 2), "b").join(side("a", 1), "a")
     m = F.least("l1", "l2")
     upto = lambda k: F.slice(f"prefix{k}", 1, F.greatest(F.lit(0), F.least(F.size(f"prefix{k}"), m + F.col(f"base{k}"))))
-    both = both.filter(F.size(F.array_intersect(upto(1), upto(2))) >= m).withColumn("i", F.size(F.array_intersect("toks1", "toks2")))
-    return both.filter(100 * F.col("i") >= PERCENT * (F.col("n1") + F.col("n2") - F.col("i"))).select("a", "b")
+    enough = F.size(F.array_intersect(upto(1), upto(2))) >= m
+    return both.select("a", "b", enough.alias("enough"), F.size(F.array_intersect("toks1", "toks2")).alias("i"), "n1", "n2")
+
+
+def linked(pairs: DataFrame) -> DataFrame:
+    return pairs.filter(F.col("enough") & (100 * F.col("i") >= PERCENT * (F.col("n1") + F.col("n2") - F.col("i")))).select("a", "b")
+
+
+FIELDS = ("e", "comp", "side", "n", "r", "i")
 
 
-def _candidates(rows: dict[str, list]) -> list[tuple[int, int]]:
-    """Pairs of a task's group from different components that may be similar enough."""
-    e, comp, side, n, r = (np.array(rows[c], np.int64) for c in ("e", "comp", "side", "n", "r"))
+def _candidates(x: int, rows: dict[str, list], where: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of a task's group from different components that may be similar enough and meet in list x first."""
+    e, comp, side, n, r, i = (np.array(rows[c], np.int64) for c in FIELDS)
     if len(e) < 2 or (comp == comp[0]).all():
         return []
     # Two blocks: only pairs across; one block with itself: all of its pairs.
     ok = comp[:, None] != comp[None, :]
     if (side > 0).any():
         ok &= side[:, None] != side[None, :]
-    i = np.minimum(r[:, None], r[None, :])
-    ok &= 100 * i >= PERCENT * (n[:, None] + n[None, :] - i)
-    x, y = np.nonzero(np.triu(ok, 1))
-    return list(zip(np.minimum(e[x], e[y]).tolist(), np.maximum(e[x], e[y]).tolist(), strict=True))
+    o = r - i
+    most = np.minimum(i[:, None], i[None, :]) + np.minimum(o[:, None], o[None, :])
+    ok &= 100 * most >= PERCENT * (n[:, None] + n[None, :] - most)
+    p, q = np.nonzero(np.triu(ok, 1))
+    sets_of = {j: set(where[j].tolist()) for j in np.unique(np.concatenate((p, q))).tolist()}
+    return [(int(min(e[a], e[b])), int(max(e[a], e[b]))) for a, b in zip(p.tolist(), q.tolist(), strict=True) if min(sets_of[a] & sets_of[b]) == x]
 
 
 def _blocks(batches):
     """Groups arrive sorted by key; the last one of a batch waits for the next batch."""
-    names = ["e", "comp", "side", "n", "r"]
-    key, rows = None, {c: [] for c in names}
+    key, x, rows, where = None, 0, {c: [] for c in FIELDS}, []
 
     def pairs(out):
         a, b = zip(*sorted(set(out)), strict=True)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for t in batches:
-        keys = t["key"].to_numpy()
-        cols = [t[c].to_numpy().tolist() for c in names]
+        keys, xs = t["key"].to_numpy(), t["x"].to_numpy()
+        cols = [t[c].to_numpy().tolist() for c in FIELDS]
+        flat, at = t["lists"].flatten().to_numpy(), t["lists"].offsets.to_numpy() - t["lists"].offsets[0].as_py()
         cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])).tolist()
         out = []
         for a, z in zip(cuts[:-1], cuts[1:], strict=True):
             if a == z:
                 continue
             if keys[a] != key:
-                out += _candidates(rows) if key is not None else []
-                key, rows = keys[a], {c: [] for c in names}
-            for c, v in zip(names, cols, strict=True):
+                out += _candidates(x, rows, where) if key is not None else []
+                key, x, rows, where = keys[a], int(xs[a]), {c: [] for c in FIELDS}, []
+            for c, v in zip(FIELDS, cols, strict=True):
                 rows[c] += v[a:z]
+            where += [flat[at[j] : at[j + 1]] for j in range(a, z)]
         if out:
             yield pairs(out)
-    out = _candidates(rows) if key is not None else []
+    out = _candidates(x, rows, where) if key is not None else []
     if out:
         yield pairs(out)
 
@@ -255,27 +262,32 @@ def shingle_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     shared = packed.groupBy("part").applyInArrow(_frequencies(ranges), "part int, x binary, e binary, n binary, c binary, df binary")
     entities = materialise(shared.groupBy("part").applyInArrow(_prefixes, ENTITY), "entities")
 
-    postings = entities.select("e", "n", F.size("toks").alias("r"), F.explode("prefix").alias("x"))
+    postings = entities.select("e", "n", F.size("toks").alias("r"), "typical", F.explode("prefix").alias("x"))
     mark = F.xxhash64(F.lit(5), "e").cast("decimal(38,0)")
-    near = F.min(F.struct((1 - F.col("r") / F.col("n")).alias("own"), "e", "n", "r")).alias("p")
+    near = F.min(F.struct((-F.col("typical")).alias("far"), "e", "n", "r")).alias("p")
     lists = postings.groupBy("x").agg(F.count("*").alias("m"), near, F.sum(mark).alias("sig")).filter("m > 1")
     lists = lists.groupBy("sig", "m", "p").agg(F.min("x").alias("x"))
-    lists = materialise(postings.join(lists, "x").select("x", "e", "n", "r", "m", "p"), "lists")
-    star = lists.filter((F.col("e") != F.col("p.e")) & _bounded(F.col("n"), F.col("r"), F.col("p.n"), F.col("p.r")))
-    first = materialise(verify(star.select(F.col("p.e").alias("a"), F.col("e").alias("b")).distinct(), entities), "links")
-    comps = connected_components(first).withColumnsRenamed({"node": "e", "component": "comp"})
-    comps = materialise(comps, "components")
-    lists = lists.join(comps, "e", "left").select("x", "e", "n", "r", "m", F.coalesce("comp", "e").alias("comp"))
-    still = lists.groupBy("x").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("x")
+    lists = materialise(postings.join(lists, "x").select("x", "e", "n", "r", "m", F.col("p.e").alias("p")), "lists")
+    star = lists.filter("e <> p").select(F.col("p").alias("a"), F.col("e").alias("b")).distinct()
+    star = materialise(overlaps(star, entities), "star")
+    first = linked(star)
+    comps = materialise(connected_components(first).withColumnsRenamed({"node": "e", "component": "comp"}), "components")
+    common = star.select(F.col("a").alias("p"), F.col("b").alias("e"), "i")
+    placed = lists.join(comps, "e", "left").join(common, ["p", "e"], "left")
+    placed = placed.select("x", "e", "n", "r", "m", F.coalesce("comp", "e").alias("comp"), F.coalesce("i", "r").alias("i"))
+    still = placed.groupBy("x").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("x")
+    left = materialise(placed.join(still, "x"), "open")
+    left = left.join(left.groupBy("e").agg(F.collect_set("x").alias("lists")), "e")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    left = lists.join(still, "x").withColumn("s", blocks).withColumn("i", F.pmod(F.xxhash64(F.lit(9), "e", "x"), F.col("s")).cast("int"))
-    left = left.select("x", "e", "comp", "n", "r", "i", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"))
-    lo, hi = F.least("i", "j"), F.greatest("i", "j")
-    work = left.select(F.xxhash64("x", lo, hi).alias("key"), "e", "comp", F.when(F.col("i") > F.col("j"), 1).when(F.col("i") < F.col("j"), 2).otherwise(0).alias("side"), "n", "r")
+    left = left.withColumn("s", blocks).withColumn("k", F.pmod(F.xxhash64(F.lit(9), "e", "x"), F.col("s")).cast("int"))
+    left = left.select("x", "e", "comp", "n", "r", "i", "lists", "k", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"))
+    lo, hi = F.least("k", "j"), F.greatest("k", "j")
+    work = left.select(F.xxhash64("x", lo, hi).alias("key"), "x", "e", "comp", F.when(F.col("k") > F.col("j"), 1).when(F.col("k") < F.col("j"), 2).otherwise(0).alias("side"), "n", "r", "i", "lists")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     candidates = work.repartition(parts, "key").sortWithinPartitions("key", "e").mapInArrow(_blocks, "a long, b long").distinct()
-    second = verify(candidates, entities)
+    second = linked(overlaps(candidates, entities))
     links = materialise(first.union(second), "links")
+    release(entities, lists, star, comps)
     comps = connected_components(links)
 
     known = members.filter("n > 0").groupBy("e").agg(F.min("doc_id").alias("d")).join(comps.withColumnRenamed("node", "e"), "e", "left").withColumn("component", F.coalesce("component", "e"))
