@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from math import log2
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -14,8 +12,12 @@ from siltstone.functions.u64 import ALL, U
 
 #: Table entry i: the first eight bytes of MD5 over 64 bytes of value i.
 GEAR = np.array([int.from_bytes(hashlib.md5(bytes([i]) * 64).digest()[:8], "big") for i in range(256)], U)
-# Masks by number of one-bits, sizes and level of the signature, size limits.
-MASKS = {11: 0x0000D90003530000, 15: 0x0000D90F03530000}
+# Published masks by number of one-bits (5 to 25), sizes and level of the signature, size limits.
+MASKS = dict(enumerate((
+    0x0000000001804110, 0x0000000001803110, 0x0000000018035100, 0x0000001800035300, 0x0000019000353000, 0x0000590003530000, 0x0000D90003530000,
+    0x0000D90103530000, 0x0000D90303530000, 0x0000D90313530000, 0x0000D90F03530000, 0x0000D90303537000, 0x0000D90703537000, 0x0000D90707537000,
+    0x0000D91707537000, 0x0000D91747537000, 0x0000D91767537000, 0x0000D93767537000, 0x0000D93777537000, 0x0000D93777577000, 0x0000DB3777577000,
+), 5))
 MIN, AVG, MAX, LEVEL = 2048, 8192, 32768, 2
 LIMITS = {"min": (64, 1 << 20), "avg": (256, 4 << 20), "max": (1024, 16 << 20)}
 WINDOW = 64
@@ -30,12 +32,12 @@ def validate(lo: int, avg: int, hi: int) -> None:
 
 
 def select_masks(avg: int, level: int = LEVEL) -> tuple[int, int]:
-    """Strict and loose mask around round(log2 avg)."""
-    bits = round(log2(avg))
-    try:
-        return MASKS[bits + level], MASKS[bits - level]
-    except KeyError:
-        raise ValueError(f"no mask for an average of {avg} at level {level}") from None
+    """Strict and loose mask, ``level`` bits above and below the power of two nearest to ``avg``."""
+    if not 0 <= level <= 3:
+        raise ValueError("level must be 0 to 3")
+    floor = avg.bit_length() - 1
+    bits = floor + (2 * avg >= 3 << floor)
+    return MASKS[bits + level], MASKS[bits - level]
 
 
 def _rolled(g: np.ndarray) -> np.ndarray:

@@ -64,6 +64,30 @@ def test_one_megabyte_has_the_known_number_of_cuts():
     assert len(C.chunks(u64.splitmix_bytes(0x5EED5EED5EED5EED, 1 << 20))) == 107
 
 
+@pytest.mark.parametrize(("lo", "avg", "hi", "level"), [(64, 256, 1024, 3), (64, 400, 2000, 1), (1024, 4096, 9000, 0)])
+def test_other_geometries(lo, avg, hi, level):
+    data = u64.splitmix_bytes(9, 30000)
+    got = C.chunks(data, lo, avg, hi, level)
+    assert sum(n for _, _, n in got) == len(data) and all(n <= hi for _, _, n in got) and all(n >= lo for _, _, n in got[:-1])
+    strict, loose = C.select_masks(avg, level)
+    g, at = [int(x) for x in C.GEAR], 0
+    for fp, o, n in got:
+        assert o == at
+        at += n
+        if n > lo:
+            x, cut = 0, None
+            for i in range(lo, min(len(data) - o, hi)):
+                x = ((x << 1) + g[data[o + i]]) & u64.ALL
+                if x & (strict if i < min(avg, len(data) - o) else loose) == 0:
+                    cut = i
+                    break
+            assert n == (min(len(data) - o, hi) if cut is None else cut) and fp == x
+
+
+def test_mask_bits():
+    assert all(m.bit_count() == i for i, m in C.MASKS.items())
+
+
 def test_parameters_are_checked():
     with pytest.raises(ValueError):
         C.validate(32, 8192, 32768)
