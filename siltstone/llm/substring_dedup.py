@@ -264,10 +264,11 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     every = Window.partitionBy("m")
     keys = keys.withColumn("a", F.min(F.array_min("ids")).over(every)).withColumn("b", F.max(F.array_max("ids")).over(every))
     lists = keys.filter("a < b").select("m", F.explode("ids").alias("id")).groupBy("id").agg(F.collect_set("m").alias("ms"))
-    runs = map_slices(texts.join(lists, "id").select("id", "th", "text", "ms"), "text", "m long, id long, th long, pos int, gone int, hs array<long>", _candidates(k), SLICE)
+    # The kept columns ride along here, so that both joins read one and the same exchange.
+    runs = map_slices(texts.join(lists.hint("merge"), "id").select("id", "th", "text", *keep, "ms"), "text", "m long, id long, th long, pos int, gone int, hs array<long>", _candidates(k), SLICE)
     spans = runs.repartition("m").sortWithinPartitions("m").mapInArrow(_repeated(k), "id long, th long, pos int, size int")
     found = spans.groupBy("id").agg(F.collect_set(F.struct("th", "pos", "size")).alias("spans"))
-    joined = texts.join(found, "id", "left").select(F.when(F.col("id") < LAST, F.col("id")).cast(kind).alias("doc_id"), *keep, "th", "text", "spans")
+    joined = texts.join(found.hint("merge"), "id", "left").select(F.when(F.col("id") < LAST, F.col("id")).cast(kind).alias("doc_id"), *keep, "th", "text", "spans")
     fields = ", ".join(f"`{c}` {x}" for c, x in joined.dtypes if c not in ("th", "text", "spans"))
     tail = "kept_sha256 string" if digest else "kept string, removed array<struct<first:int,n:int>>"
     return map_slices(joined, "text", f"{fields}, n_words long, n_removed long, {tail}", _apply(digest))
@@ -279,14 +280,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated windows; a document of which nothing is left goes."""
-    out = substring_dedup(docs.select("doc_id", "text", F.struct("*").alias("_doc")), keep=("_doc",))
+    rest = [c for c in docs.columns if c != "text"]
+    out = substring_dedup(docs.select("doc_id", "text", F.col("text").isNull().alias("_none"), F.struct(*rest).alias("_doc")), keep=("_none", "_doc"))
     out = out.filter(F.col("kept").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_words") == 0))
-    changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept")).otherwise(F.col("_doc.text"))
-    doc = F.col("_doc").withField("text", text)
-    if "n_chars" in docs.columns:
-        doc = doc.withField("n_chars", F.when(changed, F.length("kept")).otherwise(F.col("_doc.n_chars")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(doc.alias("_doc")).select("_doc.*")
+    cols = {c: F.col(f"_doc.`{c}`") for c in rest} | {"text": F.when(~F.col("_none"), F.col("kept"))}
+    if "n_chars" in rest:
+        cols["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(cols["n_chars"]).cast(dict(docs.dtypes)["n_chars"])
+    return out.select(*(cols[c].alias(c) for c in docs.columns))
 
 
 SQL = f"""
