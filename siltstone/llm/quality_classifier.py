@@ -32,7 +32,6 @@ GRAM_BITS = 16
 DIM = 2 << GRAM_BITS
 #: Labelled rows of each class that the machine is fitted on, at most.
 SAMPLE = 3000
-#: Bytes of sample text that the driver holds at most; a longer text has its indicators made on an executor all the same.
 COST, ROUNDS, BETA, SMOOTH = 1.0, 30, 0.5, 1.0
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
@@ -139,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     """The model: ``weight`` (scaled by the ratios), ``bias``, ``slope`` and ``offset`` of the curve."""
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("doc_id"), F.col(label).alias("y"))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    seen, total = class_counts(texts.join(known, "doc_id"))
+    # Always merged: the labels grow with the documents, so neither side may be broadcast.
+    seen, total = class_counts(texts.join(known.hint("merge"), "doc_id"))
     if not total.all():
         share = float(total[1] / total.sum()) if total.sum() else 0.5
         return {"weight": np.zeros(DIM, np.float32), "bias": 0.0, "slope": 0.0, "offset": float(np.log(share + 1e-6) - np.log(1 - share + 1e-6)) if total.sum() else 0.0}
