@@ -84,38 +84,48 @@ def mixture(ll: np.ndarray, ptr: np.ndarray, rounds: int = ROUNDS, penalty: floa
 
     ``ll`` is the log-likelihood of each word under each language; every document has a word.
     """
-    n, k = np.diff(ptr), ll.shape[1]
-    doc = np.repeat(np.arange(len(n)), n)
     top = ll.max(1, keepdims=True)
     lik = np.exp(np.maximum(ll - top, -60.0))
-
-    def fit(pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        for _ in range(rounds):
-            r = lik * pi[doc]
-            r /= np.maximum(r.sum(1, keepdims=True), 1e-30)
-            pi = np.add.reduceat(r, ptr[:-1], axis=0) / n[:, None]
-        return pi, np.add.reduceat(np.log(np.maximum((lik * pi[doc]).sum(1), 1e-30)), ptr[:-1])
-
-    full, _ = fit(np.full((len(n), k), 1.0 / k, np.float32))
-    order = np.argsort(-full, axis=1, kind="stable")
-    rank = np.argsort(order, axis=1)
     # One language alone needs no EM: its likelihood is a sum.
     alone = np.add.reduceat(ll - top, ptr[:-1], axis=0)
     first = np.argmax(alone, axis=1)
-    best = np.zeros((len(n), k), np.float32)
-    best[np.arange(len(n)), first] = 1
-    best_ll, size = alone[np.arange(len(n)), first].astype(np.float64), np.ones(len(n), int)
+    k, every = ll.shape[1], np.arange(len(first))
+    best = np.zeros((len(first), k), np.float32)
+    best[every, first] = 1
+    best_ll, size = alone[every, first].astype(np.float64), np.ones(len(first), int)
+    full, full_ll = _fit(lik, ptr, np.full((len(first), k), 1.0 / k, np.float32), rounds)
+    # No set does better than all languages together: where even those don't make up for the
+    # smallest penalty (with a margin for rounds not run), one language it is.
+    n = np.diff(ptr)
+    open_ = np.flatnonzero(full_ll + 1.0 - penalty * np.log(n + 1) / 2 > best_ll)
+    if not len(open_):
+        return best, size
+    word = np.repeat(np.isin(every, open_), n)
+    lik, n = lik[word], n[open_]
+    ptr = np.concatenate(([0], np.cumsum(n)))
+    rank = np.argsort(np.argsort(-full[open_], axis=1, kind="stable"), axis=1)
     for s in range(2, k + 1):
-        live = rank < s
-        pi, value = fit(np.where(live, 1.0 / s, 0.0).astype(np.float32))
+        pi, value = _fit(lik, ptr, np.where(rank < s, 1.0 / s, 0.0).astype(np.float32), rounds)
         value = value - penalty * (s - 1) * np.log(n + 1) / 2
-        better = value > best_ll
-        best[better], best_ll[better], size[better] = pi[better], value[better], s
+        better = value > best_ll[open_]
+        i = open_[better]
+        best[i], best_ll[i], size[i] = pi[better], value[better], s
         if not better.any():
             break
     return best, size
 
 
+def _fit(lik: np.ndarray, ptr: np.ndarray, pi: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation of the proportions of all documents at once, and their log-likelihoods."""
+    n = np.diff(ptr)
+    doc = np.repeat(np.arange(len(n)), n)
+    for _ in range(rounds):
+        r = lik * pi[doc]
+        r /= np.maximum(r.sum(1, keepdims=True), 1e-30)
+        pi = np.add.reduceat(r, ptr[:-1], axis=0) / n[:, None]
+    return pi, np.add.reduceat(np.log(np.maximum((lik * pi[doc]).sum(1), 1e-30)), ptr[:-1])
+
+
 def predict(docs: DataFrame, langs: list[str], model: np.ndarray, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, lang_pred, score, n_langs, mixture) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast((langs, model))
