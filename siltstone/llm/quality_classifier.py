@@ -178,8 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     return {"weight": (w[:DIM] * ratio).astype(np.float32), "square": (ratio * ratio).astype(np.float32), "bias": float(w[DIM]), "slope": slope, "offset": offset}
 
 
-def score(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, score, predicted) of every document, and the columns in ``keep``."""
+def score(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), threshold: float = THRESHOLD, with_text: bool = False) -> DataFrame:
+    """(doc_id, score, predicted) of every document, the columns in ``keep``, and on request the text as ``_text``."""
+    gone = () if with_text else ("_text",)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -192,10 +193,10 @@ def score(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_i
             norm[some] = np.sqrt(np.add.reduceat(m["square"][f].astype(np.float64), ptr[:-1][some]))
         z = m["slope"] * (total / np.maximum(norm, 1e-9) + m["bias"]) + m["offset"]
         s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        return pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names if c != "_text"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*(c for c in b.schema.names if c != "_text"), "score", "predicted"])
+        return pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names if c not in gone), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*(c for c in b.schema.names if c not in gone), "score", "predicted"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("_text"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "_text")
+    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c not in gone)
     return map_slices(rows, "_text", f"{fields}, score double, predicted int", kernel)
 
 
@@ -212,5 +213,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     model = train(_train_rows(docs), table(spark, sf_dir, "labels"))
-    rows = docs.select("doc_id", "text", F.struct("*").alias("_doc"))
-    return score(rows, model, keep=("_doc",)).filter("predicted = 1").select("_doc.*")
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select("doc_id", "text", F.struct(*rest).alias("_doc"))
+    out = score(rows, model, keep=("_doc",), with_text=True).filter("predicted = 1")
+    return out.select(*((F.col("_text") if c == "text" else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns))
