@@ -15,8 +15,8 @@ follows; null texts are empty. Training rows are those whose crc32(doc_id as tex
 (null ids train). Rows are scored independently, repeated rows equally. With no training rows
 every word is unseen.
 
-Scale: counts are summed by word after map-side counting. The ``TOP`` most frequent words travel as
-a dictionary of fixed size; the rest of a document's words meet their counts in a shuffle join,
+Scale: counts are summed by word after map-side counting. At most ``TOP`` of the most frequent words travel
+as a dictionary; the rest of a document's words meet their counts in a shuffle join,
 where no word can be hot, since all frequent words are in the dictionary.
 """
 
@@ -62,6 +62,21 @@ def count_words(train: DataFrame) -> DataFrame:
     return map_slices(train.select("text"), "text", "word string, c long", kernel, SLICE).groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words above the smallest count that leaves at most ``most`` of them.
+
+    The cut comes from a histogram over steps of a sixteenth of a doubling, a table of fixed size;
+    so no task sends more than its share of the result, as it would for an ordered limit.
+    """
+    step = F.floor(F.log2("c") * 16).cast("int")
+    kept, cut = 0, None
+    for s, n in sorted(((r.s, r.n) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True):
+        if kept + n > most:
+            break
+        kept, cut = kept + n, s
+    return counts.filter(step >= cut) if cut is not None else counts.limit(0)
+
+
 def suffix(words: list[bytes]) -> np.ndarray:
     """The last two bytes of each word as a number."""
     return np.fromiter((x[-1] | (x[-2] << 8 if len(x) > 1 else 0) for x in words), np.int64, len(words))
@@ -321,7 +336,7 @@ def lm_score(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: str
     counts = materialise(count_words(train.select(F.col(text).alias("text"))), "counts")
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(sums["n"] or 0), int(sums["v"])
-    top = counts.orderBy(F.desc("c"), "word").limit(TOP).toArrow()
+    top = frequent(counts, TOP).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     ends = F.encode("word", "UTF-8")
     last = F.conv(F.hex(F.substring(ends, -2, 2)), 16, 10).cast("int")
     tail = counts.filter("word <> ''").groupBy(last.alias("s")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow()
