@@ -37,27 +37,32 @@ def words(text: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE))
 
 
+def hashes(w: Column) -> Column:
+    """Each word is hashed once; pairs and windows hash these numbers."""
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
 def _bucket(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
 
 
-def _grams(w: Column) -> Column:
-    ones = F.transform(w, lambda x: _bucket(x))
-    twos = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: _bucket(F.get(w, i), F.get(w, i + 1)))
-    return F.concat(ones, F.when(F.size(w) > 1, twos).otherwise(F.array().cast("array<int>")))
+def _grams(h: Column) -> Column:
+    ones = F.transform(h, lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int"))
+    twos = F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: _bucket(F.get(h, i), F.get(h, i + 1)))
+    return F.concat(ones, F.when(F.size(h) > 1, twos).otherwise(F.array().cast("array<int>")))
 
 
 def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``_w`` (words), and the base statistics of the contract."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_w", words(F.col(text)))
-    w, n = F.col("_w"), F.size("_w")
+    df = docs.withColumn("_w", words(F.col(text))).withColumn("_h", hashes(F.col("_w")))
+    w, h, n = F.col("_w"), F.col("_h"), F.size("_w")
     # slice() copies its whole input, get() doesn't. Hashes tell which texts can repeat a window at
     # all; in those the windows themselves are put together and sorted.
-    five = lambda i: [F.get(w, i + j) for j in range(WINDOW)]
+    five = lambda a, i: [F.get(a, i + j) for j in range(WINDOW)]
     starts = F.sequence(F.lit(0), n - WINDOW)
-    df = df.withColumn("_hashes", F.when(n >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*five(i)))))
-    pairs = F.array_sort(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", *five(i)).alias("s"), i.alias("i"))))
+    df = df.withColumn("_hashes", F.when(n >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*five(h, i)))))
+    pairs = F.array_sort(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", *five(w, i)).alias("s"), i.alias("i"))))
     df = df.withColumn("_sorted", F.when(F.size("_hashes") > F.size(F.array_distinct("_hashes")), pairs))
     df = df.withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     s = F.col("_sorted")
@@ -78,8 +83,8 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
 def ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row, one column ``r``: the array of log(target / raw) of every bucket, add-one smoothed."""
     good = trusted.filter(F.col("quality") == 1).select(F.col(doc_id).alias("_good")).distinct()
-    # The words are a column of their own: inside a lambda an expression would run for every element.
-    grams = lambda df: df.select(words(F.col(text)).alias("_w")).select(F.explode(_grams(F.col("_w"))).alias("b"))
+    # The hashes are a column of their own: inside a lambda an expression would run for every element.
+    grams = lambda df: df.select(hashes(words(F.col(text))).alias("_h")).select(F.explode(_grams(F.col("_h"))).alias("b"))
     raw = grams(docs).groupBy("b").agg(F.count("*").alias("c"))
     # Always merged: the labels grow with the documents, so neither side may be broadcast.
     marked = docs.join(good.hint("merge"), docs[doc_id] == good["_good"], "left_semi")
@@ -96,7 +101,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_i
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept)."""
     docs, text, doc_id = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "doc_id"
     r = ratios(docs, trusted, text, doc_id)
-    df = base_columns(docs, text).withColumn("_g", _grams(F.col("_w")))
+    df = base_columns(docs, text).withColumn("_g", _grams(F.col("_h")))
     df = df.withColumn("_r", r.scalar())
     total = F.aggregate("_g", F.lit(0.0), lambda a, b: a + F.element_at(F.col("_r"), b + 1))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
