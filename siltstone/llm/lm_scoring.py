@@ -341,8 +341,11 @@ def lm_score(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: str
     last = F.conv(F.hex(F.substring(ends, -2, 2)), 16, 10).cast("int")
     tail = counts.filter("word <> ''").groupBy(last.alias("s")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow()
     v = Vocabulary([x.encode() for x in top["word"].to_pylist()], top["c"].to_numpy(), {s: (n, d) for s, n, d in zip(*(tail[c].to_pylist() for c in ("s", "n", "v")), strict=True)}, total, distinct)
-    sample = train.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS)
+    # Ids first: an ordered limit sends its whole size from every task, so it must be narrow.
+    rows = train.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
+    key = (F.xxhash64("doc_id"), F.xxhash64("text"))
+    chosen = rows.select(key[0].alias("k"), key[1].alias("t")).distinct().orderBy("k", "t").limit(SAMPLE_DOCS)
+    sample = rows.withColumns({"k": key[0], "t": key[1]}).join(F.broadcast(chosen), ["k", "t"]).dropDuplicates(["k", "t"]).orderBy("k", "t").select("text")
     net = train_network([(x.text or "").encode().lower() for x in sample.collect()], v)
     shared = spark.sparkContext.broadcast((v, net))
 
