@@ -6,9 +6,11 @@ by their last two bytes, and within such a class a word has its add-one share of
 training counts, with one more share for every unseen word. So each word of any text has a
 probability, and all counts cover all training documents.
 
-The network is trained by truncated backpropagation (windows of ``STEPS`` words, state carried on)
-on a bounded sample of training documents; scoring carries the state across windows to the end of
-the document, whatever its length.
+The network is trained by truncated backpropagation (windows of ``STEPS`` words, state carried on to
+the end of the document, whatever its length) on all training documents: every partition trains a copy of the
+network on its rows, and the copies are averaged by their words. A bounded sample only gives all
+copies the same start.
+Scoring carries the state across windows in the same way.
 
 Definitions: words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; one end token
 follows; null texts are empty. Training rows are those whose crc32(doc_id as text) mod 7 is not 2
@@ -17,19 +19,22 @@ every word is unseen.
 
 Scale: counts are summed by word after map-side counting. At most ``TOP`` of the most frequent words travel
 as a dictionary; the rest of a document's words meet their counts in a shuffle join,
-where no word can be hot, since all frequent words are in the dictionary.
+where no word can be hot, since all frequent words are in the dictionary. A partition's copy of the
+network leaves its task in blocks of ``BLOCK`` numbers that are averaged where they meet, so the
+driver gets one network, however many partitions there are.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.arrow import map_slices
+from siltstone.llm.arrow import map_slices, slices
 from siltstone.llm.language_id import fold
 from siltstone.runtime import materialise, table
 
@@ -37,9 +42,11 @@ FOLDS, HELD_OUT = 7, 2
 TOP, HEAD = 1 << 17, 2000
 HEAD_CLASSES, TAIL_CLASSES = 40, 62
 HIDDEN, STEPS = 32, 16
-#: The training sample: at most so many documents of at most so many characters, so many passes.
+#: The sample that the start is trained on: at most so many documents of at most so many characters, so many passes.
 SAMPLE_DOCS, SAMPLE_CHARS, PASSES, STREAMS = 2500, 200_000, 2, 128
 RATE = 0.004
+#: Training on all documents: streams of a partition, windows that few streams take at once, numbers in a block of weights.
+WIDE, WINDOWS, BLOCK = 256, 8, 1 << 12
 SLOTS = 256
 SLICE = 8 << 20
 END = ""
@@ -159,6 +166,16 @@ class Network:
         self.p["bc"][:] = np.log(mass / mass.sum())
         self.p["bo"][:] = np.log(v.counts[: v.head] + 1)
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.p.values()])
+
+    def copy(self, flat: np.ndarray | None = None) -> Network:
+        """A network of the same shape with its own weights, or those of ``flat``."""
+        out, flat = object.__new__(Network), self.flat() if flat is None else flat
+        cuts = np.cumsum([x.size for x in self.p.values()])[:-1]
+        out.p = {k: w.reshape(x.shape).copy() for (k, x), w in zip(self.p.items(), np.split(flat, cuts), strict=True)}
+        return out
+
     def run(self, symbols: np.ndarray, h: np.ndarray, keep: bool = False):
         """States before each step of (steps, streams) symbols after the first update, and what backpropagation needs."""
         p, n = self.p, HIDDEN
@@ -242,14 +259,30 @@ class Network:
         grad["x"] = (u, np.add.reduceat(dx.reshape(-1, 3 * n)[order], first, axis=0))
 
 
+class Adam:
+    """Steps along the mean gradient of so many words."""
+
+    def __init__(self, net: Network):
+        self.net = net
+        self.m = {k: np.zeros_like(x) for k, x in net.p.items()}
+        self.s2 = {k: np.zeros_like(x) for k, x in net.p.items()}
+
+    def step(self, grad: dict, words: int, rate: float) -> None:
+        for k, g in grad.items():
+            rows, g = g if isinstance(g, tuple) else (slice(None), g)
+            g = g * np.float32(8 / words)
+            self.m[k][rows] = 0.9 * self.m[k][rows] + 0.1 * g
+            self.s2[k][rows] = 0.99 * self.s2[k][rows] + 0.01 * g * g
+            self.net.p[k][rows] -= rate * self.m[k][rows] / (np.sqrt(self.s2[k][rows]) + 1e-6)
+
+
 def train_network(texts: list[bytes], v: Vocabulary) -> Network:
-    """Adam on streams of whole documents joined one after another; a document starts from a zero state."""
+    """The start: Adam on streams of whole documents of a sample, joined one after another."""
     net = Network(v)
     docs = [s for s in (v.encode(t)[0] for t in texts) if len(s) > 1]
     if not docs:
         return net
-    m = {k: np.zeros_like(x) for k, x in net.p.items()}
-    s2 = {k: np.zeros_like(x) for k, x in net.p.items()}
+    adam = Adam(net)
     rng, step = np.random.default_rng(11), 0
     total = PASSES * sum(map(len, docs)) / (STREAMS * STEPS) + 1
     for _ in range(PASSES):
@@ -281,15 +314,80 @@ def train_network(texts: list[bytes], v: Vocabulary) -> Network:
             h = states[-1] * (target[-1] != v.end)[:, None]
             step += 1
             rate = RATE * min(1.0, step / 20) * max(0.1, 1 - step / total)
-            for k, g in grad.items():
-                rows, g = g if isinstance(g, tuple) else (slice(None), g)
-                g = g / flat.sum() * 8
-                m[k][rows] = 0.9 * m[k][rows] + 0.1 * g
-                s2[k][rows] = 0.99 * s2[k][rows] + 0.01 * g * g
-                net.p[k][rows] -= rate * m[k][rows] / (np.sqrt(s2[k][rows]) + 1e-6)
+            adam.step(grad, int(flat.sum()), rate)
     return net
 
 
+def train_on(docs: Iterator[np.ndarray], net: Network, v: Vocabulary, rate: float) -> int:
+    """Train ``net`` once on every symbol sequence; the number of symbols.
+
+    A stream takes the next document when its own ends and starts it from a zero state; windows with
+    few words take shorter steps.
+    """
+    adam, words, step = Adam(net), 0, 0
+    own: list = [None] * WIDE
+    at = np.zeros(WIDE, np.int64)
+    h = np.zeros((WIDE, HIDDEN), np.float32)
+    while True:
+        for j in [j for j, d in enumerate(own) if d is None]:
+            own[j], at[j], h[j] = next(docs, None), 0, 0
+        use = [j for j, d in enumerate(own) if d is not None]
+        if not use:
+            return words
+        if len(use) < len(own):
+            own, at, h = [own[j] for j in use], at[use], h[use]
+        steps = STEPS * min(WINDOWS, WIDE // len(own))
+        inputs = np.full((steps, len(own)), v.end, np.int32)
+        target = np.full((steps, len(own)), -1, np.int32)
+        for j, (d, a) in enumerate(zip(own, at.tolist(), strict=True)):
+            part = d[a : a + steps]
+            target[: len(part), j] = part
+            if a:
+                inputs[: len(part), j] = d[a - 1 : a - 1 + len(part)]
+            else:
+                inputs[1 : len(part), j] = part[:-1]
+            if a + steps >= len(d):
+                own[j] = None
+        at += steps
+        states, saved = net.run(inputs, h, True)
+        h = states[-1].copy()
+        flat = (target >= 0).ravel()
+        n, grad = int(flat.sum()), {}
+        _, ds = net.output(states.reshape(-1, HIDDEN)[flat], target.ravel()[flat], v, grad)
+        full = np.zeros((flat.size, HIDDEN), np.float32)
+        full[flat] = ds
+        net.backward(inputs, saved, full.reshape(states.shape), grad)
+        words, step = words + n, step + 1
+        adam.step(grad, n, rate * min(1.0, step / 20) * n / (WIDE * STEPS))
+
+
+def train_all(rows: DataFrame, net: Network, vocabulary, rate: float) -> tuple[Network, int]:
+    """The mean of the networks that the partitions of (text) make of ``net``, by their words; and the words."""
+    start = rows.sparkSession.sparkContext.broadcast(net)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, net = vocabulary.value, start.value.copy()
+        # Longest first, so that they run beside the others.
+        texts = (t for b in batches for part in slices(b, "text", SLICE) for t in sorted(texts_of(part), key=len, reverse=True))
+        words = train_on((v.encode(t)[0] for t in texts), net, v, rate)
+        if words:
+            flat = net.flat()
+            blocks = [flat[a : a + BLOCK].tobytes() for a in range(0, len(flat), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary()), pa.array([words] * len(blocks), pa.int64())], names=["block", "weights", "words"])
+
+    def mean(t: pa.Table) -> pa.Table:
+        n, x = t["words"].to_pylist(), t["weights"].to_pylist()
+        # Sorted, so that the order in which copies arrive does not show in the last digits.
+        total = sum(np.frombuffer(b, np.float32) * np.float64(k) for k, b in sorted(zip(n, x, strict=True)))
+        return pa.table({"block": t["block"][:1], "weights": pa.array([(total / sum(n)).astype(np.float32).tobytes()], pa.binary()), "words": pa.array([sum(n)], pa.int64())})
+
+    schema = "block int, weights binary, words long"
+    made = rows.mapInArrow(train, schema).groupBy("block").applyInArrow(mean, schema).toArrow().sort_by("block")
+    if not made.num_rows:
+        return net, 0
+    return net.copy(np.frombuffer(b"".join(made["weights"].to_pylist()), np.float32)), made["words"][0].as_py()
+
+
 def score_documents(docs: list[np.ndarray], net: Network, v: Vocabulary) -> np.ndarray:
     """Natural log-probability of each symbol sequence (the end included), tail symbols by class only.
 
@@ -347,10 +445,12 @@ def lm_score(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: str
     chosen = rows.select(key[0].alias("k"), key[1].alias("t")).distinct().orderBy("k", "t").limit(SAMPLE_DOCS)
     sample = rows.withColumns({"k": key[0], "t": key[1]}).join(F.broadcast(chosen), ["k", "t"]).dropDuplicates(["k", "t"]).orderBy("k", "t").select("text")
     net = train_network([(x.text or "").encode().lower() for x in sample.collect()], v)
-    shared = spark.sparkContext.broadcast((v, net))
+    vocabulary = spark.sparkContext.broadcast(v)
+    net, _ = train_all(train.select(F.col(text).alias("text")), net, vocabulary, RATE / 2)
+    network = spark.sparkContext.broadcast(net)
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-        v, net = shared.value
+        v, net = vocabulary.value, network.value
         symbols, base, fixed, rest, n = [], [], [], [], []
         for t in texts_of(b, "_text"):
             s, at, words = v.encode(t)

@@ -195,3 +195,22 @@ def test_pipeline(spark, sf, docs, labels):
     assert state.filter("copies < 1").count() == 0
     assert not any(labels[i].quality == 0 for i in was if i in labels)
     assert corpus_pipeline.run(spark, sf).count() == len(was)
+
+
+def test_language_model_trains_on_every_document(spark, monkeypatch):
+    """Words that only documents beyond the sample hold: more rows than it takes, and one text over its length."""
+    monkeypatch.setattr(lm_scoring, "SAMPLE_DOCS", 3)
+    monkeypatch.setattr(lm_scoring, "SAMPLE_CHARS", 400)
+    rows = [(i, "red fox runs " * 20) for i in range(40)] + [(100, "blue cat sleeps " * 400)]
+    full, short = (spark.createDataFrame(x, "doc_id long, text string") for x in (rows, rows[:-1]))
+    seen = []
+    real = lm_scoring.train_all
+    monkeypatch.setattr(lm_scoring, "train_all", lambda *a: seen.append(real(*a)) or seen[-1])
+    for docs in (full, short):
+        lm_scoring.lm_score(docs, docs).collect()
+    assert [n for _, n in seen] == [sum(len(t.split()) + 1 for _, t in x) for x in (rows, rows[:-1])]
+
+    test = spark.createDataFrame([(0, "blue cat sleeps " * 20)], "doc_id long, text string")
+    with_it = lm_scoring.lm_score(test, full).first().score
+    monkeypatch.setattr(lm_scoring, "train_all", lambda rows, net, *a: (net, 0))
+    assert with_it > lm_scoring.lm_score(test, full).first().score
