@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.functions.chunking import binary_signature
 from siltstone.operators.components import connected_components
-from siltstone.operators.matching import binary_pairs, text_blocks
+from siltstone.operators.matching import binary_pairs, lsh_candidates, text_blocks, text_pairs
 from siltstone.runtime import materialise
 
 
@@ -42,6 +42,26 @@ def text_signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return members, reps, materialise(sigs, "sigs")
 
 
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b, jaccard, copy): matching pairs of representatives, and each other member b of a representative a."""
+    members, reps, sigs = text_signatures(docs, key, text)
+    copies = members.join(reps, "tier1").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("copy"))
+    return text_pairs(sigs).withColumn("copy", F.lit(False)).unionByName(copies)
+
+
+def lookup(docs: DataFrame, asked: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, id): LSH candidates of the rows that ``asked`` (of ``id``) picks, among all rows.
+
+    Representatives meet in the buckets; queries and hits are then their members.
+    """
+    members, reps, sigs = text_signatures(docs, key, text)
+    rows = materialise(members.join(reps, "tier1").select("id", "rep"), "members")
+    queries = rows.filter(asked).select(F.col("id").alias("query_id"), F.col("rep").alias("query_rep"))
+    own = sigs.join(queries.select(F.col("query_rep").alias("id")).distinct(), "id", "left_semi")
+    hits = materialise(lsh_candidates(own, sigs).select(F.col("query_id").alias("query_rep"), F.col("id").alias("rep")), "candidates")
+    return queries.join(hits, "query_rep").join(rows, "rep").select("query_id", "id")
+
+
 def _text_links(sigs: DataFrame, min_jaccard: float) -> DataFrame:
     """Links that give the components: to the smallest member of every block first, then only
     between rows that are still apart."""

@@ -51,8 +51,9 @@ def shingle_counts(spark, sf):
 
 
 def text_near_duplicates(spark, sf):
-    _, _, sigs = dedup.text_signatures(_docs(spark, sf))
-    return matching.text_pairs(sigs)
+    """(a, b, jaccard, copy): pairs of distinct texts, each under its smallest id, and with ``copy`` each
+    further row b of the text a. A pair holds for all copies of its sides."""
+    return dedup.near_duplicates(_docs(spark, sf))
 
 
 def text_dedup(spark, sf):
@@ -64,8 +65,8 @@ def dedup_report(spark, sf):
 
 
 def lsh_candidates(spark, sf):
-    _, _, sigs = dedup.text_signatures(_docs(spark, sf))
-    return matching.lsh_candidates(sigs.filter("id % 50 = 0"), sigs)
+    """(query_id, id) of every 50th row against all rows, copies on both sides included."""
+    return dedup.lookup(_docs(spark, sf), F.col("id") % 50 == 0)
 
 
 def binary_dedup(spark, sf):

@@ -176,3 +176,22 @@ def test_stream_of_copies(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.id, r.match) for r in spark.table("nears").collect()} == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)}
+
+
+def test_copies_are_asked_and_found(spark):
+    rows = [*_texts(), *((i, _texts()[1][1]) for i in range(200, 400)), (150, _texts()[2][1]), (450, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    sig = {i: T.signature_of(t) for i, t in rows if t is not None}
+    stripes = {i: [s.reshape(T.BANDS, T.ROWS)[k].tobytes() for k in range(T.BANDS)] for i, s in sig.items()}
+    want = {(q, i) for q in sig if q % 50 == 0 for i in sig if any(x == y for x, y in zip(stripes[q], stripes[i], strict=True))}
+    got = [(r.query_id, r.id) for r in dedup.lookup(df, F.col("id") % 50 == 0).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (150, 2) in want and (200, 399) in want
+
+    near = dedup.near_duplicates(df).collect()
+    group = {i: {i} for i in sig}
+    for r in near:
+        if r["copy"]:
+            group[r.a].add(r.b)
+    pairs = {tuple(sorted((a, b))) for r in near for a in group[r.a] for b in group[r.b] if not r["copy"]}
+    pairs |= {(a, b) for g in group.values() if len(g) > 1 for a in g for b in g if a < b}
+    assert pairs == {(a, b) for a, b in itertools.combinations(sorted(sig), 2) if (sig[a] == sig[b]).mean() >= 0.8}
