@@ -2,8 +2,8 @@
 
 A spaced seed reads only some of the positions of a word window, so a substituted word at an
 ignored position leaves the seed's hash as it was. Seeds of the benchmark and of the documents are
-joined on their hash; each hit is then extended along its diagonal, and the overlap counts if
-enough of its words agree.
+joined on their hash; each hit that no earlier segment of its diagonal covers is then extended along
+the diagonal, and an overlap counts if enough of its words agree.
 
 Definitions:
 
@@ -152,19 +152,24 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id:
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text"))
     hits = materialise(map_slices(texts, "text", f"doc_id {kind}, text string, seeds array<long>, at array<int>", find).withColumn("row", F.monotonically_increasing_id()), "hits")
     exploded = hits.select("row", F.explode(F.arrays_zip("seeds", "at")).alias("x")).select("row", F.col("x.seeds").alias("seed"), F.col("x.at").alias("p"))
-    pairs = exploded.join(seed_rows, "seed").groupBy("row", "item_id", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.min(F.struct("p", "q")).alias("at"), F.count("*").alias("n_seeds"))
+    pairs = exploded.join(seed_rows, "seed").groupBy("row", "item_id", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.array_sort(F.collect_set("p")).alias("p"))
     items = bench.select(F.col("item_id"), F.lower("text").alias("item"))
-    both = pairs.select("row", "item_id", "at.p", "at.q").join(items, "item_id").join(hits.select("row", "doc_id", "text"), "row").select("doc_id", "row", "item_id", "p", "q", "text", "item")
+    both = pairs.select("row", "item_id", "p", "diagonal").join(items, "item_id").join(hits.select("row", "doc_id", "text"), "row").select("doc_id", "row", "item_id", "p", "diagonal", "text", "item")
 
     def verify(batches):
         for b in batches:
             a, c = W.split(b["text"], False, W.ALNUM), W.split(b["item"], False, W.ALNUM)
             ha, hc, rows = a.hashes(), c.hashes(), []
-            for i, (p, q) in enumerate(zip(b["p"].to_pylist(), b["q"].to_pylist(), strict=True)):
+            for i, (hits, diagonal) in enumerate(zip(b["p"].to_pylist(), b["diagonal"].to_pylist(), strict=True)):
                 x, y = ha[a.ptr[i] : a.ptr[i + 1]], hc[c.ptr[i] : c.ptr[i + 1]]
-                start, n, equal = _extend(x, y, p, q)
-                if equal >= min(MIN_EQUAL, len(y)) and equal >= MIN_SHARE * n:
-                    rows.append((i, start, start - p + q, n, equal, len(y)))
+                end = -1
+                for p in hits:
+                    if p < end:
+                        continue
+                    start, n, equal = _extend(x, y, p, p - diagonal)
+                    end = start + n
+                    if equal >= min(MIN_EQUAL, len(y)) and equal >= MIN_SHARE * n:
+                        rows.append((i, start, start - diagonal, n, equal, len(y)))
             if rows:
                 i, *cols = (np.array(x) for x in zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(i)), b["row"].take(pa.array(i)), b["item_id"].take(pa.array(i)), *(pa.array(x.astype(np.int64)) for x in cols)], names=["doc_id", "row", "item_id", "doc_start", "item_start", "n_words", "n_equal", "item_words"])

@@ -214,3 +214,14 @@ def test_language_model_trains_on_every_document(spark, monkeypatch):
     with_it = lm_scoring.lm_score(test, full).first().score
     monkeypatch.setattr(lm_scoring, "train_all", lambda rows, net, *a: (net, 0))
     assert with_it > lm_scoring.lm_score(test, full).first().score
+
+
+def test_a_weak_opening_does_not_hide_the_rest_of_a_diagonal(spark):
+    item = [f"w{i}" for i in range(60)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    # Only one seed's words of the opening are kept, then nothing up to the word 20.
+    opening = [w if c == "1" else f"z{i}" for i, (w, c) in enumerate(zip(item, decontaminate.MASKS[0], strict=False))]
+    doc = opening + [f"n{i}" for i in range(20 - len(opening))] + item[20:]
+    docs = spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string")
+    got = decontaminate.decontaminate(docs, bench).collect()
+    assert [(r.doc_id, r.item_id, r.doc_start, r.item_start, r.n_equal) for r in got] == [(1, 7, 20, 20, 40)]
