@@ -6,50 +6,57 @@ by their last two bytes, and within such a class a word has its add-one share of
 training counts, with one more share for every unseen word. So each word of any text has a
 probability, and all counts cover all training documents.
 
-The network is trained by truncated backpropagation (windows of ``STEPS`` words, state carried on to
-the end of the document, whatever its length) on all training documents: every partition trains a copy of the
-network on its rows, and the copies are averaged by their words. A bounded sample only gives all
-copies the same start.
+The network is trained by truncated backpropagation (windows of ``STEPS`` words, state carried on
+to the end of the document, whatever its length) on every training document once, in ``ROUNDS``.
+A round takes a fixed share of the rows by their hash: every partition trains a copy of the
+network on its rows, and the copies are averaged by their words into the next round's network.
+There is no sample: what is trained on grows with the input, repeated rows included.
 Scoring carries the state across windows in the same way.
 
 Definitions: words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; one end token
-follows; null texts are empty. Training rows are those whose crc32(doc_id as text) mod 7 is not 2
-(null ids train). Rows are scored independently, repeated rows equally. With no training rows
-every word is unseen.
-
-Scale: counts are summed by word after map-side counting. At most ``TOP`` of the most frequent words travel
-as a dictionary; the rest of a document's words meet their counts in a shuffle join,
-where no word can be hot, since all frequent words are in the dictionary. A partition's copy of the
-network leaves its task in blocks of ``BLOCK`` numbers that are averaged where they meet, so the
-driver gets one network, however many partitions there are.
+follows; null texts are empty. Training rows of the query are those whose crc32(doc_id as text)
+mod 7 is not 2 (null ids train). Rows are scored independently, repeated rows equally. With no
+training rows every word is unseen.
+
+Scale: counts are summed by word after map-side counting. At most ``TOP`` of the most frequent
+words travel as a dictionary; each other word of a document is sent once, with its number, to meet
+its count in a merge join. No such word is frequent in training; one that is frequent only in rows
+that are scored makes a skewed partition, which adaptive execution splits. Texts are read twice, to count and to encode; training and scoring
+read symbols of two bytes. A copy of the network leaves its task as numbers that are summed by
+their place, exactly, so the driver gets one network however many partitions there are.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.arrow import map_slices, slices
+from siltstone.llm.arrow import map_slices
 from siltstone.llm.language_id import fold
-from siltstone.runtime import materialise, table
+from siltstone.runtime import materialise, release, table
 
 FOLDS, HELD_OUT = 7, 2
-TOP, HEAD = 1 << 17, 2000
-HEAD_CLASSES, TAIL_CLASSES = 40, 62
-HIDDEN, STEPS = 32, 16
-#: The sample that the start is trained on: at most so many documents of at most so many characters, so many passes.
-SAMPLE_DOCS, SAMPLE_CHARS, PASSES, STREAMS = 2500, 200_000, 2, 128
-RATE = 0.004
-#: Training on all documents: streams of a partition, windows that few streams take at once, numbers in a block of weights.
-WIDE, WINDOWS, BLOCK = 256, 8, 1 << 12
-SLOTS = 256
+TOP, HEAD = 1 << 17, 1500
+HEAD_CLASSES, TAIL_CLASSES = 24, 40
+HIDDEN, EMBED, STEPS = 16, 12, 16
+#: Documents are dealt over so many lines, which advance together; fewer where that leaves under ``LEAST`` windows.
+LINES, LEAST = 512, 48
+#: Symbols that a task trains on or scores at once.
+CHUNK = 1 << 23
+#: Each round's share of the rows, in parts of ``SHARES``, and its rate.
+SHARES, ROUNDS = 32, ((1, 0.02), (1, 0.02), (2, 0.015), (4, 0.01), (8, 0.01), (16, 0.005))
 SLICE = 8 << 20
-END = ""
+PAD = (1 << 16) - 1
+#: Logits beyond this are shifted before they are exponentiated.
+SAFE = 60.0
+#: Weights are averaged as multiples of this.
+GRAIN = 2.0**-30
 
 
 def texts_of(b: pa.RecordBatch, column: str = "text") -> list[bytes]:
@@ -70,18 +77,29 @@ def count_words(train: DataFrame) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The words above the smallest count that leaves at most ``most`` of them.
+    """At most ``most`` of the most frequent words.
 
-    The cut comes from a histogram over steps of a sixteenth of a doubling, a table of fixed size;
-    so no task sends more than its share of the result, as it would for an ordered limit.
+    The cut comes from a histogram over steps of a sixteenth of a doubling, and inside the step that
+    it falls into from one over hash ranges: tables of fixed size. So no task sends more than
+    its share of the result, as it would for an ordered limit.
     """
     step = F.floor(F.log2("c") * 16).cast("int")
-    kept, cut = 0, None
+    part = F.pmod(F.xxhash64("word"), F.lit(1 << 16))
+    whole, cut, kept = 1 << 30, None, 0
     for s, n in sorted(((r.s, r.n) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True):
         if kept + n > most:
+            cut = s
             break
-        kept, cut = kept + n, s
-    return counts.filter(step >= cut) if cut is not None else counts.limit(0)
+        kept, whole = kept + n, s
+    chosen = step >= whole
+    if cut is not None:
+        first = 0
+        for k, n in sorted((r.k, r.n) for r in counts.filter(step == cut).groupBy(part.alias("k")).agg(F.count("*").alias("n")).collect()):
+            if kept + n > most:
+                break
+            kept, first = kept + n, k + 1
+        chosen = chosen | ((step == cut) & (part < first))
+    return counts.filter(chosen)
 
 
 def suffix(words: list[bytes]) -> np.ndarray:
@@ -106,7 +124,7 @@ class Vocabulary:
         self.index = {x: i for i, x in enumerate(words)}
         self.head = h = min(HEAD, len(words))
         mass = np.sqrt(self.counts[:h] + 1)
-        self.word_class = np.minimum((np.cumsum(mass) - mass) / mass.sum() * HEAD_CLASSES, HEAD_CLASSES - 1).astype(np.int32)
+        word_class = np.minimum((np.cumsum(mass) - mass) / mass.sum() * HEAD_CLASSES, HEAD_CLASSES - 1).astype(np.int32)
         # Counts of the words beyond the head, by suffix.
         left = {k: list(v) for k, v in tail.items()}
         for x, c in zip(words[:h], counts[:h].tolist(), strict=True):
@@ -116,19 +134,21 @@ class Vocabulary:
         most = sorted((k for k in left if left[k][0] > 0), key=lambda k: (-left[k][0], k))[: TAIL_CLASSES - 1]
         self.suffix_class = np.full(1 << 16, TAIL_CLASSES - 1, np.int32)
         self.suffix_class[most] = np.arange(len(most))
-        self.tail_mass = np.zeros(TAIL_CLASSES)
-        size = np.ones(TAIL_CLASSES)
+        tail_mass, size = np.zeros(TAIL_CLASSES), np.ones(TAIL_CLASSES)
         for k, (n, v) in left.items():
-            self.tail_mass[self.suffix_class[k]] += n
+            tail_mass[self.suffix_class[k]] += n
             size[self.suffix_class[k]] += n + v
         self.tail_size = np.log(size)
-        self.classes = HEAD_CLASSES + TAIL_CLASSES
         tail_index = suffix(words[h:]) if len(words) > h else np.zeros(0, np.int64)
-        #: Input symbol and class of each dictionary word: head words are their own symbol.
+        #: Symbol of each dictionary word: head words are their own symbol.
         self.symbol = np.concatenate((np.arange(h), h + self.suffix_class[tail_index])).astype(np.int32)
         self.symbols = h + TAIL_CLASSES
-        self.members = [np.flatnonzero(self.word_class == k) for k in range(HEAD_CLASSES)]
-        self.first = np.array([m[0] if len(m) else 0 for m in self.members])
+        #: Class of each symbol, first head word of each class, and the classes' shares of the training words.
+        self.class_of = np.concatenate((word_class, HEAD_CLASSES + np.arange(TAIL_CLASSES))).astype(np.uint8)
+        self.first = np.searchsorted(word_class, np.arange(HEAD_CLASSES + 1))
+        share = np.concatenate((np.bincount(word_class, self.counts[:h] + 1, HEAD_CLASSES), tail_mass + 1))
+        # A class that no word is in has no share; its logit must stay finite.
+        self.class_log = np.log(np.maximum(share / share.sum(), 1e-12))
         self.log_count = np.log(self.counts + 1)
         self.end = self.index[b""]
 
@@ -142,29 +162,26 @@ class Vocabulary:
         rest = [words[i] for i in miss.tolist()]
         if rest:
             symbols[miss] = self.head + self.suffix_class[suffix(rest)]
-        return symbols, at, rest
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+        return symbols.astype(np.uint16), at, rest
 
 
 class Network:
-    """Gated recurrent cell with a table of input pre-activations and the factored softmax."""
+    """Embedding, gated recurrent cell and the factored softmax."""
 
     def __init__(self, v: Vocabulary, seed: int = 5):
         rng = np.random.default_rng(seed)
         normal = lambda *s, scale: rng.normal(0, scale, s).astype(np.float32)
-        h = HIDDEN
+        h, e = HIDDEN, EMBED
+        bias = v.log_count[: v.head].astype(np.float32)
+        for lo, hi in zip(v.first[:-1], v.first[1:], strict=True):
+            if hi > lo:
+                bias[lo:hi] -= bias[lo:hi].max()
         self.p = {
-            "x": normal(v.symbols, 3 * h, scale=0.1), "u": normal(h, 3 * h, scale=h**-0.5), "b": np.zeros(3 * h, np.float32),
-            "wc": normal(h, v.classes, scale=0.05), "bc": np.zeros(v.classes, np.float32),
-            "wo": normal(v.head, h, scale=0.05), "bo": np.zeros(v.head, np.float32),
+            "e": normal(v.symbols, e, scale=0.3), "w": normal(e, 3 * h, scale=0.3), "u": normal(h, 3 * h, scale=h**-0.5),
+            "b": np.repeat(np.array([1, 0, 0], np.float32), h),
+            "wc": normal(h, HEAD_CLASSES + TAIL_CLASSES, scale=0.05), "bc": v.class_log.astype(np.float32),
+            "wo": normal(v.head, h, scale=0.05), "bo": bias,
         }
-        self.p["b"][:h] = 1.0
-        mass = np.concatenate((np.bincount(v.word_class, v.counts[: v.head] + 1, HEAD_CLASSES), v.tail_mass + 1))
-        self.p["bc"][:] = np.log(mass / mass.sum())
-        self.p["bo"][:] = np.log(v.counts[: v.head] + 1)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.p.values()])
@@ -173,90 +190,128 @@ class Network:
         """A network of the same shape with its own weights, or those of ``flat``."""
         out, flat = object.__new__(Network), self.flat() if flat is None else flat
         cuts = np.cumsum([x.size for x in self.p.values()])[:-1]
-        out.p = {k: w.reshape(x.shape).copy() for (k, x), w in zip(self.p.items(), np.split(flat, cuts), strict=True)}
+        out.p = {k: w.reshape(x.shape).astype(np.float32) for (k, x), w in zip(self.p.items(), np.split(flat, cuts), strict=True)}
         return out
 
-    def run(self, symbols: np.ndarray, h: np.ndarray, keep: bool = False):
-        """States before each step of (steps, streams) symbols after the first update, and what backpropagation needs."""
+    def run(self, symbols: np.ndarray, h: np.ndarray, end: int, keep: bool = False):
+        """States after each step of (steps, lines) symbols, and what backpropagation needs. An end symbol starts a document."""
         p, n = self.p, HIDDEN
-        x = p["x"][symbols] + p["b"]
+        embedded = p["e"][symbols].reshape(-1, EMBED)
+        x = embedded @ p["w"]
+        x += p["b"]
+        x = x.reshape(*symbols.shape, 3 * n)
         out = np.empty((*symbols.shape, n), np.float32)
-        saved = []
-        u = p["u"]
+        saved, u = [], p["u"]
+        ends = symbols == end
+        some = ends.any(1)
         for t in range(len(symbols)):
+            if some[t]:
+                h = h.copy()
+                h[ends[t]] = 0
             g = h @ u
-            zr = _sigmoid(x[t, :, : 2 * n] + g[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(x[t, :, 2 * n :] + r * g[:, 2 * n :])
-            new = c + z * (h - c)
+            zr = g[:, : 2 * n] + x[t, :, : 2 * n]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            z, r, gc = zr[:, :n], zr[:, n:], g[:, 2 * n :]
+            c = r * gc
+            c += x[t, :, 2 * n :]
+            np.tanh(c, out=c)
+            d = h - c
+            np.multiply(d, z, out=out[t])
+            out[t] += c
             if keep:
-                saved.append((h, g, z, r, c))
-            out[t] = h = new
-        return out, saved
+                saved.append((h, gc, z, r, c, d))
+            h = out[t]
+        return out, (symbols, embedded, ends, saved)
 
     def output(self, s: np.ndarray, target: np.ndarray, v: Vocabulary, grad: dict | None = None):
         """Log-probabilities of target symbols given states; head words within their class, tail symbols by class."""
         p = self.p
-        a = s @ p["wc"] + p["bc"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        total = e.sum(1, keepdims=True)
-        is_head = target < v.head
-        cls = np.where(is_head, v.word_class[np.minimum(target, v.head - 1)], HEAD_CLASSES + target - v.head)
+        cls = v.class_of[target]
+        order = np.argsort(cls, kind="stable")
+        s, target, cls = s[order], target[order].astype(np.int64), cls[order].astype(np.int64)
         rows = np.arange(len(s))
-        out = a[rows, cls] - np.log(total[:, 0])
+
+        def shares(a: np.ndarray, w: np.ndarray, axis: int, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            # States lie between -1 and 1, so weights bound the logits.
+            if np.abs(w).sum(axis).max() + np.abs(bias).max() > SAFE:
+                a -= a.max(1, keepdims=True)
+            np.exp(a, out=a)
+            return a, a.sum(1)
+
+        a = s @ p["wc"]
+        a += p["bc"]
+        a, total = shares(a, p["wc"], 0, p["bc"])
+        logp = np.log(np.maximum(a[rows, cls], 1e-37) / total)
         ds = None
         if grad is not None:
-            da = e / total
-            da[rows, cls] -= 1
-            grad["wc"], grad["bc"] = s.T @ da, da.sum(0)
-            ds = da @ p["wc"].T
+            a *= (1 / total)[:, None]
+            a[rows, cls] -= 1
+            grad["wc"], grad["bc"] = s.T @ a, a.sum(0)
+            ds = a @ p["wc"].T
             grad["wo"], grad["bo"] = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
-        order = np.argsort(np.where(is_head, cls, HEAD_CLASSES), kind="stable")
-        at = np.searchsorted(np.where(is_head, cls, HEAD_CLASSES)[order], np.arange(HEAD_CLASSES + 1))
+        cut = np.searchsorted(cls, np.arange(HEAD_CLASSES + 1))
         for k in range(HEAD_CLASSES):
-            i = order[at[k] : at[k + 1]]
-            if not len(i):
-                continue
-            lo, m = v.first[k], len(v.members[k])
-            if m == 1:
+            i, j, lo, hi = cut[k], cut[k + 1], v.first[k], v.first[k + 1]
+            if i == j or hi - lo < 2:
                 continue
-            w = p["wo"][lo : lo + m]
-            b = s[i] @ w.T + p["bo"][lo : lo + m]
-            b -= b.max(1, keepdims=True)
-            eb = np.exp(b)
-            tb = eb.sum(1, keepdims=True)
-            j = target[i] - lo
-            out[i] += b[np.arange(len(i)), j] - np.log(tb[:, 0])
+            w, own = p["wo"][lo:hi], s[i:j]
+            b = own @ w.T
+            b += p["bo"][lo:hi]
+            b, total = shares(b, w, 1, p["bo"][lo:hi])
+            word, line = target[i:j] - lo, rows[: j - i]
+            logp[i:j] += np.log(np.maximum(b[line, word], 1e-37) / total)
             if grad is not None:
-                db = eb / tb
-                db[np.arange(len(i)), j] -= 1
-                grad["wo"][lo : lo + m] = db.T @ s[i]
-                grad["bo"][lo : lo + m] = db.sum(0)
-                ds[i] += db @ w
-        return out, ds
-
-    def backward(self, symbols: np.ndarray, saved: list, ds: np.ndarray, grad: dict) -> None:
+                b *= (1 / total)[:, None]
+                b[line, word] -= 1
+                grad["wo"][lo:hi], grad["bo"][lo:hi] = b.T @ own, b.sum(0)
+                ds[i:j] += b @ w
+        out = np.empty_like(logp)
+        out[order] = logp
+        if ds is None:
+            return out, None
+        full = np.empty_like(ds)
+        full[order] = ds
+        return out, full
+
+    def backward(self, made: tuple, ds: np.ndarray, grad: dict) -> None:
+        """Gradients of the cell and the embedding, given those of the states."""
         p, n = self.p, HIDDEN
-        dx = np.empty((*symbols.shape, 3 * n), np.float32)
-        du = np.zeros_like(p["u"])
+        symbols, embedded, ends, saved = made
+        dx, dg = np.empty((*symbols.shape, 3 * n), np.float32), np.empty((*symbols.shape, 3 * n), np.float32)
+        before = np.empty(ds.shape, np.float32)
         dh = np.zeros(ds.shape[1:], np.float32)
-        ut = p["u"].T.copy()
+        ut = np.ascontiguousarray(p["u"].T)
+        some = ends.any(1)
         for t in range(len(symbols) - 1, -1, -1):
-            h, g, z, r, c = saved[t]
-            dh = dh + ds[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (h - c) * z * (1 - z)
-            dr = dc * g[:, 2 * n :] * r * (1 - r)
-            dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dz, dr, dc
-            dg = np.concatenate((dz, dr, dc * r), 1)
-            du += h.T @ dg
-            dh = dh * z + dg @ ut
-        grad["u"], grad["b"] = du, dx.sum((0, 1))
-        flat = symbols.ravel()
-        order = np.argsort(flat, kind="stable")
-        u, first = np.unique(flat[order], return_index=True)
-        grad["x"] = (u, np.add.reduceat(dx.reshape(-1, 3 * n)[order], first, axis=0))
+            h, gc, z, r, c, d = saved[t]
+            before[t] = h
+            x, g = dx[t], dg[t]
+            dh += ds[t]
+            dhz = dh * z
+            dc = dh - dhz
+            dc *= 1 - c * c
+            dz = dhz * d
+            dz *= 1 - z
+            dr = dc * gc
+            g[:, 2 * n :] = dc * r
+            dr *= r
+            dr *= 1 - r
+            x[:, :n], x[:, n : 2 * n], x[:, 2 * n :] = dz, dr, dc
+            g[:, : 2 * n] = x[:, : 2 * n]
+            dh = g @ ut
+            dh += dhz
+            if some[t]:
+                dh[ends[t]] = 0
+        flat = dx.reshape(-1, 3 * n)
+        grad["u"], grad["b"], grad["w"] = before.reshape(-1, n).T @ dg.reshape(-1, 3 * n), flat.sum(0), embedded.T @ flat
+        de, one = flat @ p["w"].T, symbols.ravel()
+        order = np.argsort(one, kind="stable")
+        one = one[order]
+        first = np.flatnonzero(np.concatenate(([True], one[1:] != one[:-1])))
+        grad["e"] = (one[first], np.add.reduceat(de[order], first, axis=0))
 
 
 class Adam:
@@ -271,219 +326,227 @@ class Adam:
         for k, g in grad.items():
             rows, g = g if isinstance(g, tuple) else (slice(None), g)
             g = g * np.float32(8 / words)
-            self.m[k][rows] = 0.9 * self.m[k][rows] + 0.1 * g
-            self.s2[k][rows] = 0.99 * self.s2[k][rows] + 0.01 * g * g
-            self.net.p[k][rows] -= rate * self.m[k][rows] / (np.sqrt(self.s2[k][rows]) + 1e-6)
+            self.m[k][rows] = m = np.float32(0.9) * self.m[k][rows] + np.float32(0.1) * g
+            self.s2[k][rows] = s = np.float32(0.99) * self.s2[k][rows] + np.float32(0.01) * g * g
+            self.net.p[k][rows] -= np.float32(rate) * m / (np.sqrt(s) + np.float32(1e-6))
 
 
-def train_network(texts: list[bytes], v: Vocabulary) -> Network:
-    """The start: Adam on streams of whole documents of a sample, joined one after another."""
-    net = Network(v)
-    docs = [s for s in (v.encode(t)[0] for t in texts) if len(s) > 1]
-    if not docs:
-        return net
-    adam = Adam(net)
-    rng, step = np.random.default_rng(11), 0
-    total = PASSES * sum(map(len, docs)) / (STREAMS * STEPS) + 1
-    for _ in range(PASSES):
-        streams: list[list[np.ndarray]] = [[] for _ in range(STREAMS)]
-        load = np.zeros(STREAMS)
-        for i in rng.permutation(len(docs)):
-            j = int(np.argmin(load))
-            streams[j].append(docs[i])
-            load[j] += len(docs[i])
-        lines = [np.concatenate(x) if x else np.array([v.end], np.int32) for x in streams]
-        n = int(max(map(len, lines)))
-        grid = np.full((n + 1, STREAMS), v.end, np.int32)
-        live = np.zeros((n, STREAMS), bool)
-        for j, x in enumerate(lines):
-            grid[1 : len(x) + 1, j] = x
-            live[: len(x), j] = True
-        h = np.zeros((STREAMS, HIDDEN), np.float32)
-        for a in range(0, n - STEPS + 1, STEPS):
-            inputs, target, ok = grid[a : a + STEPS], grid[a + 1 : a + STEPS + 1], live[a : a + STEPS]
-            states, saved = net.run(inputs, h, True)
-            grad: dict = {}
-            flat = ok.ravel()
-            if not flat.any():
-                break
-            _, ds = net.output(states.reshape(-1, HIDDEN)[flat], target.ravel()[flat], v, grad)
-            full = np.zeros((flat.size, HIDDEN), np.float32)
-            full[flat] = ds
-            net.backward(inputs, saved, full.reshape(states.shape), grad)
-            h = states[-1] * (target[-1] != v.end)[:, None]
-            step += 1
-            rate = RATE * min(1.0, step / 20) * max(0.1, 1 - step / total)
-            adam.step(grad, int(flat.sum()), rate)
-    return net
+def pack(docs: list[np.ndarray], end: int, lines: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Documents dealt over lines: a (steps + 1, lines) grid that starts with end symbols, the lines' lengths, and which documents follow each other in a line.
 
+    Longest documents go first, each into the shortest line; lines are in order of falling length.
+    """
+    n = min(lines, len(docs))
+    heap, own = [(0, j) for j in range(n)], [[] for _ in range(n)]
+    for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+        length, j = heapq.heappop(heap)
+        own[j].append(i)
+        heapq.heappush(heap, (length + len(docs[i]), j))
+    own.sort(key=lambda x: -sum(len(docs[i]) for i in x))
+    size = np.array([sum(len(docs[i]) for i in x) for x in own])
+    grid = np.full((size[0] + 1, n), PAD, np.uint16)
+    grid[0] = end
+    for j, x in enumerate(own):
+        grid[1 : size[j] + 1, j] = np.concatenate([docs[i] for i in x])
+    return grid, size, own
+
+
+def windows(grid: np.ndarray, size: np.ndarray, end: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(first step, lines that still run, inputs, targets, places with a target or None for all) of window after window.
+
+    Where few lines are left, windows are longer.
+    """
+    a = 0
+    while a < size[0]:
+        live = int(np.searchsorted(-size, -a, "left"))
+        z = min(a + STEPS * min(16, max(1, grid.shape[1] // (2 * live))), int(size[0]))
+        inputs, target = grid[a:z, :live].astype(np.int32), grid[a + 1 : z + 1, :live].ravel()
+        some = None
+        if size[live - 1] < z:
+            inputs[inputs == PAD] = end
+            some = np.flatnonzero(target != PAD)
+        yield a, live, inputs, target, some
+        a = z
+
+
+def chunks(docs: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Documents in lists of about ``CHUNK`` symbols."""
+    out, n = [], 0
+    for d in docs:
+        out.append(d)
+        n += len(d)
+        if n >= CHUNK:
+            yield out
+            out, n = [], 0
+    if out:
+        yield out
 
-def train_on(docs: Iterator[np.ndarray], net: Network, v: Vocabulary, rate: float) -> int:
-    """Train ``net`` once on every symbol sequence; the number of symbols.
 
-    A stream takes the next document when its own ends and starts it from a zero state; windows with
-    few words take shorter steps.
-    """
+def train_on(docs: Iterator[np.ndarray], net: Network, v: Vocabulary, rate: float) -> int:
+    """Train ``net`` once on every symbol sequence; the number of symbols. Windows with few words take shorter steps."""
     adam, words, step = Adam(net), 0, 0
-    own: list = [None] * WIDE
-    at = np.zeros(WIDE, np.int64)
-    h = np.zeros((WIDE, HIDDEN), np.float32)
-    while True:
-        for j in [j for j, d in enumerate(own) if d is None]:
-            own[j], at[j], h[j] = next(docs, None), 0, 0
-        use = [j for j, d in enumerate(own) if d is not None]
-        if not use:
-            return words
-        if len(use) < len(own):
-            own, at, h = [own[j] for j in use], at[use], h[use]
-        steps = STEPS * min(WINDOWS, WIDE // len(own))
-        inputs = np.full((steps, len(own)), v.end, np.int32)
-        target = np.full((steps, len(own)), -1, np.int32)
-        for j, (d, a) in enumerate(zip(own, at.tolist(), strict=True)):
-            part = d[a : a + steps]
-            target[: len(part), j] = part
-            if a:
-                inputs[: len(part), j] = d[a - 1 : a - 1 + len(part)]
+    for part in chunks(docs):
+        lines = max(8, min(LINES, sum(map(len, part)) // (STEPS * LEAST)))
+        grid, size, _ = pack(part, v.end, lines)
+        h = np.zeros((grid.shape[1], HIDDEN), np.float32)
+        for _, live, inputs, target, some in windows(grid, size, v.end):
+            states, made = net.run(inputs, h[:live], v.end, True)
+            h = states[-1].copy()
+            flat, grad = states.reshape(-1, HIDDEN), {}
+            if some is None:
+                n, ds = len(target), net.output(flat, target, v, grad)[1]
             else:
-                inputs[1 : len(part), j] = part[:-1]
-            if a + steps >= len(d):
-                own[j] = None
-        at += steps
-        states, saved = net.run(inputs, h, True)
-        h = states[-1].copy()
-        flat = (target >= 0).ravel()
-        n, grad = int(flat.sum()), {}
-        _, ds = net.output(states.reshape(-1, HIDDEN)[flat], target.ravel()[flat], v, grad)
-        full = np.zeros((flat.size, HIDDEN), np.float32)
-        full[flat] = ds
-        net.backward(inputs, saved, full.reshape(states.shape), grad)
-        words, step = words + n, step + 1
-        adam.step(grad, n, rate * min(1.0, step / 20) * n / (WIDE * STEPS))
-
-
-def train_all(rows: DataFrame, net: Network, vocabulary, rate: float) -> tuple[Network, int]:
-    """The mean of the networks that the partitions of (text) make of ``net``, by their words; and the words."""
-    start = rows.sparkSession.sparkContext.broadcast(net)
-
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, net = vocabulary.value, start.value.copy()
-        # Longest first, so that they run beside the others.
-        texts = (t for b in batches for part in slices(b, "text", SLICE) for t in sorted(texts_of(part), key=len, reverse=True))
-        words = train_on((v.encode(t)[0] for t in texts), net, v, rate)
-        if words:
-            flat = net.flat()
-            blocks = [flat[a : a + BLOCK].tobytes() for a in range(0, len(flat), BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary()), pa.array([words] * len(blocks), pa.int64())], names=["block", "weights", "words"])
-
-    def mean(t: pa.Table) -> pa.Table:
-        n, x = t["words"].to_pylist(), t["weights"].to_pylist()
-        # Sorted, so that the order in which copies arrive does not show in the last digits.
-        total = sum(np.frombuffer(b, np.float32) * np.float64(k) for k, b in sorted(zip(n, x, strict=True)))
-        return pa.table({"block": t["block"][:1], "weights": pa.array([(total / sum(n)).astype(np.float32).tobytes()], pa.binary()), "words": pa.array([sum(n)], pa.int64())})
-
-    schema = "block int, weights binary, words long"
-    made = rows.mapInArrow(train, schema).groupBy("block").applyInArrow(mean, schema).toArrow().sort_by("block")
-    if not made.num_rows:
-        return net, 0
-    return net.copy(np.frombuffer(b"".join(made["weights"].to_pylist()), np.float32)), made["words"][0].as_py()
+                n, ds = len(some), np.zeros_like(flat)
+                ds[some] = net.output(flat[some], target[some], v, grad)[1]
+            net.backward(made, ds.reshape(states.shape), grad)
+            words, step = words + n, step + 1
+            adam.step(grad, n, rate * min(1.0, step / 20) * min(1.0, n / (grid.shape[1] * STEPS)))
+    return words
 
 
 def score_documents(docs: list[np.ndarray], net: Network, v: Vocabulary) -> np.ndarray:
-    """Natural log-probability of each symbol sequence (the end included), tail symbols by class only.
-
-    Documents fill ``SLOTS`` streams, longest first; a stream takes the next one when its own ends.
-    """
+    """Natural log-probability of each symbol sequence (the end included), tail symbols by class only."""
     out = np.zeros(len(docs))
-    queue = sorted(range(len(docs)), key=lambda i: len(docs[i]))
-    slots = min(SLOTS, len(docs))
-    own = np.full(slots, -1)
-    at = np.zeros(slots, np.int64)
-    h = np.zeros((slots, HIDDEN), np.float32)
-    steps = 2 * STEPS
-    while True:
-        for j in np.flatnonzero(own < 0).tolist():
-            if queue:
-                own[j], at[j] = queue.pop(), 0
-                h[j] = 0
-        use = np.flatnonzero(own >= 0)
-        if not len(use):
-            return out
-        if len(use) < len(own):
-            own, at, h = own[use], at[use], h[use]
-        inputs = np.full((steps, len(own)), v.end, np.int32)
-        target = np.full((steps, len(own)), -1, np.int32)
-        for j, i in enumerate(own.tolist()):
-            d, a = docs[i], at[j]
-            part = d[a : a + steps]
-            target[: len(part), j] = part
-            inputs[: len(part), j] = d[a - 1 : a - 1 + len(part)] if a else np.concatenate(([v.end], part[:-1]))
-        states, _ = net.run(inputs, h)
-        h = states[-1].copy()
-        ok = target.ravel() >= 0
-        logp, _ = net.output(states.reshape(-1, HIDDEN)[ok], target.ravel()[ok], v)
-        full = np.zeros(ok.size)
-        full[ok] = logp
-        np.add.at(out, own, full.reshape(target.shape).sum(0))
-        at += steps
-        own[at >= np.array([len(docs[i]) for i in own.tolist()])] = -1
-
-
-def lm_score(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document, and the columns in ``keep``."""
-    spark = docs.sparkSession
-    counts = materialise(count_words(train.select(F.col(text).alias("text"))), "counts")
+    if not docs:
+        return out
+    grid, size, own = pack(docs, v.end, LINES)
+    logp = np.zeros(grid.shape, np.float32)
+    h = np.zeros((grid.shape[1], HIDDEN), np.float32)
+    for a, live, inputs, target, some in windows(grid, size, v.end):
+        states, _ = net.run(inputs, h[:live], v.end)
+        h = states[-1]
+        flat, x = states.reshape(-1, HIDDEN), np.zeros(target.size, np.float32)
+        at = slice(None) if some is None else some
+        x[at] = net.output(flat[at], target[at], v)[0]
+        logp[a : a + len(inputs), :live] = x.reshape(inputs.shape)
+    for j, line in enumerate(own):
+        start = np.concatenate(([0], np.cumsum([len(docs[i]) for i in line])))[:-1]
+        out[line] = np.add.reduceat(logp[: size[j], j].astype(np.float64), start)
+    return out
+
+
+def _symbols(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint16) for x in b["symbols"].to_pylist()]
+
+
+def train_all(encoded: DataFrame, v: Vocabulary, vocabulary) -> tuple[Network, int]:
+    """The network after all rounds over the rows of (symbols), and the number of words it was trained on."""
+    spark, net, words = encoded.sparkSession, Network(v), 0
+    share, lo = F.pmod(F.xxhash64(F.lit(3), "symbols"), F.lit(SHARES)), 0
+    for parts, rate in ROUNDS:
+        start = spark.sparkContext.broadcast(net)
+
+        def train(batches: Iterator[pa.RecordBatch], start=start, rate=rate) -> Iterator[pa.RecordBatch]:
+            net = start.value.copy()
+            n = train_on((d for b in batches for d in _symbols(b)), net, vocabulary.value, rate)
+            if n:
+                w = np.rint(net.flat().astype(np.float64) / GRAIN).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w), pa.array(np.full(len(w), n, np.int64))], names=["i", "w", "n"])
+
+        rows = encoded.filter((share >= lo) & (share < lo + parts)).select("symbols")
+        # Sums of whole numbers: the order in which copies arrive doesn't show.
+        weighed = F.sum(F.col("w").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)"))
+        mean = rows.mapInArrow(train, "i int, w long, n long").groupBy("i").agg(F.sum("n").alias("n"), weighed.alias("w"))
+        made = mean.select("i", "n", (F.col("w").cast("double") / F.col("n")).alias("w")).toArrow().sort_by("i")
+        if made.num_rows:
+            net, words = net.copy(made["w"].to_numpy() * GRAIN), words + made["n"][0].as_py()
+        start.unpersist()
+        lo += parts
+    return net, words
+
+
+def vocabulary_of(counts: DataFrame) -> Vocabulary:
+    """From (word, c); the driver gets the dictionary, of at most ``TOP`` words, and one row per suffix."""
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = int(sums["n"] or 0), int(sums["v"])
     top = frequent(counts, TOP).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
-    ends = F.encode("word", "UTF-8")
-    last = F.conv(F.hex(F.substring(ends, -2, 2)), 16, 10).cast("int")
+    last = F.conv(F.hex(F.substring(F.encode("word", "UTF-8"), -2, 2)), 16, 10).cast("int")
     tail = counts.filter("word <> ''").groupBy(last.alias("s")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow()
-    v = Vocabulary([x.encode() for x in top["word"].to_pylist()], top["c"].to_numpy(), {s: (n, d) for s, n, d in zip(*(tail[c].to_pylist() for c in ("s", "n", "v")), strict=True)}, total, distinct)
-    # Ids first: an ordered limit sends its whole size from every task, so it must be narrow.
-    rows = train.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
-    key = (F.xxhash64("doc_id"), F.xxhash64("text"))
-    chosen = rows.select(key[0].alias("k"), key[1].alias("t")).distinct().orderBy("k", "t").limit(SAMPLE_DOCS)
-    sample = rows.withColumns({"k": key[0], "t": key[1]}).join(F.broadcast(chosen), ["k", "t"]).dropDuplicates(["k", "t"]).orderBy("k", "t").select("text")
-    net = train_network([(x.text or "").encode().lower() for x in sample.collect()], v)
-    vocabulary = spark.sparkContext.broadcast(v)
-    net, _ = train_all(train.select(F.col(text).alias("text")), net, vocabulary, RATE / 2)
-    network = spark.sparkContext.broadcast(net)
+    by = {s: (n, d) for s, n, d in zip(*(tail[c].to_pylist() for c in ("s", "n", "v")), strict=True)}
+    return Vocabulary([x.encode() for x in top["word"].to_pylist()], top["c"].to_numpy(), by, int(sums["n"] or 0), int(sums["v"]))
+
+
+def encode(rows: DataFrame, vocabulary) -> DataFrame:
+    """The columns of ``rows`` but ``_text``, with symbols, number of words, what the dictionary adds to
+    the two scores, and the words beyond the dictionary, each once with its number."""
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-        v, net = vocabulary.value, network.value
-        symbols, base, fixed, rest, n = [], [], [], [], []
+        v = vocabulary.value
+        symbols, base, fixed, rest, times, n, missed = [], [], [], [], [], [], []
         for t in texts_of(b, "_text"):
             s, at, words = v.encode(t)
-            symbols.append(s)
-            rest.append([x.decode() for x in words])
+            own = Counter(words)
+            symbols.append(s.tobytes())
+            rest.append(list(own))
+            times.append(list(own.values()))
             n.append(len(s))
+            missed.append(len(words))
             base.append(v.log_count[at[at >= 0]].sum())
             tail = s >= v.head
-            fixed.append(v.log_count[at[tail & (at >= 0)]].sum() - v.tail_size[s[tail] - v.head].sum())
-        own = score_documents(symbols, net, v) + np.array(fixed)
+            fixed.append(v.log_count[at[tail & (at >= 0)]].sum() - v.tail_size[s[tail].astype(np.int64) - v.head].sum())
         names = [c for c in b.schema.names if c != "_text"]
-        return pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(n, pa.int64()), pa.array(np.array(base)), pa.array(own), pa.array(rest, pa.list_(pa.string()))], names=[*names, "n_tokens", "base", "own", "rest"])
-
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("_text"))
-    fields = ", ".join(f"`{c}` {x}" for c, x in rows.dtypes if c != "_text")
-    scored = map_slices(rows, "_text", f"{fields}, n_tokens long, base double, own double, rest array<string>", kernel, SLICE)
-    scored = materialise(scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("_row", F.explode("rest").alias("word")).join(counts, "word")
-    rare = rare.groupBy("_row").agg(F.sum(F.log(F.col("c") + 1.0)).alias("rare"), F.count("*").alias("known"))
-    missed = F.size("rest").cast("long")
-    out = scored.join(rare, "_row", "left")
+        cols = [pa.array(symbols, pa.binary()), pa.array(n, pa.int64()), pa.array(missed, pa.int64()), pa.array(base, pa.float64()), pa.array(fixed, pa.float64())]
+        lists = [pa.array(rest, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays([*(b[c] for c in names), *cols, *lists], names=[*names, "symbols", "n_tokens", "missed", "base", "fixed", "rest", "times"])
+
+    fields = "".join(f"`{c}` {x}, " for c, x in rows.dtypes if c != "_text")
+    return map_slices(rows, "_text", f"{fields}symbols binary, n_tokens long, missed long, base double, fixed double, rest array<string>, times array<int>", kernel, SLICE)
+
+
+def lm_score(docs: DataFrame, learn: Column | DataFrame | None = None, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document, and the columns in ``keep``.
+
+    ``learn`` tells which rows of ``docs`` train the model (null: not), or is a table of its own; by default all train.
+    """
+    spark = docs.sparkSession
+    other = isinstance(learn, DataFrame)
+    flag = F.lit(False) if other else F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    train = learn.select(F.col(text).alias("text")) if other else docs.filter(flag).select(F.col(text).alias("text"))
+    counts = materialise(count_words(train), "counts")
+    v = vocabulary_of(counts)
+    vocabulary = spark.sparkContext.broadcast(v)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, flag.alias("_learn"), F.col(text).alias("_text"))
+    encoded = materialise(encode(rows, vocabulary).withColumn("_row", F.monotonically_increasing_id()), "encoded")
+    taught = materialise(encode(train.withColumnRenamed("text", "_text"), vocabulary).select("symbols"), "taught") if other else encoded.filter("_learn")
+    net, _ = train_all(taught.select("symbols"), v, vocabulary)
+    release(taught)
+    network = spark.sparkContext.broadcast(net)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, net = vocabulary.value, network.value
+        for part in _gather(batches):
+            own = score_documents([d for b in part for d in _symbols(b)], net, v)
+            rows = pa.concat_arrays([b["_row"] for b in part])
+            yield pa.RecordBatch.from_arrays([rows, pa.array(own)], names=["_row", "own"])
+
+    own = encoded.select("_row", "symbols").mapInArrow(score, "_row long, own double")
+    words = encoded.select("_row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("_row", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
+    rare = words.join(counts.hint("merge"), "word").groupBy("_row").agg(F.sum(F.col("times") * F.log(F.col("c") + 1.0)).alias("rare"), F.sum("times").alias("known"))
+    out = encoded.drop("symbols", "rest", "times").join(own, "_row", "left").join(rare, "_row", "left")
     ten = float(np.log(10.0))
     extra = F.coalesce("rare", F.lit(0.0))
     # c > 0 for every word of the dictionary, except an end token that was never seen.
-    known = F.col("n_tokens") - missed + F.coalesce("known", F.lit(0)) - F.lit(0 if v.counts[v.end] > 0 else 1)
+    known = F.col("n_tokens") - F.col("missed") + F.coalesce("known", F.lit(0)) - F.lit(0 if v.counts[v.end] > 0 else 1)
     return out.select(
-        "doc_id", *keep, "n_tokens", known.cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        ((F.col("base") + extra) / ten - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"),
-        ((F.col("own") + extra) / ten).alias("score"),
+        "doc_id", *keep, "n_tokens", known.cast("long").alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
+        ((F.col("base") + extra) / ten - F.col("n_tokens") * float(np.log10(v.total + v.distinct + 1))).alias("base_score"),
+        ((F.col("own") + F.col("fixed") + extra) / ten).alias("score"),
     )
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about ``CHUNK`` symbols."""
+    out, n = [], 0
+    for b in batches:
+        out.append(b)
+        n += b["symbols"].nbytes // 2
+        if n >= CHUNK:
+            yield out
+            out, n = [], 0
+    if out:
+        yield out
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False))
-    return lm_score(docs, docs.filter(~held)).withColumn("held_out", held)
+    return lm_score(docs, ~held).withColumn("held_out", held)

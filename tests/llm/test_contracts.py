@@ -61,37 +61,72 @@ def test_language_model(spark, sf, docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_language_model_is_a_distribution():
-    words = [b"", *(f"w{i}".encode() for i in range(30))]
-    counts = np.arange(60, 60 - len(words), -1)
+def _vocabulary(words, counts):
     tail = collections.defaultdict(lambda: [0, 0])
     for x, c in zip(words[1:], counts[1:].tolist(), strict=True):
         k = int(lm_scoring.suffix([x])[0])
         tail[k][0] += c
         tail[k][1] += 1
-    old = lm_scoring.HEAD
-    lm_scoring.HEAD = 12
-    try:
-        v = lm_scoring.Vocabulary(words, counts, dict(tail), int(counts.sum()), len(words))
-        net = lm_scoring.train_network([b" ".join(words[1:9])] * 40, v)
-        total = 0.0
-        for i in range(v.head):
-            total += np.exp(lm_scoring.score_documents([np.array([i], np.int32)], net, v)[0])
-        for k in range(lm_scoring.TAIL_CLASSES):
-            total += np.exp(lm_scoring.score_documents([np.array([v.head + k], np.int32)], net, v)[0])
-        assert abs(total - 1) < 1e-4
-        mass = collections.Counter()
-        for x in words[1:]:
-            s, at, _ = v.encode(x)
-            if s[0] >= v.head:
-                mass[int(s[0])] += (v.counts[at[0]] + 1) * np.exp(-v.tail_size[s[0] - v.head])
-        assert all(m < 1 for m in mass.values())
-        # Windows only cut the work: a long document scores the same in one go.
-        d = np.array(list(range(v.head)) * 30, np.int32)
-        states, _ = net.run(np.concatenate(([v.end], d[:-1]))[:, None], np.zeros((1, lm_scoring.HIDDEN), np.float32))
-        assert abs(net.output(states[:, 0], d, v)[0].sum() - lm_scoring.score_documents([d], net, v)[0]) < 1e-2
-    finally:
-        lm_scoring.HEAD = old
+    return lm_scoring.Vocabulary(words, counts, dict(tail), int(counts.sum()), len(words))
+
+
+def test_language_model_is_a_distribution(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HEAD", 12)
+    words = [b"", *(f"w{i}".encode() for i in range(30))]
+    v = _vocabulary(words, np.arange(60, 60 - len(words), -1))
+    net = lm_scoring.Network(v)
+    lm_scoring.train_on(iter([v.encode(b" ".join(words[1:9]))[0]] * 40), net, v, 0.02)
+    one = lambda i: np.exp(lm_scoring.score_documents([np.array([i], np.uint16)], net, v)[0])
+    assert abs(sum(one(i) for i in range(v.symbols)) - 1) < 1e-4
+    mass = collections.Counter()
+    for x in words[1:]:
+        s, at, _ = v.encode(x)
+        if s[0] >= v.head:
+            mass[int(s[0])] += (v.counts[at[0]] + 1) * np.exp(-v.tail_size[int(s[0]) - v.head])
+    assert mass and all(m < 1 for m in mass.values())
+
+
+def test_language_model_carries_its_state(monkeypatch):
+    """Documents of every length score as in one go, whatever shares their lines, and the gradient is the slope of the loss."""
+    words = [b"", *(f"w{i}".encode() for i in range(50))]
+    v = _vocabulary(words, np.arange(120, 120 - len(words), -1))
+    net = lm_scoring.Network(v)
+    rng = np.random.default_rng(2)
+    docs = [np.append(rng.integers(1, v.head, n), v.end).astype(np.uint16) for n in (0, 1, 15, 16, 17, 900, 33, 0, 250)]
+    monkeypatch.setattr(lm_scoring, "LINES", 3)
+    got = lm_scoring.score_documents(docs, net, v)
+    for d, x in zip(docs, got.tolist(), strict=True):
+        states, _ = net.run(np.concatenate(([v.end], d[:-1])).astype(np.int32)[:, None], np.zeros((1, lm_scoring.HIDDEN), np.float32), v.end)
+        assert abs(net.output(states[:, 0], d, v)[0].sum() - x) < 1e-2
+    inputs, target = np.concatenate(([v.end], docs[4][:-1])).astype(np.int32)[:, None], docs[4]
+
+    def loss(net, grad=None):
+        states, made = net.run(inputs, np.zeros((1, lm_scoring.HIDDEN), np.float32), v.end, True)
+        out, ds = net.output(states[:, 0], target, v, grad)
+        if grad is not None:
+            net.backward(made, ds[:, None, :], grad)
+        return -out.astype(np.float64).sum()
+
+    grad = {}
+    loss(net, grad)
+    for name, g in grad.items():
+        rows, g = g if isinstance(g, tuple) else (slice(None), g)
+        full = np.zeros_like(net.p[name])
+        full[rows] = g
+        way = rng.normal(0, 1, full.shape).astype(np.float32)
+        a, b = net.copy(), net.copy()
+        a.p[name] += np.float32(1e-3) * way
+        b.p[name] -= np.float32(1e-3) * way
+        slope = (loss(a) - loss(b)) / 2e-3
+        assert abs(slope - (full * way).sum()) < 0.02 * max(1.0, abs(slope)), name
+
+
+def test_dictionary_is_cut_inside_a_step_of_ties(spark):
+    counts = spark.range(5000).selectExpr("concat('w', id) AS word", "CASE WHEN id < 10 THEN 100L ELSE 3L END AS c")
+    top = [r.c for r in lm_scoring.frequent(counts, 1000).collect()]
+    assert 990 < len(top) <= 1000 and top.count(100) == 10
+    assert 990 < lm_scoring.frequent(counts.filter("c = 3"), 1000).count() <= 1000
+    assert lm_scoring.frequent(counts, 9000).count() == 5000 and lm_scoring.frequent(counts.limit(0), 9).count() == 0
 
 
 def test_languages_of_held_out_documents(spark, sf, docs):
@@ -198,21 +233,19 @@ def test_pipeline(spark, sf, docs, labels):
 
 
 def test_language_model_trains_on_every_document(spark, monkeypatch):
-    """Words that only documents beyond the sample hold: more rows than it takes, and one text over its length."""
-    monkeypatch.setattr(lm_scoring, "SAMPLE_DOCS", 3)
-    monkeypatch.setattr(lm_scoring, "SAMPLE_CHARS", 400)
-    rows = [(i, "red fox runs " * 20) for i in range(40)] + [(100, "blue cat sleeps " * 400)]
+    """Every word of every row, repeated rows and long texts included; and what a row adds shows in the scores."""
+    rows = [(i, "red fox runs " * 20) for i in range(40)] + [(1, "red fox runs " * 20)] * 5 + [(100, "blue cat sleeps " * 4000)]
     full, short = (spark.createDataFrame(x, "doc_id long, text string") for x in (rows, rows[:-1]))
     seen = []
     real = lm_scoring.train_all
     monkeypatch.setattr(lm_scoring, "train_all", lambda *a: seen.append(real(*a)) or seen[-1])
     for docs in (full, short):
-        lm_scoring.lm_score(docs, docs).collect()
+        lm_scoring.lm_score(docs).collect()
     assert [n for _, n in seen] == [sum(len(t.split()) + 1 for _, t in x) for x in (rows, rows[:-1])]
 
     test = spark.createDataFrame([(0, "blue cat sleeps " * 20)], "doc_id long, text string")
     with_it = lm_scoring.lm_score(test, full).first().score
-    monkeypatch.setattr(lm_scoring, "train_all", lambda rows, net, *a: (net, 0))
+    monkeypatch.setattr(lm_scoring, "train_all", lambda rows, v, *a: (lm_scoring.Network(v), 0))
     assert with_it > lm_scoring.lm_score(test, full).first().score
 
 
