@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.arrow import map_slices
+from siltstone.llm.arrow import map_slices, slices
 from siltstone.llm.language_id import fold
 from siltstone.runtime import materialise, release, table
 
@@ -52,6 +52,7 @@ CHUNK = 1 << 23
 #: Each round's share of the rows, in parts of ``SHARES``, and its rate.
 SHARES, ROUNDS = 32, ((1, 0.02), (1, 0.02), (2, 0.015), (4, 0.01), (8, 0.01), (16, 0.005))
 SLICE = 8 << 20
+DISTINCT = 1 << 19
 PAD = (1 << 16) - 1
 #: Logits beyond this are shifted before they are exponentiated.
 SAFE = 60.0
@@ -64,16 +65,27 @@ def texts_of(b: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 
 def count_words(train: DataFrame) -> DataFrame:
-    """(word, c) over the texts; the end token is the empty word."""
+    """(word, c) over the texts; the end token is the empty word. A task counts until it holds ``DISTINCT`` words."""
 
-    def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
-        for t in texts_of(b):
-            c.update(t.split())
-        c[b""] += b.num_rows
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "c"])
 
-    return map_slices(train.select("text"), "text", "word string, c long", kernel, SLICE).groupBy("word").agg(F.sum("c").alias("c"))
+        def take() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "c"])
+            c.clear()
+            return out
+
+        for b in batches:
+            for part in slices(b, "text"):
+                for t in texts_of(part):
+                    c.update(t.split())
+                c[b""] += part.num_rows
+                if len(c) > DISTINCT:
+                    yield take()
+        if c:
+            yield take()
+
+    return train.select("text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -107,6 +119,13 @@ def suffix(words: list[bytes]) -> np.ndarray:
     return np.fromiter((x[-1] | (x[-2] << 8 if len(x) > 1 else 0) for x in words), np.int64, len(words))
 
 
+class _Places(dict):
+    """Places of words, -1 for a word without one."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 class Vocabulary:
     """The dictionary, the classes, and the counts that probabilities need."""
 
@@ -121,7 +140,7 @@ class Vocabulary:
                 words, counts = [b"", *words], np.concatenate(([0], counts))
         self.total, self.distinct = total, distinct
         self.counts = counts.astype(np.float64)
-        self.index = {x: i for i, x in enumerate(words)}
+        self.index = _Places((x, i) for i, x in enumerate(words))
         self.head = h = min(HEAD, len(words))
         mass = np.sqrt(self.counts[:h] + 1)
         word_class = np.minimum((np.cumsum(mass) - mass) / mass.sum() * HEAD_CLASSES, HEAD_CLASSES - 1).astype(np.int32)
@@ -155,8 +174,8 @@ class Vocabulary:
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Symbols of the words and the end, dictionary places (-1: none), and the words without one."""
         words = text.split()
-        get = self.index.get
-        at = np.array([get(x, -1) for x in words] + [self.end], np.int64)
+        at = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
+        at = np.append(at, np.int32(self.end))
         symbols = self.symbol[at]
         miss = np.flatnonzero(at < 0)
         rest = [words[i] for i in miss.tolist()]
@@ -441,15 +460,17 @@ def train_all(encoded: DataFrame, v: Vocabulary, vocabulary) -> tuple[Network, i
             n = train_on((d for b in batches for d in _symbols(b)), net, vocabulary.value, rate)
             if n:
                 w = np.rint(net.flat().astype(np.float64) / GRAIN).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w), pa.array(np.full(len(w), n, np.int64))], names=["i", "w", "n"])
+                # w * n in two halves whose sums stay within 64 bits; place -1 carries n.
+                hi, lo = (w >> 32) * n, (w & 0xFFFFFFFF) * n
+                hi, lo = hi + (lo >> 32), lo & 0xFFFFFFFF
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(w), dtype=np.int32)), pa.array(np.append(0, hi)), pa.array(np.append(n, lo))], names=["i", "hi", "lo"])
 
         rows = encoded.filter((share >= lo) & (share < lo + parts)).select("symbols")
         # Sums of whole numbers: the order in which copies arrive doesn't show.
-        weighed = F.sum(F.col("w").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)"))
-        mean = rows.mapInArrow(train, "i int, w long, n long").groupBy("i").agg(F.sum("n").alias("n"), weighed.alias("w"))
-        made = mean.select("i", "n", (F.col("w").cast("double") / F.col("n")).alias("w")).toArrow().sort_by("i")
+        made = rows.mapInArrow(train, "i int, hi long, lo long").groupBy("i").agg(F.sum("hi").alias("hi"), F.sum("lo").alias("lo")).toArrow().sort_by("i")
         if made.num_rows:
-            net, words = net.copy(made["w"].to_numpy() * GRAIN), words + made["n"][0].as_py()
+            n = made["lo"][0].as_py()
+            net, words = net.copy((made["hi"].to_numpy()[1:] * 2.0**32 + made["lo"].to_numpy()[1:]) / n * GRAIN), words + n
         start.unpersist()
         lo += parts
     return net, words
