@@ -19,6 +19,8 @@ Scale: one narrow pass, no shuffle; memory is one slice of a batch.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,7 @@ from siltstone.runtime import table
 #: Fixed values of the contract: phrase, label.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-S = r"[\s\-_.,;:()\"'/]+"  # between words
-V = r"(?:version|ver\.?|v\.?)?[\s]*"
+S = r"[\s\-_.,;:()\"'/*#]+"  # between words
 
 #: Rules: (label, priority, confidence, keywords, expression). In an expression a blank stands for S.
 #: Higher priorities are more specific texts: 9 full grants, 7 named versions, 5 names, 3 hints.
@@ -42,7 +43,7 @@ RULES: list[tuple[str, int, float, tuple[str, ...], str]] = [
     ("mit", 9, 0.99, ("permission is hereby granted",), r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mit", 7, 0.95, ("mit license",), r"\b(?:under|released under|licensed under) the mit license\b"),
     ("mit", 5, 0.9, ("mit license", "mit licence"), r"\b(?:the )?mit licen[sc]e\b"),
-    ("mit", 5, 0.8, ("mit-licensed", "mit licensed"), r"\bmit[ -]licensed\b"),
+    ("mit", 5, 0.8, ("mit-licensed", "mit licensed"), r"\bmit licensed\b"),
     ("mit", 5, 0.8, ("expat",), r"\bexpat licen[sc]e\b"),
     ("mit-0", 7, 0.95, ("mit no attribution", "mit-0"), r"\bmit (?:no attribution|0)\b"),
     ("x11", 5, 0.9, ("x11",), r"\bx11 licen[sc]e\b"),
@@ -178,7 +179,7 @@ RULES: list[tuple[str, int, float, tuple[str, ...], str]] = [
     ("etalab-2", 6, 0.9, ("licence ouverte",), r"\blicence ouverte\b"),
     ("dl-de-by-2", 6, 0.9, ("datenlizenz",), r"\bdatenlizenz deutschland\b"),
     # Models
-    ("openrail", 6, 0.9, ("openrail", "rail licen"), r"\b(?:creativeml |bigscience |bigcode )?open ?rail(?: \+?\+?m)?\b|\bresponsible ai licen[sc]e\b"),
+    ("openrail", 6, 0.9, ("openrail", "open rail", "responsible ai licen"), r"\b(?:creativeml |bigscience |bigcode )?open ?rail(?: \+?\+?m)?\b|\bresponsible ai licen[sc]e\b"),
     ("llama-community", 6, 0.9, ("llama",), r"\bllama \d(?:\.\d)? community licen[sc]e\b"),
     ("gemma-terms", 6, 0.9, ("gemma",), r"\bgemma terms of use\b"),
     # Reservations
@@ -193,7 +194,106 @@ RULES: list[tuple[str, int, float, tuple[str, ...], str]] = [
     ("research-only", 4, 0.7, ("research",), r"\bfor research (?:use|purposes) only\b"),
     ("evaluation-only", 4, 0.7, ("evaluation",), r"\bfor evaluation (?:use|purposes) only\b"),
     ("dual", 3, 0.5, ("dual",), r"\bdual licensed\b"),
-    ("copyright-notice", 2, 0.3, ("copyright", "©"), r"(?:\bcopyright|\(c\)|©) ?(?:\(c\)|©)? ?(?:19|20)\d\d\b"),
+    ("copyright-notice", 2, 0.3, ("copyright", "©", "c 19", "c 20"), r"(?:\bcopyright|\(c\)|©) ?(?:\(c\)|©)? ?(?:19|20)\d\d\b"),
+    # Grants, notices and conditions in full
+    ("mit", 9, 0.97, ("the above copyright notice and this permission",), r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", 8, 0.9, ("terms of the mit licen",), r"\b(?:under|subject to) the terms of the mit licen[sc]e\b"),
+    ("mit", 8, 0.9, ("opensource.org/licenses/mit",), r"\bopensource\.org/licenses/mit\b"),
+    ("mit-0", 9, 0.95, ("deal in the software without restriction",), r"deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided"),
+    ("x11", 9, 0.95, ("shall not be used in advertising",), r"the name of [^.\n]{1,80} shall not be used in advertising or otherwise to promote the sale use or other dealings in this software"),
+    ("isc", 8, 0.9, ("opensource.org/licenses/isc",), r"\bopensource\.org/licenses/isc\b"),
+    ("isc", 8, 0.9, ("terms of the isc",), r"\bunder the terms of the isc licen[sc]e\b"),
+    ("0bsd", 9, 0.95, ("permission to use",), r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("bsd-3-clause", 9, 0.95, ("without specific prior written permission",), r"may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-2-clause", 8, 0.9, ("redistributions in binary form",), r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-4-clause", 9, 0.95, ("this product includes software developed",), r"this product includes software developed by the university of california"),
+    ("bsd", 8, 0.8, ("governed by a bsd",), r"\buse of this source code is governed by a bsd style licen[sc]e that can be found in the licen[sc]e file\b"),
+    ("bsd", 7, 0.8, ("terms of the bsd",), r"\bunder the terms of the bsd licen[sc]e\b"),
+    ("bsd-3-clause-clear", 9, 0.95, ("no express or implied licenses to any party",), r"no express or implied licenses to any party s patent rights are granted by this licen[sc]e"),
+    ("bsd-protection", 6, 0.85, ("bsd protection",), r"\bbsd protection licen[sc]e\b"),
+    ("apache-2", 9, 0.98, ("you may not use this file except in compliance",), r"licensed under the apache license version 2\.0 the license you may not use this file except in compliance with the license"),
+    ("apache-2", 8, 0.9, ("unless required by applicable law or agreed",), r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2", 8, 0.9, ("terms of the apache",), r"\bunder the terms of the apache license(?: version)? 2(?:\.0)?\b"),
+    ("apache-1.1", 9, 0.95, ("developed by the apache software foundation",), r"this product includes software developed by the apache software foundation"),
+    ("gpl-2-or-later", 10, 0.98, ("redistribute it and", "redistribute it"), r"redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3-or-later", 10, 0.98, ("redistribute it",), r"redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1-or-later", 10, 0.98, ("lesser general public",), r"under the terms of the gnu lesser general public license as published by the free software foundation either version 2\.1 of the license or at your option any later version"),
+    ("lgpl-3-or-later", 10, 0.98, ("lesser general public",), r"under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-2-or-later", 10, 0.98, ("library general public",), r"under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("agpl-3-or-later", 10, 0.98, ("affero general public",), r"under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl", 8, 0.85, ("without even the implied warranty",), r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl", 7, 0.85, ("received a copy of the gnu general public",), r"you should have received a copy of the gnu general public license along with this program"),
+    ("lgpl", 7, 0.85, ("received a copy of the gnu lesser general public",), r"you should have received a copy of the gnu lesser general public license along with this (?:library|program)"),
+    ("agpl", 7, 0.85, ("received a copy of the gnu affero general public",), r"you should have received a copy of the gnu affero general public license along with this program"),
+    ("gpl", 7, 0.85, ("gnu.org/licenses/gpl",), r"\bgnu\.org/licenses/gpl(?:\.html|\.txt)?\b"),
+    ("lgpl", 7, 0.85, ("gnu.org/licenses/lgpl",), r"\bgnu\.org/licenses/lgpl(?:\.html|\.txt)?\b"),
+    ("agpl", 7, 0.85, ("gnu.org/licenses/agpl",), r"\bgnu\.org/licenses/agpl(?:\.html|\.txt)?\b"),
+    ("gfdl-1.2", 10, 0.97, ("free documentation",), r"under the terms of the gnu free documentation license version 1\.2 or any later version published by the free software foundation"),
+    ("gfdl-1.3", 10, 0.97, ("free documentation",), r"under the terms of the gnu free documentation license version 1\.3 or any later version published by the free software foundation"),
+    ("gfdl-no-invariants", 9, 0.9, ("no invariant sections",), r"with no invariant sections no front cover texts and no back cover texts"),
+    ("linux-syscall-note", 8, 0.9, ("user programs that use kernel services",), r"this copyright does \*?not\*? cover user programs that use kernel services by normal system calls"),
+    ("openssl-exception", 8, 0.9, ("link the code of portions",), r"permission to link the code of portions of this program with the openssl library"),
+    ("mpl-2", 10, 0.98, ("subject to the terms of the mozilla public",), r"this source code form is subject to the terms of the mozilla public license v 2\.0"),
+    ("mpl-1.1", 10, 0.98, ("mozilla public license version 1.1",), r"the contents of this file are subject to the mozilla public license version 1\.1"),
+    ("mpl-2-no-copyleft", 9, 0.95, ("incompatible with secondary licenses",), r"this source code form is incompatible with secondary licenses as defined by the mozilla public license v 2\.0"),
+    ("epl-2", 10, 0.97, ("accompanying materials are made available",), r"this program and the accompanying materials are made available under the terms of the eclipse public license 2\.0"),
+    ("epl-1", 10, 0.97, ("accompanying materials are made available",), r"this program and the accompanying materials are made available under the terms of the eclipse public license v1\.0"),
+    ("epl-2", 8, 0.9, ("eclipse.org/legal/epl-2.0", "eclipse.org/legal/epl-v20"), r"\beclipse\.org/legal/epl 2\.0\b|\beclipse\.org/legal/epl v20\b"),
+    ("cddl", 9, 0.95, ("common development and distribution",), r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("npl", 9, 0.95, ("netscape public",), r"the contents of this file are subject to the netscape public license"),
+    ("apsl-2", 9, 0.95, ("apple public source",), r"this file contains original code and or modifications of original code as defined in and that are subject to the apple public source license"),
+    ("eupl-1.2", 9, 0.95, ("licensed under the eupl",), r"\blicensed under the eupl(?: version)? 1\.2\b"),
+    ("artistic-2", 9, 0.95, ("terms of the artistic",), r"under the terms of the artistic license 2\.0\b"),
+    ("perl", 8, 0.9, ("redistribute it and", "same terms as perl"), r"you can redistribute it and or modify it under the same terms as perl itself"),
+    ("ruby", 8, 0.9, ("same terms as ruby",), r"\bunder the same terms as ruby\b"),
+    ("php-3", 9, 0.95, ("subject to version 3", ), r"this source file is subject to version 3\.01 of the php license"),
+    ("php", 8, 0.9, ("this product includes php",), r"this product includes php software freely available from"),
+    ("python-2", 9, 0.95, ("psf hereby grants",), r"psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("zpl-2.1", 9, 0.95, ("subject to the provisions of the zope",), r"this software is subject to the provisions of the zope public license version 2\.1"),
+    ("w3c", 9, 0.9, ("w3c",), r"this work is being provided by the copyright holders under the following licen[sc]e by obtaining and or copying this work you the licensee agree to w3c"),
+    ("ofl-1.1", 9, 0.97, ("this font software is licensed under",), r"this font software is licensed under the sil open font license version 1\.1"),
+    ("ofl-1.1", 8, 0.9, ("scripts.sil.org/ofl",), r"\bscripts\.sil\.org/ofl\b"),
+    ("bsl-1", 10, 0.98, ("distributed under the boost",), r"distributed under the boost software license version 1\.0"),
+    ("bsl-1", 9, 0.95, ("boost.org/license_1_0",), r"\bboost\.org/license 1 0\.txt\b"),
+    ("zlib", 9, 0.95, ("altered source versions",), r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("libpng", 9, 0.95, ("libpng version", "libpng licen"), r"\bthis code is released under the libpng licen[sc]e\b|\blibpng versions? [\d.]+ (?:through [\d.]+ )?(?:are|is) copyright\b"),
+    ("openssl", 9, 0.95, ("openssl project for use",), r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", 9, 0.95, ("eric young",), r"this product includes cryptographic software written by eric young"),
+    ("curl", 9, 0.9, ("curl.se/docs/copyright", "curl.haxx.se/docs/copyright"), r"\bcurl\.(?:haxx\.)?se/docs/copyright\b"),
+    ("ncsa", 9, 0.95, ("deal with the software without restriction",), r"to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    ("postgresql", 9, 0.95, ("without a written agreement",), r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("unlicense", 9, 0.95, ("anyone is free to copy modify",), r"anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary"),
+    ("wtfpl", 9, 0.95, ("everyone is permitted to copy and distribute verbatim or modified",), r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[sc]e document"),
+    ("beerware", 9, 0.95, ("you can buy me a beer",), r"if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
+    ("cc0-1", 9, 0.97, ("waived all copyright",), r"waived all copyright and related or neighboring rights to"),
+    ("cc-pdm", 9, 0.95, ("publicdomain/mark",), r"\bcreativecommons\.org/publicdomain/mark/1\.0\b"),
+    ("cc-by-4.0", 9, 0.97, ("this work is licensed under a creative commons", "this work is licensed under the creative commons"), r"this work is licensed under (?:a|the) creative commons attribution 4\.0 international licen[sc]e"),
+    ("cc-by-sa-4.0", 10, 0.97, ("this work is licensed under a creative commons",), r"this work is licensed under a creative commons attribution share ?alike 4\.0 international licen[sc]e"),
+    ("cc-by-nc-4.0", 10, 0.97, ("this work is licensed under a creative commons",), r"this work is licensed under a creative commons attribution non ?commercial 4\.0 international licen[sc]e"),
+    ("public-domain", 7, 0.8, ("in the public domain",), r"\bthis (?:work|file|code|software|document) is in the public domain\b"),
+    ("public-domain", 7, 0.75, ("work of the united states government", "work of the u.s. government"), r"\bwork of the (?:united states|u\.s\.) government\b"),
+    ("odbl-1", 9, 0.95, ("opendatacommons.org/licenses/odbl",), r"\bopendatacommons\.org/licenses/odbl\b"),
+    ("odc-by-1", 9, 0.95, ("opendatacommons.org/licenses/by",), r"\bopendatacommons\.org/licenses/by\b"),
+    ("pddl-1", 9, 0.95, ("opendatacommons.org/licenses/pddl",), r"\bopendatacommons\.org/licenses/pddl\b"),
+    ("ogl-uk-3", 9, 0.95, ("contains public sector information",), r"contains public sector information licensed under the open government licence v3\.0"),
+    ("etalab-2", 8, 0.9, ("etalab.gouv.fr",), r"\betalab\.gouv\.fr/licence ouverte\b"),
+    ("llama-community", 9, 0.95, ("licensed under the llama",), r"\bllama \d(?:\.\d)? is licensed under the llama \d(?:\.\d)? community licen[sc]e\b"),
+    ("openrail", 8, 0.9, ("use restrictions", "use-based restrictions"), r"\buse based restrictions as referenced in paragraph 5\b"),
+    ("sspl-1", 9, 0.95, ("make the functionality of the program", "making the functionality of the program"), r"make the functionality of the program or a modified version available to third parties as a service|making the functionality of the program or modified version available to third parties as a service"),
+    ("busl-1.1", 9, 0.95, ("change date", ), r"\bon the change date\b[^\n]{1,80}\bchange licen[sc]e\b"),
+    ("elastic-2", 9, 0.95, ("hosted or managed service",), r"you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", 9, 0.95, ("right to sell the software",), r"the grant of rights under the license will not include and the license does not grant to you the right to sell the software"),
+    ("all-rights-reserved", 4, 0.7, ("tutti i diritti riservati",), r"\btutti i diritti riservati\b"),
+    ("all-rights-reserved", 4, 0.7, ("todos os direitos reservados",), r"\btodos os direitos reservados\b"),
+    ("all-rights-reserved", 4, 0.7, ("alle rechten voorbehouden",), r"\balle rechten voorbehouden\b"),
+    ("all-rights-reserved", 5, 0.8, ("no part of this",), r"\bno part of this (?:publication|book|work|document) may be reproduced\b"),
+    ("proprietary", 6, 0.8, ("end user license agreement", "end user licence agreement"), r"\bend user licen[sc]e agreement\b"),
+    ("proprietary", 5, 0.8, ("contains trade secrets", "contains confidential"), r"\bcontains (?:trade secrets|confidential information) of\b"),
+    ("no-redistribution", 5, 0.75, ("may not be redistributed", "do not redistribute"), r"\bmay not be redistributed\b|\bdo not redistribute\b"),
+    ("personal-use-only", 4, 0.7, ("personal use only",), r"\bfor personal use only\b"),
+    ("no-derivatives", 4, 0.6, ("no derivative works",), r"\bno derivative works (?:are )?(?:permitted|allowed)\b"),
+    ("share-alike", 4, 0.6, ("under the same license", "under the same licence"), r"\bdistribute your contributions under the same licen[sc]e\b"),
+    ("no-ai-training", 6, 0.8, ("train", ), r"\b(?:may|must|shall) not be used (?:for|to) train(?:ing)? (?:any )?(?:artificial intelligence|machine learning|ai|language)\b"),
 ]
 
 #: Creative Commons variants, each as short name, long name and address; the versions follow from the list.
@@ -244,9 +344,17 @@ class Scanner:
             label, pri, conf, rx = self.rules[i]
             found += [(-pri, i, m.start(), m.end(), label, conf) for m in rx.finditer(text)]
         out: list[tuple[int, int, str, int, float]] = []
-        for pri, _, s, e, label, conf in sorted(found):
-            if not any(a <= s and e <= b for a, b, *_ in out):
-                out.append((s, e, label, -pri, conf))
+        # A rule's own matches are disjoint, so only those of the rules before it can hold them: of the
+        # kept ones that start no later, the largest end decides.
+        spans: list[tuple[int, int]] = []
+        for _, matches in groupby(sorted(found), key=lambda x: x[:2]):
+            starts, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+            for pri, _, s, e, label, conf in matches:
+                k = bisect_right(starts, s)
+                if not k or reach[k - 1] < e:
+                    out.append((s, e, label, -pri, conf))
+                    spans.append((s, e))
+            spans.sort()
         return sorted(out)
 
 

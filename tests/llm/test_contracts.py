@@ -6,6 +6,7 @@ import itertools
 import math
 import os
 import re
+import time
 import zlib
 
 import duckdb
@@ -240,18 +241,86 @@ def test_license_places(spark, sf, docs):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def spellings(rx, most=200):
+    """Texts that an expression matches: every alternative, with and without each optional part."""
+
+    def of(node):
+        texts = [""]
+        for op, arg in node:
+            name = str(op)
+            if name in ("AT", "ASSERT_NOT", "ASSERT"):
+                continue
+            if name == "LITERAL":
+                one = [chr(arg)]
+            elif name == "NOT_LITERAL":
+                one = ["q"]
+            elif name == "BRANCH":
+                one = [t for x in arg[1] for t in of(x)]
+            elif name == "SUBPATTERN":
+                one = of(arg[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, _, x = arg
+                one = [*([""] if low == 0 else []), *(t * max(1, low) for t in of(x))]
+            else:
+                assert name == "IN", name
+                one = []
+                for kind, x in arg:
+                    one.append({"LITERAL": lambda x: chr(x), "RANGE": lambda x: chr(x[0]), "NEGATE": lambda x: "q", "CATEGORY": lambda x: "3" if "DIGIT" in str(x) else " " if "SPACE" in str(x) else "w"}[str(kind)](x))
+                    if str(kind) == "NEGATE":
+                        break
+                one = [" "] if " " in one else one[:2]
+            texts = [t + x for t in texts for x in one][:most]
+        return texts
+
+    return of(re._parser.parse(rx))
+
+
+def test_every_alternative_of_every_license_rule_is_found():
+    """Through the prefilter, too; and no rule that starts with a word finds it in the middle of one."""
+    assert len(licenses.RULES) > 350
+    for label, pri, conf, keys, rx in licenses.RULES:
+        sc = licenses.Scanner([(label, pri, conf, keys, rx)])
+        for text in spellings(sc._expand(rx)):
+            assert [x[2] for x in sc.detect(f"see {text} end")] == [label], (label, text)
+            if re.match(r"\\b[a-z]", rx) and "|" not in rx:
+                assert sc.detect(f"see x{text} end") == [], (label, text)
+        assert sc.detect("the quick brown fox and the lazy dog") == []
+
+
 def test_license_rules():
     sc = licenses.Scanner()
-    assert len(licenses.RULES) > 200
     found = lambda t: [x[2] for x in sc.detect(t.lower())]
     assert found("Licensed under the Apache License, Version 2.0.") == ["apache-2"]
     assert found("GNU Lesser General Public License, version 2.1") == ["lgpl-2.1"]
     assert found("This work is licensed under the GNU General Public License, version 3.")[-1] == "gpl-3"
     assert found("SPDX-License-Identifier: MIT") == ["mit"]
     assert found("Creative Commons Attribution-NonCommercial-ShareAlike 4.0") == ["cc-by-nc-sa-4.0"]
+    assert found("an MIT-licensed library") == found("it is MIT licensed") == ["mit"]
+    assert found("(c) 2020 A. Body") == found("© 2020") == ["copyright-notice"]
+    assert found("the Responsible AI License") == found("CreativeML Open RAIL-M license") == ["openrail"]
     assert found("a permit license, an admit") == []
 
 
+def test_containment_is_that_of_all_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        rules = [("r" + str(i), int(rng.integers(1, 4)), 0.5, ("a",), "".join(rng.choice(list("ab"), rng.integers(1, 5)))) for i in range(8)]
+        text = "".join(rng.choice(list("ab"), 200))
+        sc, out = licenses.Scanner(rules), []
+        found = sorted((-p, i, m.start(), m.end(), label) for i, (label, p, _, _, rx) in enumerate(rules) for m in re.finditer(rx, text))
+        for p, _, s, e, label in found:
+            if not any(a <= s and e <= b for a, b, *_ in out):
+                out.append((s, e, label, -p, 0.5))
+        assert sc.detect(text) == sorted(out)
+
+
+def test_long_texts_of_notices_take_linear_time():
+    sc = licenses.Scanner()
+    start = time.monotonic()
+    assert len(sc.detect("copyright 2020 a b c. " * 200_000)) == 200_000
+    assert time.monotonic() - start < 20
+
+
 def test_quality_statistics(spark, sf, docs):
     got = QUERIES["op6_quality_rules"](spark, sf).collect()
     assert len(got) == len(docs)
