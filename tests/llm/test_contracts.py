@@ -253,7 +253,7 @@ def spellings(rx, most=200):
             if name == "LITERAL":
                 one = [chr(arg)]
             elif name == "NOT_LITERAL":
-                one = ["q"]
+                one = [" "]
             elif name == "BRANCH":
                 one = [t for x in arg[1] for t in of(x)]
             elif name == "SUBPATTERN":
@@ -265,7 +265,7 @@ def spellings(rx, most=200):
                 assert name == "IN", name
                 one = []
                 for kind, x in arg:
-                    one.append({"LITERAL": lambda x: chr(x), "RANGE": lambda x: chr(x[0]), "NEGATE": lambda x: "q", "CATEGORY": lambda x: "3" if "DIGIT" in str(x) else " " if "SPACE" in str(x) else "w"}[str(kind)](x))
+                    one.append({"LITERAL": lambda x: chr(x), "RANGE": lambda x: chr(x[0]), "NEGATE": lambda x: " ", "CATEGORY": lambda x: "3" if "DIGIT" in str(x) else " " if "SPACE" in str(x) else "w"}[str(kind)](x))
                     if str(kind) == "NEGATE":
                         break
                 one = [" "] if " " in one else one[:2]
