@@ -9,10 +9,11 @@ logistic curve turns margins into scores, fitted on sample rows that the machine
 Definitions: labels are read from training rows only; a document labelled twice counts with each
 label; null labels count as absent. Null and empty texts have no n-gram and get the score of a
 zero vector. Without any label of one class every score is the share of label 1 (0.5 without
-labels). Rows are independent.
+labels). Labels of documents that aren't there have no effect; ids and labels may be of any number
+type. Rows are independent.
 
 Scale: class counts cover all labelled training rows and are sums over DIM buckets. The machine is
-fitted on at most ``SAMPLE`` rows of each class, the smallest by a hash of their id. Scoring is one
+fitted on at most ``SAMPLE`` documents of each class and ``SAMPLE_FEATURES`` features, the first by a hash of their id. Scoring is one
 narrow pass.
 """
 
@@ -20,18 +21,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import words as W
 from siltstone.llm.arrow import map_slices
 from siltstone.llm.language_id import fold
-from siltstone.runtime import table
+from siltstone.runtime import materialise, table
 
 GRAM_BITS = 16
 DIM = 2 << GRAM_BITS
 #: Labelled rows of each class that the machine is fitted on, at most.
 SAMPLE = 3000
+#: Features of each class's sample at most, which bounds what the driver holds (4 bytes each, 12 while it fits).
+SAMPLE_FEATURES = 1 << 23
 COST, ROUNDS, BETA, SMOOTH = 1.0, 30, 0.5, 1.0
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
@@ -134,27 +138,46 @@ def _curve(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-3), float(b)
 
 
+def within(sample: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows of each class in the order of their ids' hashes, as long as their features stay within ``most`` a class.
+
+    The driver sees the sizes (one number a row) before it asks for any features.
+    """
+    most, cut = SAMPLE_FEATURES if most is None else most, F.lit(False)
+    sizes = sample.select(F.xxhash64("doc_id").alias("h"), "y", F.size("f").cast("long").alias("n")).toArrow().sort_by([("h", "ascending"), ("n", "ascending")])
+    for y in (0, 1):
+        own = sizes.filter(pc.equal(sizes["y"], y))
+        if own.num_rows:
+            k = max(1, int(np.searchsorted(np.cumsum(own["n"].to_numpy()), most, "right")))
+            cut = cut | ((F.col("y") == y) & (F.xxhash64("doc_id") <= own["h"][min(k, own.num_rows) - 1].as_py()))
+    return sample.filter(cut)
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> dict:
     """The model: ``weight`` (scaled by the ratios), ``bias``, ``slope`` and ``offset`` of the curve."""
-    known = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("doc_id"), F.col(label).alias("y"))
+    kind = dict(docs.dtypes)[doc_id]
+    known = labels.filter(F.col(label).cast("double").isin(0.0, 1.0)).select(F.col(doc_id).cast(kind).alias("doc_id"), F.col(label).cast("int").alias("y")).hint("merge")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # Always merged: the labels grow with the documents, so neither side may be broadcast.
-    seen, total = class_counts(texts.join(known.hint("merge"), "doc_id"))
+    seen, total = class_counts(texts.join(known, "doc_id"))
     if not total.all():
         share = float(total[1] / total.sum()) if total.sum() else 0.5
         return {"weight": np.zeros(DIM, np.float32), "bias": 0.0, "slope": 0.0, "offset": float(np.log(share + 1e-6) - np.log(1 - share + 1e-6)) if total.sum() else 0.0}
     p, q = SMOOTH + seen[1], SMOOTH + seen[0]
     ratio = np.log((p / p.sum()) / (q / q.sum()))
+    # Chosen among the rows that are there: labels may be of documents that aren't.
+    there = texts.select("doc_id").join(known, "doc_id").distinct()
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    ids = known.filter("y = 0").orderBy(*order).limit(SAMPLE).unionByName(known.filter("y = 1").orderBy(*order).limit(SAMPLE))
+    ids = there.filter("y = 0").orderBy(*order).limit(SAMPLE).unionByName(there.filter("y = 1").orderBy(*order).limit(SAMPLE))
 
     def make(b: pa.RecordBatch) -> pa.RecordBatch:
         f, ptr = features(b["text"])
         return pa.RecordBatch.from_arrays([b["doc_id"], b["y"], pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(f))], names=["doc_id", "y", "f"])
 
-    # At most 2 * SAMPLE ids, hence the hint; a document has at most DIM features.
-    sample = map_slices(texts.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text"), "text", f"doc_id {dict(docs.dtypes)[doc_id]}, y int, f array<int>", make)
-    sample = sample.orderBy("doc_id", "y").toArrow()
+    # At most 2 * SAMPLE ids, hence the hint; of rows with one id the sample takes the smallest text.
+    chosen = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample = materialise(map_slices(chosen, "text", f"doc_id {kind}, y int, f array<int>", make), "sample")
+    sample = within(sample).orderBy("doc_id", "y").toArrow()
     y = np.where(sample["y"].to_numpy() > 0, 1.0, -1.0)
     f = sample["f"].combine_chunks()
     flat, ptr = f.values.to_numpy(), f.offsets.to_numpy()

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from siltstone.llm import decontaminate, entry, licenses, lm_scoring
+from siltstone.llm import decontaminate, entry, licenses, lm_scoring, quality_classifier
 from siltstone.llm import words as W
 from siltstone.runtime import materialise, table
 
@@ -340,6 +340,32 @@ def test_quality_of_held_out_documents(spark, sf, labels):
     assert all((r.score >= 0.7) == (r.predicted == 1) for r in got.values())
 
 
+def test_classifier_learns_from_the_documents_that_are_there(spark, monkeypatch):
+    """Labels of absent documents, of held-out documents only, of other number types, and repeated ids."""
+    good, bad = "The town has a quiet river and an old bridge. ", "xx $$ 11 ## qq !! "
+    rows = [(i, (good if i % 2 else bad) * (3 + i % 5)) for i in range(200)] + [(7, good)] * 3
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    labels = spark.range(200_000).selectExpr("id AS doc_id", "CAST(id % 2 AS BIGINT) AS quality")
+    split = lambda m: {(r.doc_id % 2, r.predicted) for r in quality_classifier.score(docs, m).collect()}
+    assert split(quality_classifier.train(docs, labels)) == {(0, 0), (1, 1)}
+    assert split(quality_classifier.train(docs, labels.selectExpr("CAST(doc_id AS STRING) AS doc_id", "CAST(quality AS DOUBLE) AS quality"))) == {(0, 0), (1, 1)}
+    absent = quality_classifier.train(docs, labels.filter("doc_id >= 1000"))
+    assert quality_classifier.score(docs, absent).filter("score <> 0.5").count() == 0
+    monkeypatch.setattr(quality_classifier, "SAMPLE_FEATURES", 4000)
+    assert split(quality_classifier.train(docs, labels)) == {(0, 0), (1, 1)}
+
+
+def test_dual_descent_reaches_the_optimum():
+    """No coordinate step improves the dual any more, and the weights are those of its variables."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (60, 8))
+    y = np.where(x[:, 0] + 0.3 * rng.normal(0, 1, 60) > 0, 1.0, -1.0)
+    w = quality_classifier.dual_descent([np.arange(8)] * 60, list(x), y, np.full(60, 0.7), 8, rounds=3000)
+    z = np.hstack((x, np.ones((60, 1))))
+    loss = lambda w: w @ w / 2 + 0.7 * np.maximum(0, 1 - y * (z @ w)).sum()
+    assert all(loss(w) <= loss(w + d) + 1e-2 for d in 0.05 * rng.normal(0, 1, (300, 9)))
+
+
 def test_hashes_see_whole_words():
     import pyarrow as pa
 
