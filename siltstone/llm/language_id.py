@@ -3,17 +3,18 @@
 Each language is a multinomial over hashed byte trigrams of its words (with their edges). A
 document is a mixture of languages with its words as draws: expectation-maximisation estimates the
 proportions from the words' n-gram likelihoods, first over all languages, then over the nested
-sets of the k likeliest, and the set with the best penalised likelihood (``PENALTY`` times k - 1
-times half the log of the number of words) is kept. The predicted language has the largest
+sets of the k likeliest for k = 1, 2, ... as long as the penalised likelihood grows (the penalty is
+``PENALTY`` times k - 1 times half the log of the number of words + 1). The predicted language has the largest
 proportion in it, and that proportion is the score.
 
 Definitions: words are runs of ASCII letters and non-ASCII characters, A-Z lower-cased. A text
 that is null or has no letter is ``und`` with score 0, so is every text if there is nothing to
-learn from. Equal proportions: the first language in code point order. Rows are independent,
-repeated rows get equal results.
+learn from. Equal proportions: the first language in code point order. Rows are independent
+whatever shares their partition, repeated rows get equal results.
 
 Scale: training sums counts over a fixed number of buckets per language (every training row
-counts), the model has BUCKETS numbers per learned language. Prediction is one narrow pass.
+counts), the model has BUCKETS numbers per learned language (26 MB for a hundred), which the driver
+holds; ``lang`` is taken to name languages, of which there are hundreds at most. Prediction is one narrow pass.
 """
 
 from __future__ import annotations
@@ -84,46 +85,52 @@ def mixture(ll: np.ndarray, ptr: np.ndarray, rounds: int = ROUNDS, penalty: floa
 
     ``ll`` is the log-likelihood of each word under each language; every document has a word.
     """
-    top = ll.max(1, keepdims=True)
-    lik = np.exp(np.maximum(ll - top, -60.0))
+    near = np.maximum(ll - ll.max(1, keepdims=True), -60.0)
+    lik = np.exp(near)
     # One language alone needs no EM: its likelihood is a sum.
-    alone = np.add.reduceat(ll - top, ptr[:-1], axis=0)
+    alone = np.add.reduceat(near.astype(np.float64), ptr[:-1], axis=0)
     first = np.argmax(alone, axis=1)
     k, every = ll.shape[1], np.arange(len(first))
     best = np.zeros((len(first), k), np.float32)
     best[every, first] = 1
-    best_ll, size = alone[every, first].astype(np.float64), np.ones(len(first), int)
-    full, full_ll = _fit(lik, ptr, np.full((len(first), k), 1.0 / k, np.float32), rounds)
-    # No set does better than all languages together: where even those don't make up for the
-    # smallest penalty (with a margin for rounds not run), one language it is.
+    best_ll, size = alone[every, first].copy(), np.ones(len(first), int)
+    pi = np.full((len(first), k), 1.0 / k, np.float32)
+    pi, full_ll, gain = _fit(lik, ptr, pi, rounds)
+    # No set does better than all languages together at their best: where even that bound doesn't make
+    # up for the smallest penalty, one language it is. Each document has its own bound.
     n = np.diff(ptr)
-    open_ = np.flatnonzero(full_ll + 1.0 - penalty * np.log(n + 1) / 2 > best_ll)
-    if not len(open_):
-        return best, size
-    word = np.repeat(np.isin(every, open_), n)
-    lik, n = lik[word], n[open_]
-    ptr = np.concatenate(([0], np.cumsum(n)))
-    rank = np.argsort(np.argsort(-full[open_], axis=1, kind="stable"), axis=1)
+    open_ = np.flatnonzero(full_ll + gain - penalty * np.log(n + 1) / 2 > best_ll)
+    rank = np.argsort(np.argsort(-pi, axis=1, kind="stable"), axis=1)
+    # Sets grow as long as their document's penalised likelihood does.
     for s in range(2, k + 1):
-        pi, value = _fit(lik, ptr, np.where(rank < s, 1.0 / s, 0.0).astype(np.float32), rounds)
-        value = value - penalty * (s - 1) * np.log(n + 1) / 2
-        better = value > best_ll[open_]
-        i = open_[better]
-        best[i], best_ll[i], size[i] = pi[better], value[better], s
-        if not better.any():
+        if not len(open_):
             break
+        words = np.concatenate([np.arange(ptr[i], ptr[i + 1]) for i in open_.tolist()])
+        own = np.concatenate(([0], np.cumsum(n[open_])))
+        pi, value, _ = _fit(lik[words], own, np.where(rank[open_] < s, 1.0 / s, 0.0).astype(np.float32), rounds)
+        value = value - penalty * (s - 1) * np.log(n[open_] + 1) / 2
+        better = value > best_ll[open_]
+        open_ = open_[better]
+        best[open_], best_ll[open_], size[open_] = pi[better], value[better], s
     return best, size
 
 
-def _fit(lik: np.ndarray, ptr: np.ndarray, pi: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation-maximisation of the proportions of all documents at once, and their log-likelihoods."""
+def _fit(lik: np.ndarray, ptr: np.ndarray, pi: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expectation-maximisation of the proportions of all documents at once: proportions, log-likelihoods, and
+    how much more any proportions can reach.
+
+    With g_j the mean over the words of l_j / sum(pi l), other proportions p gain
+    sum(log(sum(p l) / sum(pi l))) <= n log(sum(p g)) <= n log(max g).
+    """
     n = np.diff(ptr)
     doc = np.repeat(np.arange(len(n)), n)
     for _ in range(rounds):
         r = lik * pi[doc]
         r /= np.maximum(r.sum(1, keepdims=True), 1e-30)
         pi = np.add.reduceat(r, ptr[:-1], axis=0) / n[:, None]
-    return pi, np.add.reduceat(np.log(np.maximum((lik * pi[doc]).sum(1), 1e-30)), ptr[:-1])
+    total = np.maximum((lik * pi[doc]).sum(1), 1e-30)
+    g = np.add.reduceat((lik / total[:, None]).astype(np.float64), ptr[:-1], axis=0) / n[:, None]
+    return pi.astype(np.float32), np.add.reduceat(np.log(total.astype(np.float64)), ptr[:-1]), n * np.log(np.maximum(1.0, g.max(1)))
 
 
 def predict(docs: DataFrame, langs: list[str], model: np.ndarray, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -12,9 +12,10 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import decontaminate, entry, licenses, lm_scoring, quality_classifier
+from siltstone.llm import decontaminate, entry, language_id, licenses, lm_scoring, quality_classifier
 from siltstone.llm import words as W
 from siltstone.runtime import materialise, table
 
@@ -138,6 +139,54 @@ def test_languages_of_held_out_documents(spark, sf, docs):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_mixtures_against_one_document_at_a_time():
+    """EM over nested sets written out for single documents, which must not depend on their neighbours."""
+    rng = np.random.default_rng(6)
+
+    def fit(lik, pi):
+        for _ in range(language_id.ROUNDS):
+            r = lik * pi
+            pi = (r / r.sum(1, keepdims=True)).mean(0)
+        return pi, np.log((lik * pi).sum(1)).sum()
+
+    docs = []
+    for _ in range(400):
+        n, k = int(rng.integers(1, 120)), int(rng.integers(1, 4))
+        ll = rng.normal(-9, 1.5, (n, 4))
+        ll[np.arange(n), rng.choice(4, k, replace=False)[rng.integers(0, k, n)]] += rng.choice([0.0, 2.0, 5.0])
+        docs.append(ll.astype(np.float32))
+    ptr = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    pi, size = language_id.mixture(np.concatenate(docs), ptr)
+    several = 0
+    for d, p, s in zip(docs, pi, size.tolist(), strict=True):
+        near = np.maximum(d.astype(np.float64) - d.max(1, keepdims=True), -60)
+        lik = np.exp(near)
+        best, best_pi, k = near.sum(0).max(), np.eye(4)[near.sum(0).argmax()], 1
+        order = np.argsort(-fit(lik, np.full(4, 0.25))[0], kind="stable")
+        for m in range(2, 5):
+            start = np.zeros(4)
+            start[order[:m]] = 1 / m
+            q, value = fit(lik, start)
+            value -= language_id.PENALTY * (m - 1) * np.log(len(d) + 1) / 2
+            if value <= best:
+                break
+            best, best_pi, k = value, q, m
+        several += k > 1
+        assert k == s and np.abs(best_pi - p).max() < 1e-3
+        alone, one = language_id.mixture(d, np.array([0, len(d)]))
+        assert one[0] == s and (alone[0] == p).all()
+    assert several > 50
+
+
+def test_languages_do_not_depend_on_partitions(spark, sf):
+    docs = table(spark, sf, "documents")
+    three = docs.groupBy().agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("lang", "doc_id", F.substring("text", 1, 90).alias("t")))), 30, 120), lambda x: x["t"]), " ").alias("text")).select(F.lit(-1).cast("long").alias("doc_id"), "text")
+    rows = docs.select("doc_id", "text").unionByName(three)
+    langs, model = language_id.train(docs)
+    got = [sorted(language_id.predict(rows.repartition(n), langs, model).collect()) for n in (1, 200)]
+    assert got[0] == got[1] and got[0][0].n_langs > 1
+
+
 def split_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
 
