@@ -10,10 +10,14 @@ grouped by their own hash. Nothing is lost, and most windows are never shuffled.
 
 Definitions: words are ``[^\\x20\\x09-\\x0D]+``, unchanged; null texts and texts under ``k`` words keep
 everything. Ids are integers; a null id counts as larger than every other. Rows with equal id and
-text are each treated alike, and one's windows don't remove the other's. Hashes have 96 bits.
+text are each treated alike, and one's windows don't remove the other's. Two windows are equal if
+both their own hash and their smallest inner one are, each of 64 bits; a text is told from another
+of the same id by 64 bits.
 
 Scale: a slice of a partition keeps one row per hash and thus per group of copies, so a hash has at
-most as many rows as there are slices, however hot it is. The texts are shuffled once, by id.
+most as many rows as there are slices, however hot it is; which hashes repeat is a streaming
+aggregate. The rows of a repeated hash are reduced in ``SALTS`` groups of slices first, then those groups'
+rows: no group holds more than a sixty-fourth of the slices, or one row per group. The texts are shuffled once, by id.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import words as W
@@ -34,6 +38,10 @@ LAST = (1 << 63) - 1
 #: Bytes of text that are grouped before anything is sent.
 SLICE = 8 << 20
 _SALT = np.uint64(0xA0761D6478BD642F)
+#: Groups of slices that are reduced on their own before all of them meet.
+SALTS = 64
+#: Neighbouring windows of one smallest hash (``hs``: their own hashes), or an interval of ``gone`` words.
+RUN = "m long, id long, th long, pos int, gone int, hs array<long>"
 
 
 def _run_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -144,13 +152,17 @@ def _candidates(k: int):
             rows.append((W.signed(key), d, p, pos[g][e] - p + k, pa.array([[]] * len(s), pa.list_(pa.int64()))))
         m, doc, pos, gone = (np.concatenate([r[i] for r in rows]) for i in range(4))
         take = pa.array(doc)
-        return pa.RecordBatch.from_arrays([pa.array(m), b["id"].take(take), b["th"].take(take), pa.array(pos.astype(np.int32)), pa.array(gone.astype(np.int32)), pa.concat_arrays([r[4] for r in rows])], names=["m", "id", "th", "pos", "gone", "hs"])
+        s = int(W.mix(b["id"].to_numpy()[:1].view(W.U64) ^ _SALT)[0] % np.uint64(SALTS))
+        return pa.RecordBatch.from_arrays([pa.array(m), b["id"].take(take), b["th"].take(take), pa.array(pos.astype(np.int32)), pa.array(gone.astype(np.int32)), pa.concat_arrays([r[4] for r in rows]), pa.array(np.full(len(m), s, np.int32))], names=["m", "id", "th", "pos", "gone", "hs", "s"])
 
     return kernel
 
 
-def _repeated(k: int):
-    """Intervals of the runs whose windows start in a smaller id too; runs arrive sorted by their key."""
+def _repeated(k: int, last: bool):
+    """Runs arrive sorted by their key. Windows that start in a smaller id of the group too become intervals.
+
+    At last all intervals come out. Before, what is left of the runs goes on with them in the same form.
+    """
 
     def decide(t: pa.Table) -> pa.RecordBatch | None:
         known = t["gone"].to_numpy() > 0
@@ -164,19 +176,36 @@ def _repeated(k: int):
         new[1:] = (h[order][1:] != h[order][:-1]) | (m[order][1:] != m[order][:-1])
         off = np.zeros(len(h), bool)
         off[order] = ids[order] > ids[order][np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else False
-        w = np.flatnonzero(off)
-        head = np.ones(len(w), bool)
-        head[1:] = (run[w][1:] != run[w][:-1]) | (w[1:] != w[:-1] + 1)
-        s = np.flatnonzero(head)
-        e = np.append(s[1:], len(w)) - 1
-        pos = t["pos"].to_numpy()
-        i, p, n = run[w[s]], pos[run[w[s]]] + w[s] - first[run[w[s]]], w[e] - w[s] + k if len(s) else np.zeros(0, np.int64)
-        j = np.flatnonzero(known)
-        take = pa.array(np.concatenate((i, j)))
-        if not len(take):
+        pos, j = t["pos"].to_numpy(), np.flatnonzero(known)
+
+        def stretches(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            # Run, first place and number of neighbouring windows.
+            w = np.flatnonzero(which)
+            head = np.ones(len(w), bool)
+            head[1:] = (run[w][1:] != run[w][:-1]) | (w[1:] != w[:-1] + 1)
+            s = np.flatnonzero(head)
+            return run[w[s]], w[s], np.diff(np.append(s, len(w)))
+
+        i, at, n = stretches(off)
+        rows, starts, sizes = np.concatenate((i, j)), np.concatenate((pos[i] + at - first[i], pos[j])), np.concatenate((n + k - 1, t["gone"].to_numpy()[j]))
+        if last:
+            if not len(rows):
+                return None
+            take = pa.array(rows)
+            return pa.RecordBatch.from_arrays([*(t[c].take(take).combine_chunks() for c in ("id", "th")), pa.array(starts.astype(np.int32)), pa.array(sizes.astype(np.int32))], names=["id", "th", "pos", "size"])
+        # Intervals go on under keys of their own, so that none of them is hot.
+        own = W.signed(W.mix(t["id"].to_numpy()[i].view(W.U64) * _SALT + (pos[i] + at - first[i]).astype(W.U64)))
+        stay, at, n = stretches(~off)
+        keys = np.concatenate((own, t["m"].to_numpy()[j], t["m"].to_numpy()[stay]))
+        rows = np.concatenate((rows, stay))
+        if not len(rows):
             return None
-        cols = [t["id"].take(take), t["th"].take(take)]
-        return pa.RecordBatch.from_arrays([*(x.combine_chunks() for x in cols), pa.array(np.concatenate((p, pos[j])).astype(np.int32)), pa.array(np.concatenate((n, t["gone"].to_numpy()[j])).astype(np.int32))], names=["id", "th", "pos", "size"])
+        take = pa.array(rows)
+        ends = np.concatenate((np.zeros(len(rows) - len(stay), np.int64), np.cumsum(n)))
+        hs = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(h[~off]))
+        starts = np.concatenate((starts, pos[stay] + at - first[stay])).astype(np.int32)
+        sizes = np.concatenate((sizes, np.zeros(len(stay), np.int64))).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(keys), *(t[c].take(take).combine_chunks() for c in ("id", "th")), pa.array(starts), pa.array(sizes), hs], names=["m", "id", "th", "pos", "gone", "hs"])
 
     def run(batches):
         wait: list[pa.RecordBatch] = []
@@ -261,12 +290,13 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(t).alias("th"), t.alias("text"), *keep)
     keys = map_slices(texts.select("id", "text"), "text", "m long, ids array<long>", _first_keys(k), SLICE)
     # A smallest hash matters if two documents show it; equal ids don't compare.
-    every = Window.partitionBy("m")
-    keys = keys.withColumn("a", F.min(F.array_min("ids")).over(every)).withColumn("b", F.max(F.array_max("ids")).over(every))
-    lists = keys.filter("a < b").select("m", F.explode("ids").alias("id")).groupBy("id").agg(F.collect_set("m").alias("ms"))
+    shown = keys.groupBy("m").agg(F.min(F.array_min("ids")).alias("a"), F.max(F.array_max("ids")).alias("b")).filter("a < b").select("m")
+    lists = keys.join(shown, "m").select("m", F.explode("ids").alias("id")).groupBy("id").agg(F.collect_set("m").alias("ms"))
     # The kept columns ride along here, so that both joins read one and the same exchange.
-    runs = map_slices(texts.join(lists.hint("merge"), "id").select("id", "th", "text", *keep, "ms"), "text", "m long, id long, th long, pos int, gone int, hs array<long>", _candidates(k), SLICE)
-    spans = runs.repartition("m").sortWithinPartitions("m").mapInArrow(_repeated(k), "id long, th long, pos int, size int")
+    runs = map_slices(texts.join(lists.hint("merge"), "id").select("id", "th", "text", *keep, "ms"), "text", f"{RUN}, s int", _candidates(k), SLICE)
+    # In two rounds, so that a hot hash never has the rows of all slices in one group.
+    some = runs.repartition("m", "s").sortWithinPartitions("m").drop("s").mapInArrow(_repeated(k, False), RUN)
+    spans = some.repartition("m").sortWithinPartitions("m").mapInArrow(_repeated(k, True), "id long, th long, pos int, size int")
     found = spans.groupBy("id").agg(F.collect_set(F.struct("th", "pos", "size")).alias("spans"))
     joined = texts.join(found.hint("merge"), "id", "left").select(F.when(F.col("id") < LAST, F.col("id")).cast(kind).alias("doc_id"), *keep, "th", "text", "spans")
     fields = ", ".join(f"`{c}` {x}" for c, x in joined.dtypes if c not in ("th", "text", "spans"))
