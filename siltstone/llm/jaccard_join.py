@@ -25,7 +25,8 @@ Steps, none of which collects documents, links or components to the driver:
 
 Definitions: A-Z lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; texts under five words are one
 shingle of their whole sequence; null or blank texts have an empty set and link with nothing. A
-null id never names a component that has others. Repeated rows are copies of each other. Shingles
+null id never names a component that has others. Repeated rows are copies of each other, whatever
+their ids: equal ids make no difference to links. Shingles
 are 64-bit hashes and entities 64-bit hashes of their sets.
 """
 
@@ -33,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import words as W
@@ -85,7 +86,7 @@ def entity(x: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 
 def _members(b: pa.RecordBatch) -> pa.RecordBatch:
     x, ptr = sets(b)
-    return pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.diff(ptr)), pa.array(W.signed(entity(x, ptr)))], names=["doc_id", "n", "e"])
+    return pa.RecordBatch.from_arrays([b["doc_id"], b["t"], pa.array(np.diff(ptr)), pa.array(W.signed(entity(x, ptr)))], names=["doc_id", "t", "n", "e"])
 
 
 def _spread(ranges: int):
@@ -251,13 +252,23 @@ def _n_ranges(df: DataFrame) -> int:
     return int(min(1 << 20, max(8, size // RANGE_BYTES)))
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.lit(4), text)
+
+
 def shingle_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
+    return placed(docs, text, doc_id).select("doc_id", "n_shingles", "component_id")
+
+
+def placed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``shingle_components`` with a hash ``t`` of the text, and ``comp``, a name of the component (null for an empty
+    set) that doesn't need ids."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[doc_id]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("t"), F.col(text).alias("text"))
     ranges = _n_ranges(docs)
-    members = materialise(map_slices(rows, "text", f"doc_id {kind}, n long, e long", _members, SLICE), "members")
+    members = materialise(map_slices(rows, "text", f"doc_id {kind}, t long, n long, e long", _members, SLICE), "members")
     packed = map_slices(rows.select("text"), "text", "part int, x binary, e binary, n binary, c binary", _spread(ranges), SLICE)
     shared = packed.groupBy("part").applyInArrow(_frequencies(ranges), "part int, x binary, e binary, n binary, c binary, df binary")
     entities = materialise(shared.groupBy("part").applyInArrow(_prefixes, ENTITY), "entities")
@@ -292,9 +303,10 @@ def shingle_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     known = members.filter("n > 0").groupBy("e").agg(F.min("doc_id").alias("d")).join(comps.withColumnRenamed("node", "e"), "e", "left").withColumn("component", F.coalesce("component", "e"))
     smallest = known.groupBy("component").agg(F.min("d").alias("component_id"))
-    named = known.join(smallest, "component").select("e", "component_id")
+    named = known.join(smallest, "component").select("e", "component", "component_id")
     out = members.join(named, "e", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    some = F.col("n") > 0
+    return out.select("doc_id", "t", F.col("n").alias("n_shingles"), F.when(some, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("component")).alias("comp"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -302,9 +314,26 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component, and those without an id."""
-    found = shingle_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(materialise(found, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component, and every row without words.
+
+    It is the row with the smallest id (rows without an id come last), of these the one with the smallest hash
+    of its text. Rows equal in both are one row several times: one of them stays.
+    """
+    rows = placed(docs).filter("comp IS NOT NULL")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    kinds = materialise(rows.groupBy("comp", "doc_id", "t").agg(F.count("*").alias("times")), "kinds")
+    best = kinds.groupBy("comp").agg(F.min(order).alias("best"))
+    marks = kinds.join(best, "comp").withColumn("first", order == F.col("best"))
+    marks = materialise(marks.filter("NOT first OR times > 1").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("first").alias("_first")), "marks")
+    same = lambda m: docs["doc_id"].eqNullSafe(m["_id"]) & (text_key(docs["text"]) == m["_t"])
+    columns = [f"`{c}`" for c in docs.columns]
+    out = docs.join(marks, same(marks), "left_anti").select(*columns)
+    several = marks.filter("_first")
+    if several.isEmpty():
+        return out
+    whole = docs.join(several, same(several)).select("_id", "_t", F.struct(*columns).alias("_doc"))
+    one = whole.groupBy("_id", "_t").agg(F.first("_doc").alias("_doc"))
+    return out.unionByName(one.select(*(F.col(f"_doc.{c}") for c in columns)))
 
 
 SQL = f"""

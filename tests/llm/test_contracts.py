@@ -2,6 +2,7 @@
 
 import collections
 import glob
+import hashlib
 import itertools
 import math
 import os
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import decontaminate, entry, language_id, licenses, lm_scoring, quality_classifier
+from siltstone.llm import decontaminate, entry, jaccard_join, language_id, licenses, lm_scoring, quality_classifier, substring_dedup
 from siltstone.llm import words as W
 from siltstone.runtime import materialise, table
 
@@ -469,3 +470,80 @@ def test_a_weak_opening_does_not_hide_the_rest_of_a_diagonal(spark):
     docs = spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string")
     got = decontaminate.decontaminate(docs, bench).collect()
     assert [(r.doc_id, r.item_id, r.doc_start, r.item_start, r.n_equal) for r in got] == [(1, 7, 40, 40, 40)]
+
+
+def _near_copies(rng, n):
+    """Texts over few words with edits, cuts and exact copies."""
+    base = [list(rng.choice([f"w{i}" for i in range(40)], int(rng.integers(1, 60)))) for _ in range(6)]
+    out = []
+    for i in range(n):
+        w = list(base[int(rng.integers(0, len(base)))])
+        for _ in range(int(rng.integers(0, 4))):
+            w[int(rng.integers(0, len(w)))] = f"x{rng.integers(0, 9)}"
+        out.append((int(rng.integers(0, n)), " ".join(w[int(rng.integers(0, 3)) :]) or None))
+    return out
+
+
+def test_components_against_all_pairs(spark, monkeypatch):
+    """Blocks, slices and ranges far smaller than the groups of copies."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "SLICE", 400)
+    rows = _near_copies(np.random.default_rng(12), 240)
+    sets = []
+    for _, t in rows:
+        w = (t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    comp = list(range(len(rows)))
+
+    def top(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        x = len(sets[i] & sets[j])
+        if sets[i] and 100 * x >= 80 * len(sets[i] | sets[j]):
+            comp[top(j)] = top(i)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        low[top(i)] = min(d, low.get(top(i), d))
+    want = sorted((d, len(s), low[top(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, jaccard_join.shingle_components(docs).collect())) == want
+    left = jaccard_join.stage(spark, docs, "").collect()
+    keep = {top(i): min((d, t) for j, (d, t) in enumerate(rows) if top(j) == top(i))[0] for i, (d, _) in enumerate(rows) if sets[i]}
+    assert sorted(r.doc_id for r in left) == sorted([*keep.values(), *(d for (d, _), s in zip(rows, sets, strict=True) if not s)])
+
+
+def test_one_row_of_each_component_stays(spark):
+    t, u = "one two three four five six seven", "other words of another kind here now"
+    rows = [(1, t, "a"), (1, t, "b"), (2, t, "c"), (None, t, "d"), (None, u, "e"), (None, u, "f"), (3, None, "g"), (3, None, "h"), (4, "", "i"), (1, "alone in its own kind of words", "j")]
+    left = jaccard_join.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == sorted([("1", t), ("None", u), ("3", "None"), ("3", "None"), ("4", ""), ("1", "alone in its own kind of words")])
+
+
+def test_removed_words_against_all_windows(spark, monkeypatch):
+    """Slices of a few texts, so that hot windows come from many; repeated ids and ties."""
+    monkeypatch.setattr(substring_dedup, "SLICE", 300)
+    monkeypatch.setattr(substring_dedup, "SALTS", 3)
+    rng, k = np.random.default_rng(5), 6
+    hot = [f"h{i}" for i in range(9)]
+    rows = []
+    for _ in range(160):
+        w = list(rng.choice([f"v{i}" for i in range(4)], int(rng.integers(0, 30))))
+        if rng.random() < 0.6:
+            w[len(w) // 2 : len(w) // 2] = hot
+        rows.append((int(rng.integers(0, 140)), " ".join(w)))
+    first = {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - k + 1):
+            x = tuple(w[i : i + k])
+            first[x] = min(d, first.get(x, d))
+    want = []
+    for d, t in rows:
+        w = t.split()
+        gone = {i + j for i in range(len(w) - k + 1) if first[tuple(w[i : i + k])] < d for j in range(k)}
+        want.append((d, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted(map(tuple, substring_dedup.substring_dedup(docs, k=k, digest=True).collect())) == sorted(want)
