@@ -3,16 +3,18 @@
 Words and pairs of neighbouring words are hashed into ``BUCKETS`` buckets. Two multinomials over
 the buckets are counted: the raw corpus (every document) and the trusted target (documents whose
 label says quality 1). A document's ratio is the sum over its n-grams of log(target / raw),
-divided by the number of n-grams; it is kept when it passes the base rules and its ratio is at
-least ``THRESHOLD``. Nothing is drawn at random, every document gets its verdict.
+divided by the number of n-grams; it is kept when it passes the base rules and its ratio is not
+further below the mean of the corpus than the mean of the trusted target is above it, both means
+being over n-grams. That limit, 2 * mean(raw) - mean(target), follows from the two multinomials
+alone; it moves with the share of trusted text as the ratios do. Nothing is drawn at random, every document gets its verdict.
 
 Definitions: a null or blank text has no words, all statistics 0 and fails; with fewer than five
 words there are no windows; without any trusted document the ratio is 0 for everyone. Rows are
 independent, so repeated rows get equal verdicts. Several labels of one document: trusted if any
 says 1.
 
-Scale: counting is one narrow pass with map-side sums over a fixed number of buckets; the table of
-ratios has BUCKETS numbers and reaches the scoring pass as a scalar subquery, so scoring is
+Scale: texts meet their labels in one exchange, behind which both multinomials are counted with
+map-side sums over a fixed number of buckets; the table of ratios has BUCKETS numbers and reaches the scoring pass as a scalar subquery, so scoring is
 one narrow pass without a shuffle.
 """
 
@@ -24,8 +26,6 @@ from pyspark.sql import functions as F
 from siltstone.runtime import table
 
 BUCKETS = 1 << 14
-#: Natural logarithm per n-gram.
-THRESHOLD = -0.10
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
@@ -81,23 +81,26 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row, one column ``r``: the array of log(target / raw) of every bucket, add-one smoothed."""
+    """One row, one column ``r``: the array of log(target / raw) of every bucket, add-one smoothed, and then the
+    smallest ratio to keep, ``cut``."""
     good = trusted.filter(F.col("quality") == 1).select(F.col(doc_id).alias("_good")).distinct()
+    # Always merged: the labels grow with the documents, so neither side may be broadcast. Texts go
+    # through this exchange once and both multinomials are counted behind it.
+    marked = docs.join(good.hint("merge"), docs[doc_id] == good["_good"], "left").select(F.col(text).alias("_t"), F.col("_good").isNotNull().alias("_y"))
     # The hashes are a column of their own: inside a lambda an expression would run for every element.
-    grams = lambda df: df.select(hashes(words(F.col(text))).alias("_h")).select(F.explode(_grams(F.col("_h"))).alias("b"))
-    raw = grams(docs).groupBy("b").agg(F.count("*").alias("c"))
-    # Always merged: the labels grow with the documents, so neither side may be broadcast.
-    marked = docs.join(good.hint("merge"), docs[doc_id] == good["_good"], "left_semi")
-    target = grams(marked).groupBy("b").agg(F.count("*").alias("t"))
-    spark = docs.sparkSession
-    every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
-    both = every.join(raw, "b", "left").join(target, "b", "left").fillna(0, ["c", "t"])
+    grams = marked.select(hashes(words(F.col("_t"))).alias("_h"), "_y").select(F.explode(_grams(F.col("_h"))).alias("b"), "_y")
+    counted = grams.groupBy("b").agg(F.count("*").alias("c"), F.count_if("_y").alias("t"))
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
+    both = every.join(counted, "b", "left").fillna(0, ["c", "t"])
     sums = both.agg(F.sum("c").alias("n"), F.sum("t").alias("m"), F.array_sort(F.collect_list(F.struct("b", "c", "t"))).alias("a"))
     ratio = lambda x: F.log((x["t"] + 1.0) / (F.col("m") + float(BUCKETS))) - F.log((x["c"] + 1.0) / (F.col("n") + float(BUCKETS)))
-    return sums.select(F.transform("a", lambda x: F.when(F.col("m") > 0, ratio(x)).otherwise(F.lit(0.0))).alias("r"))
+    sums = sums.withColumn("r", F.transform("a", lambda x: F.when(F.col("m") > 0, ratio(x)).otherwise(F.lit(0.0))))
+    mean = lambda k, total: F.aggregate(F.zip_with("a", "r", lambda x, r: x[k] * r), F.lit(0.0), lambda s, x: s + x) / F.greatest(F.col(total), F.lit(1))
+    sums = sums.withColumn("cut", 2 * mean("c", "n") - mean("t", "m"))
+    return sums.select(F.concat("r", F.array("cut")).alias("r"))
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept)."""
     docs, text, doc_id = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "doc_id"
     r = ratios(docs, trusted, text, doc_id)
@@ -106,7 +109,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_i
     total = F.aggregate("_g", F.lit(0.0), lambda a, b: a + F.element_at(F.col("_r"), b + 1))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     df = df.withColumn("llr", F.when(F.size("_g") > 0, total / F.size("_g")).otherwise(F.lit(0.0))).withColumn("base_failed", failed)
-    return df.select(F.col(doc_id).alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"))
+    kept = ~F.col("base_failed") & (F.col("llr") >= F.element_at(F.col("_r"), BUCKETS + 1))
+    return df.select(F.col(doc_id).alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", kept.alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

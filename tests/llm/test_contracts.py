@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import decontaminate, entry, jaccard_join, language_id, licenses, lm_scoring, quality_classifier, substring_dedup
+from siltstone.llm import decontaminate, entry, jaccard_join, language_id, licenses, lm_scoring, quality_classifier, quality_rules, substring_dedup
 from siltstone.llm import words as W
 from siltstone.runtime import materialise, table
 
@@ -383,6 +383,31 @@ def test_quality_statistics(spark, sf, docs):
         assert r.base_failed == (len(w) < 10 or 100 * len(cover) > 20 * len(w)) and not (r.base_failed and r.kept)
 
 
+def test_quality_ratios_written_out(spark, sf, docs, labels):
+    """Ratios, the limit and verdicts from counts over all n-grams; Spark's hash is the only thing taken over."""
+    rows = [(i, j, w) for i, d in docs.items() for j, w in enumerate(WORD.findall(d.text or ""))]
+    words = spark.createDataFrame([(w,) for w in sorted({w for _, _, w in rows})], "w string").select("w", F.xxhash64("w").alias("h"))
+    of = {r.w: r.h for r in words.collect()}
+    pairs = {(of[a[2]], of[b[2]]) for a, b in zip(rows, rows[1:], strict=False) if a[0] == b[0]}
+    twos = spark.createDataFrame(sorted(pairs), "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h"))
+    two = {(r.a, r.b): r.h % quality_rules.BUCKETS for r in twos.collect()}
+    grams = {}
+    for i, d in docs.items():
+        h = [of[w] for w in WORD.findall(d.text or "")]
+        grams[i] = [x % quality_rules.BUCKETS for x in h] + [two[x] for x in zip(h, h[1:], strict=False)]
+    raw, target = collections.Counter(), collections.Counter()
+    for i, g in grams.items():
+        raw.update(g)
+        if i in labels and labels[i].quality == 1:
+            target.update(g)
+    n, m, b = sum(raw.values()), sum(target.values()), quality_rules.BUCKETS
+    ratio = [math.log((target[k] + 1) / (m + b)) - math.log((raw[k] + 1) / (n + b)) for k in range(b)]
+    cut = 2 * sum(c * ratio[k] for k, c in raw.items()) / n - sum(c * ratio[k] for k, c in target.items()) / m
+    for r in QUERIES["op6_quality_rules"](spark, sf).collect():
+        want = sum(ratio[k] for k in grams[r.doc_id]) / len(grams[r.doc_id]) if grams[r.doc_id] else 0.0
+        assert abs(r.llr - want) < 1e-9 and r.kept == (not r.base_failed and want >= cut)
+
+
 def test_quality_of_held_out_documents(spark, sf, labels):
     got = {r.doc_id: r for r in QUERIES["op9_quality_classifier"](spark, sf).collect()}
     held = [i for i, l in labels.items() if l.quality is not None and got[i].held_out]
