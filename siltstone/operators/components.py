@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
 
     Large-star links each node's larger neighbours to its smallest neighbour, small-star links the
     smaller ones; both keep the components and the number of edges at most, and they end in stars
-    around the smallest nodes after about log(n) rounds. Each round is written to the shared folder.
+    around the smallest nodes after about log(n) rounds. Each round is written to the shared folder. More than
+    ``most_rounds`` rounds raise an error; there is no half-done result.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b).alias("node"))).distinct()
@@ -33,4 +34,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         if state == last:
             break
         last = state
+    else:
+        raise RuntimeError(f"components did not settle within {most_rounds} rounds")
     return nodes.join(e, nodes["node"] == e["u"], "left").select("node", F.coalesce("v", "node").alias("component"))
