@@ -133,8 +133,13 @@ def test_url_edges(spark):
     assert [(r.page_id, r.blocked) for r in got] == [(1, True), (2, False), (3, False), (4, False), (5, False), (5, False), (6, False)]
     assert got[0].decided_by == "a.bad.example" and got[4].decided_by == "bad.example/ok" and got[0].categories == "c,z"
     assert got[0]["_row"] == 1
-    none = url_filters.filter_urls(df.limit(0), url_filters.entries(spark, ())) if False else url_filters.filter_urls(df.limit(0), url_filters.entries(spark))
-    assert none.count() == 0
+    assert url_filters.filter_urls(df.limit(0), url_filters.entries(spark, tuple(listed))).count() == 0
+    kinds = [("=bad.example", "host", "block", "add", "2023-01-01"), ("=bad.example/ok/1", "page", "block", "add", "2023-01-01"), ("bad.example/ok", "part", "allow", "add", "2023-01-01")]
+    got = {r.page_id: (r.decided_by, r.categories) for r in url_filters.filter_urls(df, url_filters.entries(spark, tuple(kinds))).collect()}
+    assert got[5] == ("=bad.example/ok/1", "host,page,part") and got[6] == ("=bad.example", "host") and got[1] == (None, "")
+    drawn = url_filters.drawn_list(df)
+    assert drawn.filter("action = 'remove'").count() <= drawn.filter("action = 'add'").count()
+    assert url_filters.filter_urls(df, drawn).count() == url_filters.filter_urls(df, drawn.limit(0)).count() == len(rows)
 
 
 def test_fold_is_the_contracts(spark):
