@@ -16,7 +16,8 @@ of the same id by 64 bits.
 
 Scale: a slice of a partition keeps one row per hash and thus per group of copies, so a hash has at
 most as many rows as there are slices, however hot it is; which hashes repeat is a streaming
-aggregate. The rows of a repeated hash are reduced in ``SALTS`` groups of slices first, then those groups'
+aggregate. A line that many texts embed in their own words is the smallest hash of many different windows: beyond
+``CROWD`` texts, windows are grouped by their own hash. The rows of a repeated hash are reduced in ``SALTS`` groups of slices first, then those groups'
 rows: no group holds more than a sixty-fourth of the slices, or one row per group. The texts are shuffled once, by id.
 """
 
@@ -40,6 +41,8 @@ SLICE = 8 << 20
 _SALT = np.uint64(0xA0761D6478BD642F)
 #: Groups of slices that are reduced on their own before all of them meet.
 SALTS = 64
+#: Texts that may show a smallest hash before its windows are told apart by their own.
+CROWD = 200
 #: Neighbouring windows of one smallest hash (``hs``: their own hashes), or an interval of ``gone`` words.
 RUN = "m long, id long, th long, pos int, gone int, hs array<long>"
 
@@ -125,6 +128,9 @@ def _candidates(k: int):
             return None
         full, every = W.windows(h, ptr, k)
         h1 = full[np.searchsorted(every, at)]
+        # Windows of a crowded smallest hash go under a key of their own, equal ones under the same.
+        crowd = np.isin(W.signed(low), b["crowded"].flatten().to_numpy())
+        low = np.where(crowd, W.mix(low ^ (h1 * _SALT)), low)
         ids, pos = b["id"].to_numpy()[doc], at - ptr[doc]
         order = np.lexsort((ids, h1, low))
         new = np.ones(len(h1), bool)
@@ -289,11 +295,14 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     t = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(t).alias("th"), t.alias("text"), *keep)
     keys = map_slices(texts.select("id", "text"), "text", "m long, ids array<long>", _first_keys(k), SLICE)
-    # A smallest hash matters if two documents show it; equal ids don't compare.
-    shown = keys.groupBy("m").agg(F.min(F.array_min("ids")).alias("a"), F.max(F.array_max("ids")).alias("b")).filter("a < b").select("m")
-    lists = keys.join(shown, "m").select("m", F.explode("ids").alias("id")).groupBy("id").agg(F.collect_set("m").alias("ms"))
+    # A smallest hash matters if two documents show it; equal ids don't compare. One exchange serves both reads.
+    keys = keys.repartition("m")
+    shown = keys.groupBy("m").agg(F.min(F.array_min("ids")).alias("a"), F.max(F.array_max("ids")).alias("b"), F.sum(F.size("ids")).alias("n")).filter("a < b")
+    shown = shown.select("m", (F.col("n") > CROWD).alias("crowded"))
+    lists = keys.join(shown.hint("merge"), "m").select("m", "crowded", F.explode("ids").alias("id"))
+    lists = lists.groupBy("id").agg(F.collect_set("m").alias("ms"), F.collect_set(F.when(F.col("crowded"), F.col("m"))).alias("crowded"))
     # The kept columns ride along here, so that both joins read one and the same exchange.
-    runs = map_slices(texts.join(lists.hint("merge"), "id").select("id", "th", "text", *keep, "ms"), "text", f"{RUN}, s int", _candidates(k), SLICE)
+    runs = map_slices(texts.join(lists.hint("merge"), "id").select("id", "th", "text", *keep, "ms", "crowded"), "text", f"{RUN}, s int", _candidates(k), SLICE)
     # In two rounds, so that a hot hash never has the rows of all slices in one group.
     some = runs.repartition("m", "s").sortWithinPartitions("m").drop("s").mapInArrow(_repeated(k, False), RUN)
     spans = some.repartition("m").sortWithinPartitions("m").mapInArrow(_repeated(k, True), "id long, th long, pos int, size int")

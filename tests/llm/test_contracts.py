@@ -547,10 +547,12 @@ def test_one_row_of_each_component_stays(spark):
     assert sorted((str(r.doc_id), str(r.text)) for r in left) == sorted([("1", t), ("None", u), ("3", "None"), ("3", "None"), ("4", ""), ("1", "alone in its own kind of words")])
 
 
-def test_removed_words_against_all_windows(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [0, 20, 200])
+def test_removed_words_against_all_windows(spark, monkeypatch, crowd):
     """Slices of a few texts, so that hot windows come from many; repeated ids and ties."""
     monkeypatch.setattr(substring_dedup, "SLICE", 300)
     monkeypatch.setattr(substring_dedup, "SALTS", 3)
+    monkeypatch.setattr(substring_dedup, "CROWD", crowd)
     rng, k = np.random.default_rng(5), 6
     hot = [f"h{i}" for i in range(9)]
     rows = []
