@@ -43,8 +43,9 @@ _SALT = np.uint64(0xA0761D6478BD642F)
 SALTS = 64
 #: Texts that may show a smallest hash before its windows are told apart by their own.
 CROWD = 200
-#: Neighbouring windows of one smallest hash (``hs``: their own hashes), or an interval of ``gone`` words.
-RUN = "m long, id long, th long, pos int, gone int, hs array<long>"
+#: Neighbouring windows of one smallest hash (``hs``: their own hashes), one window and its other places in the
+#: text (``more``), or an interval of ``gone`` words.
+RUN = "m long, id long, th long, pos int, gone int, hs array<long>, more array<int>"
 
 
 def _run_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -131,6 +132,19 @@ def _candidates(k: int):
         # Windows of a crowded smallest hash go under a key of their own, equal ones under the same.
         crowd = np.isin(W.signed(low), b["crowded"].flatten().to_numpy())
         low = np.where(crowd, W.mix(low ^ (h1 * _SALT)), low)
+        # A crowded window goes on once a document, at its first place; the other places ride along.
+        again = np.zeros(len(low), bool)
+        places: dict[int, list[int]] = {}
+        c = np.flatnonzero(crowd)
+        if len(c):
+            order = c[np.lexsort((at[c], low[c], doc[c]))]
+            same = np.concatenate(([False], (low[order][1:] == low[order][:-1]) & (doc[order][1:] == doc[order][:-1])))
+            again[order] = same
+            first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+            for i, p in zip(first[same].tolist(), (at - ptr[doc])[order][same].tolist(), strict=True):
+                places.setdefault(i, []).append(p)
+        more = [places.get(i) for i in np.flatnonzero(~again).tolist()] if places else None
+        low, h1, at, doc, crowd = low[~again], h1[~again], at[~again], doc[~again], crowd[~again]
         ids, pos = b["id"].to_numpy()[doc], at - ptr[doc]
         order = np.lexsort((ids, h1, low))
         new = np.ones(len(h1), bool)
@@ -144,22 +158,30 @@ def _candidates(k: int):
         c = np.flatnonzero(~later)
         if len(c):
             head = np.ones(len(c), bool)
-            head[1:] = (doc[c][1:] != doc[c][:-1]) | (pos[c][1:] != pos[c][:-1] + 1) | (low[c][1:] != low[c][:-1])
+            head[1:] = (doc[c][1:] != doc[c][:-1]) | (pos[c][1:] != pos[c][:-1] + 1) | (low[c][1:] != low[c][:-1]) | crowd[c][1:] | crowd[c][:-1]
             s = np.flatnonzero(head)
-            rows.append((W.signed(low[c][s]), doc[c][s], pos[c][s], np.zeros(len(s), np.int64), pa.ListArray.from_arrays(pa.array(np.append(s, len(c)).astype(np.int32)), pa.array(W.signed(h1[c])))))
+            rest = pa.array([more[i] or [] for i in c[s].tolist()] if more else [[]] * len(s), pa.list_(pa.int32()))
+            rows.append((W.signed(low[c][s]), doc[c][s], pos[c][s], np.zeros(len(s), np.int64), pa.ListArray.from_arrays(pa.array(np.append(s, len(c)).astype(np.int32)), pa.array(W.signed(h1[c]))), rest))
         g = np.flatnonzero(later)
         if len(g):
-            head = np.ones(len(g), bool)
-            head[1:] = (doc[g][1:] != doc[g][:-1]) | (pos[g][1:] > pos[g][:-1] + k)
+            d, p = doc[g], pos[g]
+            if more:
+                extra = [(d[i], x) for i, j in enumerate(g.tolist()) for x in more[j] or ()]
+                if extra:
+                    d, p = (np.concatenate((a, np.array(z, np.int64))) for a, z in zip((d, p), zip(*extra, strict=True), strict=True))
+                    order = np.lexsort((p, d))
+                    d, p = d[order], p[order]
+            head = np.ones(len(d), bool)
+            head[1:] = (d[1:] != d[:-1]) | (p[1:] > p[:-1] + k)
             s = np.flatnonzero(head)
-            e = np.append(s[1:], len(g)) - 1
-            d, p = doc[g][s], pos[g][s]
+            e = np.append(s[1:], len(d)) - 1
+            size, d, p = p[e] - p[s] + k, d[s], p[s]
             key = W.mix(b["id"].to_numpy()[d].view(W.U64) * _SALT + p.astype(W.U64))
-            rows.append((W.signed(key), d, p, pos[g][e] - p + k, pa.array([[]] * len(s), pa.list_(pa.int64()))))
+            rows.append((W.signed(key), d, p, size, pa.array([[]] * len(s), pa.list_(pa.int64())), pa.array([[]] * len(s), pa.list_(pa.int32()))))
         m, doc, pos, gone = (np.concatenate([r[i] for r in rows]) for i in range(4))
         take = pa.array(doc)
         s = int(W.mix(b["id"].to_numpy()[:1].view(W.U64) ^ _SALT)[0] % np.uint64(SALTS))
-        return pa.RecordBatch.from_arrays([pa.array(m), b["id"].take(take), b["th"].take(take), pa.array(pos.astype(np.int32)), pa.array(gone.astype(np.int32)), pa.concat_arrays([r[4] for r in rows]), pa.array(np.full(len(m), s, np.int32))], names=["m", "id", "th", "pos", "gone", "hs", "s"])
+        return pa.RecordBatch.from_arrays([pa.array(m), b["id"].take(take), b["th"].take(take), pa.array(pos.astype(np.int32)), pa.array(gone.astype(np.int32)), pa.concat_arrays([r[4] for r in rows]), pa.concat_arrays([r[5] for r in rows]), pa.array(np.full(len(m), s, np.int32))], names=["m", "id", "th", "pos", "gone", "hs", "more", "s"])
 
     return kernel
 
@@ -193,14 +215,24 @@ def _repeated(k: int, last: bool):
             return run[w[s]], w[s], np.diff(np.append(s, len(w)))
 
         i, at, n = stretches(off)
-        rows, starts, sizes = np.concatenate((i, j)), np.concatenate((pos[i] + at - first[i], pos[j])), np.concatenate((n + k - 1, t["gone"].to_numpy()[j]))
+        lost, begin, long = i, pos[i] + at - first[i], n + k - 1
+        others = t["more"].combine_chunks()
+        count = np.diff(others.offsets.to_numpy())
+        if count.any():
+            # A row with other places is one window: they share its verdict.
+            x = i[count[i] > 0]
+            which = np.repeat(x, count[x])
+            start = others.offsets.to_numpy()[x]
+            within = np.arange(len(which)) - np.repeat(np.concatenate(([0], np.cumsum(count[x])[:-1])), count[x]) if len(x) else np.zeros(0, int)
+            lost, begin, long = np.concatenate((lost, which)), np.concatenate((begin, others.values.to_numpy()[np.repeat(start, count[x]) + within])), np.concatenate((long, np.full(len(which), k)))
+        rows, starts, sizes = np.concatenate((lost, j)), np.concatenate((begin, pos[j])), np.concatenate((long, t["gone"].to_numpy()[j]))
         if last:
             if not len(rows):
                 return None
             take = pa.array(rows)
             return pa.RecordBatch.from_arrays([*(t[c].take(take).combine_chunks() for c in ("id", "th")), pa.array(starts.astype(np.int32)), pa.array(sizes.astype(np.int32))], names=["id", "th", "pos", "size"])
         # Intervals go on under keys of their own, so that none of them is hot.
-        own = W.signed(W.mix(t["id"].to_numpy()[i].view(W.U64) * _SALT + (pos[i] + at - first[i]).astype(W.U64)))
+        own = W.signed(W.mix(t["id"].to_numpy()[lost].view(W.U64) * _SALT + begin.astype(W.U64)))
         stay, at, n = stretches(~off)
         keys = np.concatenate((own, t["m"].to_numpy()[j], t["m"].to_numpy()[stay]))
         rows = np.concatenate((rows, stay))
@@ -211,7 +243,9 @@ def _repeated(k: int, last: bool):
         hs = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(h[~off]))
         starts = np.concatenate((starts, pos[stay] + at - first[stay])).astype(np.int32)
         sizes = np.concatenate((sizes, np.zeros(len(stay), np.int64))).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(keys), *(t[c].take(take).combine_chunks() for c in ("id", "th")), pa.array(starts), pa.array(sizes), hs], names=["m", "id", "th", "pos", "gone", "hs"])
+        none = pa.array([[]] * (len(rows) - len(stay)), pa.list_(pa.int32()))
+        rest = pa.concat_arrays([none, others.take(pa.array(stay))])
+        return pa.RecordBatch.from_arrays([pa.array(keys), *(t[c].take(take).combine_chunks() for c in ("id", "th")), pa.array(starts), pa.array(sizes), hs, rest], names=["m", "id", "th", "pos", "gone", "hs", "more"])
 
     def run(batches):
         wait: list[pa.RecordBatch] = []
@@ -295,8 +329,9 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     t = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(t).alias("th"), t.alias("text"), *keep)
     keys = map_slices(texts.select("id", "text"), "text", "m long, ids array<long>", _first_keys(k), SLICE)
-    # A smallest hash matters if two documents show it; equal ids don't compare. One exchange serves both reads.
-    keys = keys.repartition("m")
+    # A smallest hash matters if two documents show it; equal ids don't compare. One exchange serves both
+    # reads: with the filters that a join and an explode bring along, they are the same plan.
+    keys = keys.filter("m IS NOT NULL AND ids IS NOT NULL AND size(ids) > 0").repartition("m")
     shown = keys.groupBy("m").agg(F.min(F.array_min("ids")).alias("a"), F.max(F.array_max("ids")).alias("b"), F.sum(F.size("ids")).alias("n")).filter("a < b")
     shown = shown.select("m", (F.col("n") > CROWD).alias("crowded"))
     lists = keys.join(shown.hint("merge"), "m").select("m", "crowded", F.explode("ids").alias("id"))

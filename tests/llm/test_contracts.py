@@ -555,11 +555,12 @@ def test_removed_words_against_all_windows(spark, monkeypatch, crowd):
     monkeypatch.setattr(substring_dedup, "CROWD", crowd)
     rng, k = np.random.default_rng(5), 6
     hot = [f"h{i}" for i in range(9)]
+    line = [f"l{i}" for i in range(7)]
     rows = []
     for _ in range(160):
         w = list(rng.choice([f"v{i}" for i in range(4)], int(rng.integers(0, 30))))
         if rng.random() < 0.6:
-            w[len(w) // 2 : len(w) // 2] = hot
+            w[len(w) // 2 : len(w) // 2] = hot if rng.random() < 0.7 else line * 4
         rows.append((int(rng.integers(0, 140)), " ".join(w)))
     first = {}
     for d, t in rows:
