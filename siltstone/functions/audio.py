@@ -63,3 +63,24 @@ def fingerprint(peaks: list[tuple[int, int]]) -> int:
 def landmarks(pcm: pd.Series) -> pd.Series:
     """Landmarks of mono 32-bit little-endian PCM at the fixed rate."""
     return pcm.map(lambda x: None if x is None else [{"t": a, "f": b} for a, b in peaks_of(np.frombuffer(bytes(x), "<i4"))])
+
+
+@F.pandas_udf(t.array(t.INT))
+def to_mono(samples: pd.Series, channels: pd.Series) -> pd.Series:
+    """Mono frames of interleaved samples (null unless they fill their frames)."""
+    def one(x, c):
+        return None if x is None or c != c or c < 1 or len(x) % int(c) else mono(np.asarray(x, np.int64).reshape(-1, int(c)))
+
+    return pd.Series([one(*x) for x in zip(samples, channels, strict=True)])
+
+
+@F.pandas_udf(t.LONG)
+def fingerprint_of(peaks: pd.Series) -> pd.Series:
+    """``fingerprint`` of lists of (t, f)."""
+    def one(x):
+        if x is None:
+            return None
+        v = fingerprint([(p["t"], p["f"]) for p in x])
+        return v - (1 << 64) if v >> 63 else v
+
+    return pd.Series([one(x) for x in peaks], dtype="Int64")

@@ -157,18 +157,25 @@ def dtw(cost: np.ndarray, band: float = BAND) -> float:
     if not n or not m:
         return 1.0
     width = max(band * max(n, m), 2.0)
+    i = np.arange(n + 1)
+    lo = np.ones(n + 1) if band < 0 else np.floor(np.maximum(i * m / n - width, 1.0))
+    hi = np.full(n + 1, m) if band < 0 else np.floor(np.minimum(i * m / n + width, m))
+    # Cells of one antidiagonal depend on the two before it alone; places are rows.
     inf = float("inf")
-    above, steps = [0.0] + [inf] * m, [0] * (m + 1)
-    for i in range(1, n + 1):
-        lo, hi = (1, m) if band < 0 else (int(max(i * m / n - width, 1.0)), int(min(i * m / n + width, float(m))))
-        row, count, c = [inf] * (m + 1), [0] * (m + 1), cost[i - 1]
-        for j in range(lo, hi + 1):
-            # The diagonal wins ties, then the row above.
-            d, _, k = min((above[j - 1], 0, steps[j - 1]), (above[j], 1, steps[j]), (row[j - 1], 2, count[j - 1]), key=lambda x: x[:2])
-            if d < inf:
-                row[j], count[j] = d + float(c[j - 1]), k + 1
-        above, steps = row, count
-    return above[m] / steps[m] if above[m] < inf and steps[m] else 1.0
+    before, last = (np.full(n + 1, inf) for _ in range(2))
+    before_steps, steps = (np.zeros(n + 1, np.int64) for _ in range(2))
+    before[0] = 0.0
+    for d in range(2, n + m + 1):
+        r = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        r = r[(d - r >= lo[r]) & (d - r <= hi[r])]
+        here, here_steps = np.full(n + 1, inf), np.zeros(n + 1, np.int64)
+        # The diagonal wins ties, then the row above.
+        best, count = before[r - 1], before_steps[r - 1]
+        for x, k in ((last[r - 1], steps[r - 1]), (last[r], steps[r])):
+            best, count = np.where(x < best, x, best), np.where(x < best, k, count)
+        here[r], here_steps[r] = best + cost[r - 1, d - r - 1], count + 1
+        before, before_steps, last, steps = last, steps, here, here_steps
+    return float(last[n] / steps[n]) if last[n] < inf and steps[n] else 1.0
 
 
 def dtw_series(a: np.ndarray, b: np.ndarray, band: float = BAND) -> float:
@@ -184,3 +191,39 @@ def dtw_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 def orb_features(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     """Features of 8-bit gray rasters, strongest first."""
     return pd.Series([None if p is None else orb(np.frombuffer(bytes(p), np.uint8).reshape(int(h), int(w))) for p, w, h in zip(pixels, width, height, strict=True)])
+
+
+@F.pandas_udf(t.struct(model=t.array(t.DOUBLE), inliers=t.array(t.INT), error=t.DOUBLE, rotation=t.DOUBLE, scale=t.DOUBLE))
+def affine_fit(src: pd.Series, dst: pd.Series) -> pd.DataFrame:
+    """Robust affine fit of two lists of (x, y) (null where there is none): the 2x3 model row by row, inliers, mean error."""
+    fields = ("model", "inliers", "error", "rotation", "scale")
+
+    def one(a, b):
+        if a is None or b is None:
+            return dict.fromkeys(fields)
+        try:
+            m, ok, e = ransac_affine(*(np.array([(p["x"], p["y"]) for p in x], float).reshape(-1, 2) for x in (a, b)))
+        except ValueError:
+            return dict.fromkeys(fields)
+        return dict(zip(fields, (m.ravel().tolist(), ok.tolist(), e, rotation(m), scale(m)), strict=True))
+
+    return pd.DataFrame([one(*x) for x in zip(src, dst, strict=True)], columns=list(fields), dtype=object)
+
+
+def project(m: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Points (n, 2) through a 2x3 model."""
+    return points @ m[:, :2].T + m[:, 2]
+
+
+def det3(a: np.ndarray) -> float:
+    """Determinant along the first row."""
+    minor = lambda j: np.delete(a[1:], j, 1)
+    return float(sum((-1) ** j * a[0, j] * (minor(j)[0, 0] * minor(j)[1, 1] - minor(j)[0, 1] * minor(j)[1, 0]) for j in range(3)))
+
+
+def multiply3(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a[:, :, None] * b[None, :, :]).sum(1)
+
+
+def apply3(a: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return (a * v[None, :]).sum(1)

@@ -159,3 +159,37 @@ def image_phash(data: pd.Series, width: pd.Series, height: pd.Series, channels:
         return v - (1 << 64) if v >> 63 else v
 
     return pd.Series([one(*x) for x in zip(data, width, height, channels, strict=True)], dtype="Int64")
+
+
+@F.pandas_udf(t.DOUBLE)
+def median_of(values: pd.Series) -> pd.Series:
+    """``median`` of lists."""
+    return pd.Series([None if x is None else median(np.asarray(x, float)) for x in values], dtype="Float64")
+
+
+@F.pandas_udf(t.BINARY)
+def oriented(data: pd.Series, width: pd.Series, height: pd.Series, channels: pd.Series, tag: pd.Series) -> pd.Series:
+    """Raw rasters turned upright by their orientation tag (null if a size or tag doesn't fit)."""
+    def one(d, w, h, c, o):
+        if d is None or any(x != x for x in (w, h, c, o)):
+            return None
+        try:
+            return apply_orientation(from_bytes(bytes(d), int(w), int(h), int(c)), int(o)).tobytes()
+        except ValueError:
+            return None
+
+    return pd.Series([one(*x) for x in zip(data, width, height, channels, tag, strict=True)])
+
+
+@F.pandas_udf(t.array(t.BINARY))
+def square_variants(data: pd.Series, width: pd.Series, height: pd.Series, channels: pd.Series) -> pd.Series:
+    """The eight isometries of the middle square of raw rasters, in the order of ``ISOMETRIES``."""
+    def one(d, w, h, c):
+        if d is None or any(x != x for x in (w, h, c)):
+            return None
+        try:
+            return [x.tobytes() for x in variants(center_square(from_bytes(bytes(d), int(w), int(h), int(c))))]
+        except ValueError:
+            return None
+
+    return pd.Series([one(*x) for x in zip(data, width, height, channels, strict=True)])

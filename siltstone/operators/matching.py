@@ -80,8 +80,8 @@ def binary_pairs(chunks: DataFrame, min_jaccard: float = BINARY_JACCARD) -> Data
     return out.select("a", "b", j.alias("jaccard")).unionByName(empty).filter(F.col("jaccard") >= min_jaccard)
 
 
-def audio_votes(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, id, votes, delta) of landmark rows (id, t, f).
+def audio_votes(queries: DataFrame, index: DataFrame, at_least: int = 1) -> DataFrame:
+    """(query_id, id, votes, delta) of landmark rows (id, t, f), for pairs with ``at_least`` so many votes.
 
     Votes are counted per time offset; the modal offset (ties: the smallest) and its neighbours
     within one frame add up. Counts are pre-aggregated per (id, f, t) before the join.
@@ -92,7 +92,7 @@ def audio_votes(queries: DataFrame, index: DataFrame) -> DataFrame:
     pair = Window.partitionBy("query_id", "id")
     near = F.sum("v").over(pair.orderBy("delta").rangeBetween(-1, 1))
     ranked = votes.withColumn("votes", near).withColumn("rank", F.row_number().over(pair.orderBy(F.desc("v"), "delta")))
-    return ranked.filter("rank = 1").select("query_id", "id", "votes", "delta")
+    return ranked.filter((F.col("rank") == 1) & (F.col("votes") >= at_least)).select("query_id", "id", "votes", "delta")
 
 
 def video_score(a: Column, b: Column, most: int = FRAME_HAMMING) -> Column:

@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions import chunking, raster, text, u64
+from siltstone.functions import audio, chunking, raster, text, u64
+from siltstone.functions.video import SEEDS as CHAIN_SEEDS
+from siltstone.functions.video import SHINGLE_FRAMES
 from siltstone.operators import calibrate as cal
 from siltstone.operators import dedup, matching
+from siltstone.plans import minhash_sql as mh
 from siltstone.runtime import materialise, table
 from siltstone.sources import detect as sniff
 
@@ -146,19 +149,20 @@ def evaluate(spark, sf):
 
 
 def _peaks(spark, sf):
-    """Landmarks from events' stand-in: line items as (item, time, band)."""
+    """Landmarks: line items as (supplier, time, band)."""
     l = table(spark, sf, "lineitem")
-    return l.select((F.col("l_suppkey") % 40).alias("id"), (F.col("l_orderkey") % 97).cast("int").alias("t"), (F.col("l_partkey") % 59).cast("int").alias("f"))
+    return l.select(F.col("l_suppkey").alias("id"), (F.col("l_orderkey") % 97).cast("int").alias("t"), (F.col("l_partkey") % 59).cast("int").alias("f"))
 
 
 def audio_votes(spark, sf):
+    """Every 50th id against all; pairs that match."""
     p = _peaks(spark, sf).distinct()
-    return matching.audio_votes(p.filter("id % 4 = 0"), p)
+    return matching.audio_votes(p.filter("id % 50 = 0"), p, matching.AUDIO_VOTES)
 
 
 def audio_fingerprint(spark, sf):
-    first = _peaks(spark, sf).groupBy("id", "t").agg(F.min("f").alias("f"))
-    return first.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, f % 64)")).alias("x")).select("id", u64.hex64(F.col("x")).alias("fingerprint"))
+    peaks = _peaks(spark, sf).groupBy("id").agg(F.collect_list(F.struct("t", "f")).alias("peaks"))
+    return peaks.select("id", u64.hex64(audio.fingerprint_of("peaks")).alias("fingerprint"))
 
 
 def video_slots(spark, sf):
@@ -175,24 +179,29 @@ def luma(spark, sf):
 
 
 def _pixels(spark, sf):
-    """A 96 x 64 picture from the part table's keys."""
-    d = table(spark, sf, "part").select(F.col("p_partkey").alias("k")).filter("k < 6144")
+    """A picture of 96 columns from the keys of the part table, as high as they need."""
+    d = table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
     return d.select((F.col("k") % 96).alias("x"), F.floor(F.col("k") / 96).alias("y"), (F.col("k") * 7 % 256).alias("r"), (F.col("k") * F.col("k") % 256).alias("g"), (F.col("k") * 31 % 251).alias("b"))
 
 
 def to_mono(spark, sf):
-    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 201 - 100).alias("left"), (F.col("l_suppkey") % 77 - 40).alias("right"))
-    return l.select("l_orderkey", "l_linenumber", F.expr("(left + right) div 2").cast("long").alias("mono"))
+    """Mono samples of every order: its lines are frames of two channels."""
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.array((F.col("l_partkey") % 201 - 100).cast("int"), (F.col("l_suppkey") % 77 - 40).cast("int")).alias("frame"))
+    s = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "frame"))).alias("r"))
+    m = s.select("l_orderkey", F.arrays_zip(F.col("r.l_linenumber"), audio.to_mono(F.flatten("r.frame"), F.lit(2)).alias("m")).alias("z")).select("l_orderkey", F.explode("z").alias("z"))
+    return m.select("l_orderkey", F.col("z.l_linenumber").alias("l_linenumber"), F.col("z.m").cast("long").alias("mono"))
 
 
 def median(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity)").cast("double").alias("median"))
+    """Lower median of the quantities of every supplier."""
+    q = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.collect_list(F.col("l_quantity").cast("double")).alias("q"))
+    return q.select("l_suppkey", raster.median_of("q").alias("median"))
 
 
 def _chains(spark, sf):
-    l = table(spark, sf, "lineitem").withColumn("id", F.col("l_suppkey") % 40)
-    rows = l.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", (F.col("l_partkey") * 7919).alias("h")))).alias("r"))
-    return rows.select("id", F.slice(F.transform("r", lambda x: x["h"]), 1, 50).alias("chain"))
+    """One chain of frame hashes a supplier: its line items in order."""
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", (F.col("l_partkey") * 7919).alias("h")))).alias("r"))
+    return rows.select("id", F.transform("r", lambda x: x["h"]).alias("chain"))
 
 
 def video_match(spark, sf):
@@ -204,11 +213,12 @@ def video_match(spark, sf):
 def chain_signatures(spark, sf):
     from siltstone.functions import video
 
-    return _chains(spark, sf).select("id", F.transform(video.chain_signature("chain"), u64.hex64).alias("sig")).select("id", F.array_join(F.slice("sig", 1, 4), " ").alias("head"))
+    return _chains(spark, sf).select("id", F.array_join(F.transform(video.chain_signature("chain"), u64.hex64), " ").alias("sig"))
 
 
 def text_signatures(spark, sf):
-    return _canon(spark, sf).select("doc_id", matching.signature_head(text.signature("canon")).alias("minhash"))
+    """All words of the signature."""
+    return _canon(spark, sf).select("doc_id", matching.signature_head(text.signature("canon"), text.SIGNATURE_WORDS).alias("minhash"))
 
 
 def distance_axis(spark, sf):
@@ -224,26 +234,31 @@ def describe(spark, sf):
     return d.to_json(d.describe(files, "doc_id"))
 
 
+def _rasters(spark, sf, width):
+    """Whole texts as gray pictures: bytes row by row, as many rows as they need, the last filled with zeros."""
+    d = _docs(spark, sf).select("doc_id", F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("b")).withColumn("h", F.ceil(F.octet_length("b") / width).cast("int"))
+    return d.select("doc_id", "h", F.rpad("b", F.col("h") * width, F.lit(b"\x00")).alias("px"))
+
+
 def image_phash(spark, sf):
-    """Perceptual hashes of 48 x 32 pictures whose pixels are bytes of the texts."""
-    d = _docs(spark, sf).filter("octet_length(text) >= 1536").select("doc_id", F.substring(F.encode("text", "UTF-8"), 1, 1536).alias("px"))
-    return d.select("doc_id", u64.hex64(raster.image_phash("px", F.lit(48), F.lit(32), F.lit(1))).alias("phash"))
+    """Perceptual hashes of whole texts as pictures of 48 columns; null for an empty one."""
+    return _rasters(spark, sf, 48).select("doc_id", u64.hex64(raster.image_phash("px", F.lit(48), F.col("h"), F.lit(1))).alias("phash"))
 
 
 def orb_features(spark, sf):
+    """Features of whole texts as pictures of 64 columns."""
     from siltstone.functions import geometry
 
-    d = _docs(spark, sf).filter("octet_length(text) >= 4096 AND doc_id % 50 = 0").select("doc_id", F.substring(F.encode("text", "UTF-8"), 1, 4096).alias("px"))
-    f = d.select("doc_id", F.explode(geometry.orb_features("px", F.lit(64), F.lit(64))).alias("o"))
+    f = _rasters(spark, sf, 64).select("doc_id", F.explode(geometry.orb_features("px", F.lit(64), F.col("h"))).alias("o"))
     return f.select("doc_id", "o.x", "o.y", F.lower(F.hex("o.desc")).alias("desc"))
 
 
 def time_warping(spark, sf):
+    """Warped distance of the quantities of each supplier and the next, in order of their line items."""
     from siltstone.functions import geometry
 
-    l = table(spark, sf, "lineitem").withColumn("id", F.col("l_suppkey") % 40)
-    s = l.groupBy("id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_quantity"))), lambda x: x["l_quantity"].cast("double")), 1, 40).alias("q"))
-    s = materialise(s, "series")
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q")))).alias("r"))
+    s = materialise(rows.select("id", F.transform("r", lambda x: x["q"]).alias("q")), "series")
     both = s.select(F.col("id").alias("a"), F.col("q").alias("x")).join(s.select((F.col("id") - 1).alias("a"), F.col("q").alias("y")), "a")
     return both.select("a", F.round(geometry.dtw_distance("x", "y"), 9).alias("cost"))
 
@@ -259,7 +274,7 @@ QUERIES = {
 
 _BITS = "(SELECT {id} AS id, list_reduce(list_transform({v}[1:64], lambda x: (x > 0)::UHUGEINT), lambda a, b: a * 2 + b)::UBIGINT AS hash FROM embeddings)".format(id="vec_id", v="embedding")
 _LABELLED = "(SELECT (n_chars % 23 + 5 * toxic)::BIGINT AS distance, quality = 1 AS same FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL)"
-_PEAKS = "(SELECT l_suppkey % 40 AS id, (l_orderkey % 97)::INT AS t, (l_partkey % 59)::INT AS f FROM lineitem)"
+_PEAKS = "(SELECT l_suppkey AS id, (l_orderkey % 97)::INT AS t, (l_partkey % 59)::INT AS f FROM lineitem)"
 
 
 def _calibrate_sql(profile: str) -> str:
@@ -317,9 +332,9 @@ r AS (SELECT *, CASE WHEN tp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
 SELECT *, CASE WHEN tp > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM r""",
     "audio_votes": f"""
 WITH p AS (SELECT DISTINCT * FROM {_PEAKS}),
-v AS (SELECT q.id AS query_id, s.id, q.t - s.t AS delta, count(*) AS v FROM p q JOIN p s ON q.f = s.f WHERE q.id % 4 = 0 GROUP BY ALL),
+v AS (SELECT q.id AS query_id, s.id, q.t - s.t AS delta, count(*) AS v FROM p q JOIN p s ON q.f = s.f WHERE q.id % 50 = 0 GROUP BY ALL),
 r AS (SELECT *, sum(v) OVER (PARTITION BY query_id, id ORDER BY delta RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS votes, row_number() OVER (PARTITION BY query_id, id ORDER BY v DESC, delta) AS k FROM v)
-SELECT query_id, id, votes::BIGINT AS votes, delta FROM r WHERE k = 1""",
+SELECT query_id, id, votes::BIGINT AS votes, delta FROM r WHERE k = 1 AND votes >= {matching.AUDIO_VOTES}""",
     "audio_fingerprint": f"""
 WITH f AS (SELECT id, t, min(f) AS f FROM {_PEAKS} GROUP BY ALL)
 SELECT id, lpad(lower(to_hex(bit_or((1::UBIGINT << (f % 64)::UBIGINT)))), 16, '0') AS fingerprint FROM f GROUP BY id""",
@@ -328,16 +343,32 @@ WITH l AS (SELECT l_suppkey % 40 AS id, ((l_orderkey % 5000) - 100)::BIGINT AS p
 s AS (SELECT *, floor(2.0 * pts / 600)::BIGINT AS slot FROM l)
 SELECT id, slot, pts, frame FROM s QUALIFY row_number() OVER (PARTITION BY id, slot ORDER BY pts, frame) = 1""",
     "video_match": """
-WITH c AS (SELECT l_suppkey % 40 AS id, list(l_partkey * 7919 ORDER BY l_orderkey, l_linenumber, l_partkey * 7919)[1:50] AS chain FROM lineitem GROUP BY 1),
+WITH c AS (SELECT l_suppkey AS id, list(l_partkey * 7919 ORDER BY l_orderkey, l_linenumber, l_partkey * 7919) AS chain FROM lineitem GROUP BY 1),
 p AS (SELECT a.id AS a, a.chain AS x, b.chain AS y, least(len(a.chain), len(b.chain)) AS n FROM c a JOIN c b ON b.id = a.id + 1)
 SELECT a, CASE WHEN n = 0 THEN 1.0 ELSE len(list_filter(range(1, n + 1), lambda i: bit_count(xor(x[i], y[i])) <= 10)) / n END::DOUBLE AS score FROM p""",
     "distance_axis": """
 WITH l AS (SELECT l_orderkey, l_linenumber, ['image', 'audio', 'text', 'binary', 'video'][1 + l_linenumber % 5] AS m, l_partkey % 65 AS h, l_suppkey % 30 AS v, ((l_partkey % 129) / 128.0)::DOUBLE AS s FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE m WHEN 'image' THEN h WHEN 'audio' THEN 4294967295 - v ELSE round((1 - s) * 1e6)::BIGINT END AS distance,
        CASE m WHEN 'image' THEN h <= 10 WHEN 'audio' THEN v >= 8 WHEN 'binary' THEN s >= 0.5 ELSE s >= 0.8 END AS matched FROM l""",
-    "luma": "SELECT k % 96 AS x, (k // 96)::BIGINT AS y, ((299 * (k * 7 % 256) + 587 * (k * k % 256) + 114 * (k * 31 % 251) + 500) // 1000)::BIGINT AS luma FROM (SELECT p_partkey AS k FROM part WHERE p_partkey < 6144)",
+    "luma": "SELECT k % 96 AS x, (k // 96)::BIGINT AS y, ((299 * (k * 7 % 256) + 587 * (k * k % 256) + 114 * (k * 31 % 251) + 500) // 1000)::BIGINT AS luma FROM (SELECT p_partkey AS k FROM part)",
     "to_mono": "SELECT l_orderkey, l_linenumber, trunc(((l_partkey % 201 - 100) + (l_suppkey % 77 - 40)) / 2.0)::BIGINT AS mono FROM lineitem",
-    "median": "SELECT l_returnflag, quantile_disc(l_quantity, 0.5)::DOUBLE AS median FROM lineitem GROUP BY 1",
+    "median": "SELECT l_suppkey, quantile_disc(l_quantity, 0.5)::DOUBLE AS median FROM lineitem GROUP BY 1",
+}
+
+
+SQL |= {
+    "text_signatures": f"{mh.of_texts(WORDS)} SELECT doc_id, {mh.digits()} AS minhash FROM documents LEFT JOIN sig USING (doc_id) GROUP BY doc_id",
+    "text_near_duplicates": mh.near_duplicates(WORDS, CANON),
+    "text_dedup": f"{mh.clusters(WORDS, CANON)} SELECT * FROM dedup",
+    "dedup_report": mh.report(WORDS, CANON),
+    "lsh_candidates": mh.lookup(WORDS),
+    "checksums_more": mh.checksums(),
+    "chain_signatures": mh.signatures(
+        f"""WITH c AS (SELECT l_suppkey AS doc_id, list(lpad(to_hex(l_partkey * 7919), 16, '0') ORDER BY l_orderkey, l_linenumber, l_partkey * 7919) AS w FROM lineitem GROUP BY 1),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least({SHINGLE_FRAMES}, len(w)) - 1], '') AS x FROM c, unnest(range(1, len(w) - least({SHINGLE_FRAMES}, len(w)) + 2)) AS t(i))""",
+        CHAIN_SEEDS,
+    )
+    + f" SELECT doc_id AS id, {mh.digits()} AS sig FROM sig GROUP BY doc_id",
 }
 
 
