@@ -34,8 +34,7 @@ def text_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_jac
 
 def text_signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (id, tier1), representatives (tier1, rep) and their signatures (id, sig)."""
-    canon = docs.select(F.col(key).alias("id"), T.canonicalize(F.col(text)).alias("canon"))
-    keyed = materialise(canon.select("id", F.sha2(F.encode("canon", "UTF-8"), 256).alias("tier1"), T.signature("canon").alias("sig")), "signatures")
+    keyed = materialise(T.identified(docs, key, text), "signatures")
     members = keyed.select("id", "tier1")
     reps = materialise(members.filter("tier1 IS NOT NULL").groupBy("tier1").agg(F.min("id").alias("rep")), "reps")
     sigs = keyed.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").filter("sig IS NOT NULL").select("id", "sig")
