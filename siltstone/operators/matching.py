@@ -68,6 +68,12 @@ def hamming_search(queries: DataFrame, index: DataFrame, radius: int) -> DataFra
     return q.join(i, ["block", "bits"]).filter(d <= radius).select("query_id", "id", d.alias("distance")).distinct()
 
 
+def hamming_pairs(hashes: DataFrame, radius: int) -> DataFrame:
+    """(a, b, distance), a < b, of all rows (id, hash) within the radius of each other."""
+    found = hamming_search(hashes, hashes, radius).filter("query_id < id")
+    return found.select(F.col("query_id").alias("a"), F.col("id").alias("b"), "distance")
+
+
 def binary_pairs(chunks: DataFrame, min_jaccard: float = BINARY_JACCARD) -> DataFrame:
     """(a, b, jaccard) of rows (id, digests) by exact set similarity; two empty sets have 1."""
     size = chunks.select("id", F.size("digests").alias("n"))

@@ -45,6 +45,6 @@ def detect(content: Column) -> Column:
 
 
 def read_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """Regular files of a folder, ordered by path: path, length, content."""
+    """Regular files of a folder: path, length, content. Contents are never sorted; reports order their own rows by path."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return df.select("path", "length", "content").orderBy("path")
+    return df.select("path", "length", "content")
