@@ -17,6 +17,7 @@ from siltstone.operators import dedup, matching
 from siltstone.plans import minhash_sql as mh
 from siltstone.runtime import materialise, table
 from siltstone.sources import detect as sniff
+from siltstone.sources import fixtures
 
 GAP = "[\\x09-\\x0D\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
 CANON = f"(regexp_replace(lower(nfc_normalize(text)), '{GAP}$', '') || chr(10))"
@@ -253,6 +254,47 @@ def orb_features(spark, sf):
     return f.select("doc_id", "o.x", "o.y", F.lower(F.hex("o.desc")).alias("desc"))
 
 
+def _decoded(spark, sf, file, fmt):
+    from siltstone.sources import media
+
+    d = _rasters(spark, sf, fixtures.WIDTH).filter("h > 0").withColumn("i", media.decode_image(file("px"), F.lit(fmt)))
+    return d.select("doc_id", F.col("i.width").cast("long").alias("width"), F.col("i.height").cast("long").alias("height"), F.sha2("i.payload", 256).alias("tier1"))
+
+
+def decode_png(spark, sf):
+    """Whole texts as gray pictures, through PNG files and back."""
+    return _decoded(spark, sf, fixtures.png_of, "png")
+
+
+def decode_bmp(spark, sf):
+    return _decoded(spark, sf, fixtures.bmp_of, "bmp")
+
+
+def decode_wav(spark, sf):
+    """Whole texts as samples, through WAV files and back: the first tier is over rate, length and 32-bit frames."""
+    from siltstone.sources import media
+
+    d = _docs(spark, sf).select("doc_id", F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("b"))
+    even = F.rpad("b", F.octet_length("b") + F.octet_length("b") % 2, F.lit(b"\x00"))
+    a = d.select("doc_id", media.decode_audio(fixtures.wav_of(even), F.lit("wav")).alias("a"))
+    return a.select("doc_id", F.col("a.frames").alias("frames"), F.sha2("a.payload", 256).alias("tier1"))
+
+
+def unzip(spark, sf):
+    """Whole texts through ZIP archives and back."""
+    from siltstone.sources import media
+
+    z = _docs(spark, sf).select("doc_id", F.explode(media.zip_members(fixtures.zip_of(F.encode("text", "UTF-8")))["members"]).alias("m"))
+    return z.select("doc_id", "m.name", F.col("m.size").alias("size"), F.sha2("m.content", 256).alias("sha256"))
+
+
+def inflate(spark, sf):
+    """Whole texts through zlib streams and back."""
+    from siltstone.sources import media
+
+    return _docs(spark, sf).select("doc_id", F.sha2(media.inflate(fixtures.zlib_of(F.encode("text", "UTF-8"))), 256).alias("sha256"))
+
+
 def time_warping(spark, sf):
     """Warped distance of the quantities of each supplier and the next, in order of their line items."""
     from siltstone.functions import geometry
@@ -268,7 +310,7 @@ QUERIES = {
     for f in (
         text_content_hash, exact_groups, text_facts, shingle_counts, text_near_duplicates, text_dedup, dedup_report, lsh_candidates, binary_dedup, cdc_chunks,
         checksums, checksums_more, detect, hamming_search, hash_hex, calibrate_dedup, calibrate_search, evaluate, audio_votes, audio_fingerprint, video_slots, luma, to_mono, median,
-        video_match, chain_signatures, text_signatures, distance_axis, describe, image_phash, orb_features, time_warping,
+        video_match, chain_signatures, text_signatures, distance_axis, describe, image_phash, orb_features, time_warping, decode_png, decode_bmp, decode_wav, unzip, inflate,
     )
 }
 
@@ -356,7 +398,23 @@ SELECT l_orderkey, l_linenumber, CASE m WHEN 'image' THEN h WHEN 'audio' THEN 42
 }
 
 
+_PICTURE = f"""
+WITH b AS (SELECT doc_id, hex(encode(text)) AS x FROM documents WHERE text <> ''),
+p AS (SELECT doc_id, ceil(length(x) / {2 * fixtures.WIDTH}.0)::BIGINT AS height, x FROM b)
+SELECT doc_id, {fixtures.WIDTH}::BIGINT AS width, height, sha256(unhex(regexp_replace(rpad(x, (height * {2 * fixtures.WIDTH})::INT, '0'), '(..)', '\\1\\1\\1', 'g'))) AS tier1 FROM p"""
+_LITTLE = "list_aggregate(list_transform(range(0, {n}), lambda i: lpad(to_hex(({v} >> (8 * i)) & 255), 2, '0')), 'string_agg', '')"
 SQL |= {
+    "decode_png": _PICTURE,
+    "decode_bmp": _PICTURE,
+    "decode_wav": f"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+e AS (SELECT doc_id, CASE WHEN length(x) % 4 = 2 THEN x || '00' ELSE x END AS x FROM b),
+s AS (SELECT doc_id, (length(x) // 4)::BIGINT AS frames, replace(regexp_replace(regexp_replace(x, '(....)', '\\1|', 'g'), '([89A-F].)\\|', '\\1FFFF', 'g'), '|', '0000') AS wide FROM e)
+SELECT doc_id, frames, sha256(unhex({_LITTLE.format(n=4, v="44100")} || {_LITTLE.format(n=8, v="frames")} || wide)) AS tier1 FROM s""",
+    "unzip": """
+SELECT doc_id, 'content' AS name, strlen(text)::BIGINT AS size, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT doc_id, 'empty', 0::BIGINT, sha256('') FROM documents WHERE text IS NOT NULL""",
+    "inflate": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "text_signatures": f"{mh.of_texts(WORDS)} SELECT doc_id, {mh.digits()} AS minhash FROM documents LEFT JOIN sig USING (doc_id) GROUP BY doc_id",
     "text_near_duplicates": mh.near_duplicates(WORDS, CANON),
     "text_dedup": f"{mh.clusters(WORDS, CANON)} SELECT * FROM dedup",

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import struct
+import zipfile
+import zlib
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
+from siltstone.functions import types as t
 from siltstone.functions.audio import RATE
 from siltstone.functions.u64 import splitmix, splitmix_bytes
+from siltstone.sources import png
 
 _VOWELS, _CONSONANTS = "aeiou", "bdfgklmnprstv"
 
@@ -64,3 +71,32 @@ def prose(size: int, seed: int = 1) -> str:
 
 def blob(size: int, seed: int = 1) -> bytes:
     return splitmix_bytes(seed, size)
+
+
+def _gray(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(-1, width)
+
+
+def _zipped(data: bytes) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("empty", b"")
+        z.writestr("content", data)
+    return out.getvalue()
+
+
+def _files(make):
+    @F.pandas_udf(t.BINARY)
+    def column(data: pd.Series) -> pd.Series:
+        return data.map(lambda x: None if x is None else make(bytes(x)))
+
+    return column
+
+
+#: Files around payloads: gray pictures of 48 columns (whole rows), 16-bit mono sounds, archives and streams.
+WIDTH = 48
+png_of = _files(lambda x: png.encode(_gray(x, WIDTH)))
+bmp_of = _files(lambda x: bmp24(np.repeat(_gray(x, WIDTH)[:, :, None], 3, 2)))
+wav_of = _files(lambda x: wav16(np.frombuffer(x, "<i2")))
+zip_of = _files(_zipped)
+zlib_of = _files(zlib.compress)
