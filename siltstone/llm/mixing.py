@@ -12,8 +12,8 @@ Definitions:
 * sources in code point order, null last, weigh 5, 2, 1, 5, 2, 1, ...;
 * ``target`` of a source is its share of the budget: min(level * weight, 2 * size of the source)
   at the water level where these add up to the budget;
-* the order within a source is by a hash of (seed, doc_id), ties by doc_id and size; rows equal in
-  all are interchangeable. The result doesn't depend on partitioning, so reruns agree;
+* the order within a source is by a hash of (seed, doc_id, text), ties by doc_id and size; rows equal
+  in all are interchangeable. The result doesn't depend on partitioning, so reruns agree;
 * the cut falls where the running total first passes the budget; the entry across it is taken when
   at least half of it lies inside. An empty table gives an empty result.
 
@@ -42,9 +42,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def order_key(doc_id: Column, seed: int = SEED) -> Column:
-    """60 bits of an MD5 over seed and id: uniform, and the same in any SQL engine."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+def order_key(doc_id: Column, text: Column, seed: int = SEED) -> Column:
+    """60 bits of an MD5 over seed, id and text: uniform also where ids are null or repeated, and the same in any SQL engine."""
+    parts = F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(parts), 1, 15), 16, 10).cast("long")
 
 
 def source_table(sizes: DataFrame, share: float = SHARE, passes: int = PASSES, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -76,7 +77,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     assert isinstance(docs.schema[source].dataType, StringType)
     sizes = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
-        order_key(F.col(doc_id), seed).alias("_h"), *keep,
+        order_key(F.col(doc_id), F.col(text), seed).alias("_h"), *keep,
     )
     sizes = materialise(sizes, "mix-sizes")
     sources = materialise(source_table(sizes, share, passes, weights), "mix-sources")
@@ -150,7 +151,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
