@@ -49,8 +49,8 @@ PERCENT = 80
 MOST_MATCHES, VERIFY_COST = 8, 4.0
 BLOCK = 1024
 SLICE = 8 << 20
-#: Bytes of input per hash range.
-RANGE_BYTES = 8 << 20
+#: Bytes of hashes per hash range.
+RANGE_BYTES = 16 << 20
 
 
 def sets(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -247,9 +247,10 @@ def _blocks(batches):
         yield pairs(out)
 
 
-def _n_ranges(df: DataFrame) -> int:
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return int(min(1 << 20, max(8, size // RANGE_BYTES)))
+def _n_ranges(members: DataFrame) -> int:
+    """So many that the hashes of one fill about ``RANGE_BYTES``, from the number of all shingles."""
+    total = members.agg(F.sum("n")).first()[0] or 0
+    return int(min(1 << 20, max(8, 8 * total // RANGE_BYTES)))
 
 
 def text_key(text: Column) -> Column:
@@ -267,8 +268,8 @@ def placed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("t"), F.col(text).alias("text"))
-    ranges = _n_ranges(docs)
     members = materialise(map_slices(rows, "text", f"doc_id {kind}, t long, n long, e long", _members, SLICE), "members")
+    ranges = _n_ranges(members)
     packed = map_slices(rows.select("text"), "text", "part int, x binary, e binary, n binary, c binary", _spread(ranges), SLICE)
     shared = packed.groupBy("part").applyInArrow(_frequencies(ranges), "part int, x binary, e binary, n binary, c binary, df binary")
     entities = materialise(shared.groupBy("part").applyInArrow(_prefixes, ENTITY), "entities")
