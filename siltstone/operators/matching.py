@@ -6,10 +6,13 @@ verified. Equal fingerprints are one representative where the verdict depends on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.functions import types as t
 from siltstone.functions.u64 import hamming64, hex64
 
 # Verdict thresholds of the lanes.
@@ -86,19 +89,41 @@ def binary_pairs(chunks: DataFrame, min_jaccard: float = BINARY_JACCARD) -> Data
     return out.select("a", "b", j.alias("jaccard")).unionByName(empty).filter(F.col("jaccard") >= min_jaccard)
 
 
+def modal_votes(ta: np.ndarray, fa: np.ndarray, tb: np.ndarray, fb: np.ndarray) -> tuple[int, int] | None:
+    """(votes, offset) of two landmark lists: the most frequent time offset (ties: the smallest) and its neighbours."""
+    order = np.argsort(fb, kind="stable")
+    tb, fb = tb[order], fb[order]
+    lo = np.searchsorted(fb, fa, "left")
+    n = np.searchsorted(fb, fa, "right") - lo
+    if not n.sum():
+        return None
+    at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+    d, v = np.unique(np.repeat(ta, n) - tb[at], return_counts=True)
+    i = int(np.argmax(v))
+    return int(v[np.abs(d - d[i]) <= 1].sum()), int(d[i])
+
+
+@F.pandas_udf(t.struct(votes=t.LONG, delta=t.LONG))
+def _votes(ta: pd.Series, fa: pd.Series, tb: pd.Series, fb: pd.Series) -> pd.DataFrame:
+    rows = [modal_votes(*(np.asarray(x, np.int64) for x in r)) or (0, None) for r in zip(ta, fa, tb, fb, strict=True)]
+    return pd.DataFrame(rows, columns=["votes", "delta"]).astype({"votes": "Int64", "delta": "Int64"})
+
+
 def audio_votes(queries: DataFrame, index: DataFrame, at_least: int = 1) -> DataFrame:
     """(query_id, id, votes, delta) of landmark rows (id, t, f), for pairs with ``at_least`` so many votes.
 
     Votes are counted per time offset; the modal offset (ties: the smallest) and its neighbours
-    within one frame add up. Counts are pre-aggregated per (id, f, t) before the join.
+    within one frame add up. Counts per band bound the votes of a pair before its landmarks meet, once a pair.
     """
-    q = queries.groupBy(F.col("id").alias("query_id"), F.col("t").alias("tq"), "f").agg(F.count("*").alias("cq"))
-    i = index.groupBy("id", F.col("t").alias("ts"), "f").agg(F.count("*").alias("ci"))
-    votes = q.join(i, "f").groupBy("query_id", "id", (F.col("tq") - F.col("ts")).alias("delta")).agg(F.sum(F.col("cq") * F.col("ci")).alias("v"))
-    pair = Window.partitionBy("query_id", "id")
-    near = F.sum("v").over(pair.orderBy("delta").rangeBetween(-1, 1))
-    ranked = votes.withColumn("votes", near).withColumn("rank", F.row_number().over(pair.orderBy(F.desc("v"), "delta")))
-    return ranked.filter((F.col("rank") == 1) & (F.col("votes") >= at_least)).select("query_id", "id", "votes", "delta")
+    count = lambda df, k, c: df.groupBy(F.col("id").alias(k), "f").agg(F.count("*").alias(c))
+    shared = count(queries, "query_id", "cq").join(count(index, "id", "ci"), "f").groupBy("query_id", "id").agg(F.sum(F.col("cq") * F.col("ci")).alias("most"))
+    pairs = shared.filter(F.col("most") >= at_least).select("query_id", "id")
+    lists = lambda df, k, x: df.groupBy(F.col("id").alias(k)).agg(F.collect_list(F.struct("t", "f")).alias("p")).select(k, F.col("p.t").alias(f"t{x}"), F.col("p.f").alias(f"f{x}"))
+    both = pairs.join(lists(queries, "query_id", "a"), "query_id").join(lists(index, "id", "b"), "id")
+    # The work is in the pairs, not in their bytes, so tasks are not merged by size.
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = both.repartition(parts, "query_id", "id").select("query_id", "id", _votes("ta", "fa", "tb", "fb").alias("v"))
+    return found.select("query_id", "id", "v.votes", F.col("v.delta").cast(dict(queries.dtypes)["t"]).alias("delta")).filter(F.col("votes") >= at_least)
 
 
 def video_score(a: Column, b: Column, most: int = FRAME_HAMMING) -> Column:

@@ -25,6 +25,7 @@ from siltstone.operators.matching import (
     binary_pairs,
     hamming_pairs,
     is_match,
+    modal_votes,
     scalar_distance,
     text_pairs,
 )
@@ -34,23 +35,10 @@ from siltstone.runtime import materialise
 VOTE_TOP = (1 << 32) - 1
 
 
-def votes_of(a: list, b: list) -> tuple[int, int] | None:
-    """(votes, offset) of two landmark lists: the most frequent time offset (ties: the smallest) and its neighbours."""
-    by: dict[int, list[int]] = {}
-    for p in b:
-        by.setdefault(p["f"], []).append(p["t"])
-    deltas = [np.asarray(by[p["f"]]) for p in a if p["f"] in by]
-    times = [p["t"] for p in a if p["f"] in by]
-    if not deltas:
-        return None
-    d, n = np.unique(np.concatenate([x - y for x, y in zip(times, deltas, strict=True)]), return_counts=True)
-    i = int(np.argmax(n))
-    return int(n[np.abs(d - d[i]) <= 1].sum()), int(d[i])
-
-
 @F.pandas_udf(t.struct(votes=t.LONG, delta=t.LONG))
 def pair_votes(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    rows = [None if x is None or y is None else votes_of(x, y) for x, y in zip(a, b, strict=True)]
+    side = lambda x: (np.array([p[k] for p in x], np.int64) for k in ("t", "f"))
+    rows = [None if x is None or y is None else modal_votes(*side(x), *side(y)) for x, y in zip(a, b, strict=True)]
     return pd.DataFrame([(0, None) if r is None else r for r in rows], columns=["votes", "delta"]).astype({"votes": "Int64", "delta": "Int64"})
 
 
