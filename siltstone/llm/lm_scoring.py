@@ -8,14 +8,15 @@ probability, and all counts cover all training documents.
 
 The network is trained by truncated backpropagation (windows of ``STEPS`` words, state carried on
 to the end of the document, whatever its length) on every training document once, in ``ROUNDS``.
-A round takes a fixed share of the rows by their hash: every partition trains a copy of the
-network on its rows, and the copies are averaged by their words into the next round's network.
+A round takes a fixed share of the rows by their hash: every task trains a copy of the network on
+its rows, and the copies are averaged by their words into the next round's network. In rounds of few
+rows a task takes several partitions.
 There is no sample: what is trained on grows with the input, repeated rows included.
 Scoring carries the state across windows in the same way.
 
 Definitions: words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; one end token
 follows; null texts are empty. Training rows of the query are those whose crc32(doc_id as text)
-mod 7 is not 2 (null ids train). Rows are scored independently, repeated rows equally. With no
+mod 7 is not 2 (null ids train). Rows are scored independently, repeated rows equally (told by two 64-bit hashes of their symbols). With no
 training rows every word is unseen.
 
 Scale: counts are summed by word after map-side counting. At most ``TOP`` of the most frequent
@@ -31,6 +32,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +53,13 @@ LINES, LEAST = 512, 48
 CHUNK = 1 << 23
 #: Each round's share of the rows, in parts of ``SHARES``, and its rate.
 SHARES, ROUNDS = 32, ((1, 0.02), (1, 0.02), (2, 0.015), (4, 0.01), (8, 0.01), (16, 0.005))
+#: Rounds of fewer shares than this go to fewer tasks, so that a copy's lines don't run out but for its longest document.
+FULL = 8
 SLICE = 8 << 20
 DISTINCT = 1 << 19
 PAD = (1 << 16) - 1
+#: Places whose class shares are made at once, so that they stay in a core's cache.
+ROWS = 2048
 #: Logits beyond this are shifted before they are exponentiated.
 SAFE = 60.0
 #: Weights are averaged as multiples of this.
@@ -119,13 +125,6 @@ def suffix(words: list[bytes]) -> np.ndarray:
     return np.fromiter((x[-1] | (x[-2] << 8 if len(x) > 1 else 0) for x in words), np.int64, len(words))
 
 
-class _Places(dict):
-    """Places of words, -1 for a word without one."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 class Vocabulary:
     """The dictionary, the classes, and the counts that probabilities need."""
 
@@ -140,7 +139,7 @@ class Vocabulary:
                 words, counts = [b"", *words], np.concatenate(([0], counts))
         self.total, self.distinct = total, distinct
         self.counts = counts.astype(np.float64)
-        self.index = _Places((x, i) for i, x in enumerate(words))
+        self.index = {x: i for i, x in enumerate(words)}
         self.head = h = min(HEAD, len(words))
         mass = np.sqrt(self.counts[:h] + 1)
         word_class = np.minimum((np.cumsum(mass) - mass) / mass.sum() * HEAD_CLASSES, HEAD_CLASSES - 1).astype(np.int32)
@@ -174,7 +173,7 @@ class Vocabulary:
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Symbols of the words and the end, dictionary places (-1: none), and the words without one."""
         words = text.split()
-        at = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
         at = np.append(at, np.int32(self.end))
         symbols = self.symbol[at]
         miss = np.flatnonzero(at < 0)
@@ -213,124 +212,149 @@ class Network:
         return out
 
     def run(self, symbols: np.ndarray, h: np.ndarray, end: int, keep: bool = False):
-        """States after each step of (steps, lines) symbols, and what backpropagation needs. An end symbol starts a document."""
+        """States after each step of (steps, lines) symbols, and what backpropagation needs. An end symbol starts a document.
+
+        Inside, a step's lines come last, so that every gate is one block of memory.
+        """
         p, n = self.p, HIDDEN
-        embedded = p["e"][symbols].reshape(-1, EMBED)
-        x = embedded @ p["w"]
-        x += p["b"]
-        x = x.reshape(*symbols.shape, 3 * n)
-        out = np.empty((*symbols.shape, n), np.float32)
-        saved, u = [], p["u"]
-        ends = symbols == end
-        some = ends.any(1)
-        for t in range(len(symbols)):
-            if some[t]:
-                h = h.copy()
-                h[ends[t]] = 0
-            g = h @ u
-            zr = g[:, : 2 * n] + x[t, :, : 2 * n]
-            np.negative(zr, out=zr)
+        steps, lines = symbols.shape
+        # The two gates of the logistic curve get their logits negated.
+        sign = np.repeat(np.array([-1, -1, 1], np.float32), n)
+        embedded = np.take(p["e"], symbols, 0)
+        x = np.matmul((p["w"] * sign).T, embedded.transpose(0, 2, 1))
+        x += (p["b"] * sign)[:, None]
+        u = np.ascontiguousarray((p["u"] * sign).T)
+        live = (symbols != end).astype(np.float32)
+        kept = steps if keep else 1
+        out, before = np.empty((steps, n, lines), np.float32), np.empty((kept, n, lines), np.float32)
+        made, d = np.empty((kept, 3 * n, lines), np.float32), np.empty((kept, n, lines), np.float32)
+        h, c = h.T, np.empty((n, lines), np.float32)
+        for t in range(steps):
+            i = t if keep else 0
+            b, g, gates, state = before[i], made[i], x[t], out[t]
+            np.multiply(h, live[t], out=b)
+            np.matmul(u, b, out=g)
+            zr, new = gates[: 2 * n], gates[2 * n :]
+            zr += g[: 2 * n]
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            z, r, gc = zr[:, :n], zr[:, n:], g[:, 2 * n :]
-            c = r * gc
-            c += x[t, :, 2 * n :]
-            np.tanh(c, out=c)
-            d = h - c
-            np.multiply(d, z, out=out[t])
-            out[t] += c
-            if keep:
-                saved.append((h, gc, z, r, c, d))
-            h = out[t]
-        return out, (symbols, embedded, ends, saved)
+            np.multiply(zr[n:], g[2 * n :], out=c)
+            new += c
+            np.tanh(new, out=new)
+            np.subtract(b, new, out=d[i])
+            np.multiply(d[i], zr[:n], out=state)
+            state += new
+            h = state
+        return out.transpose(0, 2, 1), (symbols, embedded, live, before, x, made[:, 2 * n :], d)
 
     def output(self, s: np.ndarray, target: np.ndarray, v: Vocabulary, grad: dict | None = None):
-        """Log-probabilities of target symbols given states; head words within their class, tail symbols by class."""
-        p = self.p
-        cls = v.class_of[target]
-        order = np.argsort(cls, kind="stable")
-        s, target, cls = s[order], target[order].astype(np.int64), cls[order].astype(np.int64)
-        rows = np.arange(len(s))
-
-        def shares(a: np.ndarray, w: np.ndarray, axis: int, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            # States lie between -1 and 1, so weights bound the logits.
-            if np.abs(w).sum(axis).max() + np.abs(bias).max() > SAFE:
-                a -= a.max(1, keepdims=True)
+        """Log-probabilities of target symbols given states; head words within their class, tail symbols by class.
+
+        Places are sorted by target, hence by class. A logit's derivative is its share less one at the
+        target: shares pass through products, and the ones through sums of states by target.
+        """
+        p, n = self.p, HIDDEN
+        order = np.argsort(target.astype(np.uint16), kind="stable")
+        target = target[order].astype(np.intp)
+        own = np.empty((len(s), n + 1), np.float32)
+        own[:, :n], own[:, n] = np.take(s, order, 0), 1
+        # Biases are weights of a last input that is 1.
+        wc, wo = np.concatenate((p["wc"].T, p["bc"][:, None]), 1), np.concatenate((p["wo"], p["bo"][:, None]), 1)
+        size = np.diff(v.first)
+        # A word that is alone in its class has all of its share.
+        several = np.repeat(size > 1, size)
+        logit = wc[v.class_of]
+        logit[: v.head][several] += wo[several]
+        at = np.take(logit, target, 0)
+        logp, ds = np.einsum("ij,ij->i", own, at), None if grad is None else -at[:, :n]
+
+        def shares(i: int, j: int, w: np.ndarray, shift: bool) -> np.ndarray | None:
+            part = own[i:j]
+            a = part @ w.T
+            if shift:
+                most = a.max(1)
+                a -= most[:, None]
+                logp[i:j] -= most
             np.exp(a, out=a)
-            return a, a.sum(1)
-
-        a = s @ p["wc"]
-        a += p["bc"]
-        a, total = shares(a, p["wc"], 0, p["bc"])
-        logp = np.log(np.maximum(a[rows, cls], 1e-37) / total)
-        ds = None
-        if grad is not None:
-            a *= (1 / total)[:, None]
-            a[rows, cls] -= 1
-            grad["wc"], grad["bc"] = s.T @ a, a.sum(0)
-            ds = a @ p["wc"].T
-            grad["wo"], grad["bo"] = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
-        cut = np.searchsorted(cls, np.arange(HEAD_CLASSES + 1))
-        for k in range(HEAD_CLASSES):
-            i, j, lo, hi = cut[k], cut[k + 1], v.first[k], v.first[k + 1]
-            if i == j or hi - lo < 2:
-                continue
-            w, own = p["wo"][lo:hi], s[i:j]
-            b = own @ w.T
-            b += p["bo"][lo:hi]
-            b, total = shares(b, w, 1, p["bo"][lo:hi])
-            word, line = target[i:j] - lo, rows[: j - i]
-            logp[i:j] += np.log(np.maximum(b[line, word], 1e-37) / total)
-            if grad is not None:
-                b *= (1 / total)[:, None]
-                b[line, word] -= 1
-                grad["wo"][lo:hi], grad["bo"][lo:hi] = b.T @ own, b.sum(0)
-                ds[i:j] += b @ w
+            total = a @ np.ones(len(w), np.float32)
+            logp[i:j] -= np.log(total)
+            if grad is None:
+                return None
+            np.reciprocal(total, out=total)
+            down = a @ w[:, :n]
+            down *= total[:, None]
+            ds[i:j] += down
+            return a.T @ (part * total[:, None])
+
+        # States lie between -1 and 1, so weights bound the logits.
+        shift = np.abs(wc).sum(1).max() > SAFE
+        by_class = [shares(i, min(i + ROWS, len(s)), wc, shift) for i in range(0, len(s), ROWS)]
+        shift, words = np.abs(wo).sum(1).max() > SAFE, np.zeros_like(wo)
+        cut = np.searchsorted(target, v.first).tolist()
+        for i, j, lo, hi in zip(cut[:-1], cut[1:], v.first[:-1].tolist(), v.first[1:].tolist(), strict=True):
+            if i < j and hi - lo > 1:
+                expected = shares(i, j, wo[lo:hi], shift)
+                if grad is not None:
+                    words[lo:hi] = expected
         out = np.empty_like(logp)
         out[order] = logp
-        if ds is None:
+        if grad is None:
             return out, None
+        first = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1])))
+        seen, one = np.add.reduceat(own, first, axis=0), target[first]
+        head = one < v.head
+        words[one[head]] -= seen[head]
+        words[: v.head][~several] = 0
+        cls = v.class_of[one]
+        first = np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1])))
+        classes = sum(by_class[1:], by_class[0])
+        classes[cls[first]] -= np.add.reduceat(seen, first, axis=0)
+        grad["wc"], grad["bc"], grad["wo"], grad["bo"] = classes[:, :n].T, classes[:, n], words[:, :n], words[:, n]
         full = np.empty_like(ds)
         full[order] = ds
         return out, full
 
     def backward(self, made: tuple, ds: np.ndarray, grad: dict) -> None:
-        """Gradients of the cell and the embedding, given those of the states."""
+        """Gradients of the cell and the embedding, given those of the states.
+
+        All of a step's gradients are multiples of its state's: their factors are made for the whole window.
+        """
         p, n = self.p, HIDDEN
-        symbols, embedded, ends, saved = made
-        dx, dg = np.empty((*symbols.shape, 3 * n), np.float32), np.empty((*symbols.shape, 3 * n), np.float32)
-        before = np.empty(ds.shape, np.float32)
-        dh = np.zeros(ds.shape[1:], np.float32)
-        ut = np.ascontiguousarray(p["u"].T)
-        some = ends.any(1)
-        for t in range(len(symbols) - 1, -1, -1):
-            h, gc, z, r, c, d = saved[t]
-            before[t] = h
-            x, g = dx[t], dg[t]
+        symbols, embedded, live, before, x, gc, d = made
+        z, r, c = x[:, :n], x[:, n : 2 * n], x[:, 2 * n :]
+        steps, lines = symbols.shape
+        # Candidate, both gates, and the candidate's share of the state before.
+        f = np.empty((steps, 4, n, lines), np.float32)
+        np.multiply(c, c, out=f[:, 0])
+        np.subtract(1, f[:, 0], out=f[:, 0])
+        rest = 1 - z
+        f[:, 0] *= rest
+        np.multiply(rest, z, out=f[:, 1])
+        f[:, 1] *= d
+        np.multiply(f[:, 0], r, out=f[:, 3])
+        np.subtract(1, r, out=rest)
+        rest *= gc
+        np.multiply(f[:, 3], rest, out=f[:, 2])
+        flat = f.reshape(steps, 4 * n, lines)
+        ds = np.ascontiguousarray(ds.transpose(0, 2, 1))
+        dh, back, u = np.zeros((n, lines), np.float32), np.empty((n, lines), np.float32), p["u"]
+        for t in range(steps - 1, -1, -1):
             dh += ds[t]
-            dhz = dh * z
-            dc = dh - dhz
-            dc *= 1 - c * c
-            dz = dhz * d
-            dz *= 1 - z
-            dr = dc * gc
-            g[:, 2 * n :] = dc * r
-            dr *= r
-            dr *= 1 - r
-            x[:, :n], x[:, n : 2 * n], x[:, 2 * n :] = dz, dr, dc
-            g[:, : 2 * n] = x[:, : 2 * n]
-            dh = g @ ut
-            dh += dhz
-            if some[t]:
-                dh[ends[t]] = 0
-        flat = dx.reshape(-1, 3 * n)
-        grad["u"], grad["b"], grad["w"] = before.reshape(-1, n).T @ dg.reshape(-1, 3 * n), flat.sum(0), embedded.T @ flat
-        de, one = flat @ p["w"].T, symbols.ravel()
+            f[t] *= dh
+            np.matmul(u, flat[t, n:], out=back)
+            dh *= z[t]
+            dh += back
+            dh *= live[t]
+        dx, own = flat[:, : 3 * n].transpose(0, 2, 1), np.r_[n : 3 * n, :n]
+        grad["u"] = np.matmul(before, flat[:, n:].transpose(0, 2, 1)).sum(0)
+        grad["w"] = np.matmul(embedded.transpose(0, 2, 1), dx).sum(0)[:, own]
+        grad["b"] = flat[:, : 3 * n].sum(2).sum(0)[own]
+        de, one = np.matmul(dx, np.roll(p["w"], n, 1).T).reshape(-1, EMBED), symbols.ravel().astype(np.uint16)
         order = np.argsort(one, kind="stable")
         one = one[order]
         first = np.flatnonzero(np.concatenate(([True], one[1:] != one[:-1])))
-        grad["e"] = (one[first], np.add.reduceat(de[order], first, axis=0))
+        grad["e"] = (one[first], np.add.reduceat(np.take(de, order, 0), first, axis=0))
 
 
 class Adam:
@@ -343,11 +367,22 @@ class Adam:
 
     def step(self, grad: dict, words: int, rate: float) -> None:
         for k, g in grad.items():
-            rows, g = g if isinstance(g, tuple) else (slice(None), g)
+            rows, g = g if isinstance(g, tuple) else (None, g)
+            w, m, s = (x[k] if rows is None else x[k][rows] for x in (self.net.p, self.m, self.s2))
             g = g * np.float32(8 / words)
-            self.m[k][rows] = m = np.float32(0.9) * self.m[k][rows] + np.float32(0.1) * g
-            self.s2[k][rows] = s = np.float32(0.99) * self.s2[k][rows] + np.float32(0.01) * g * g
-            self.net.p[k][rows] -= np.float32(rate) * m / (np.sqrt(s) + np.float32(1e-6))
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            g *= g
+            g *= np.float32(0.01)
+            s *= np.float32(0.99)
+            s += g
+            np.sqrt(s, out=g)
+            g += np.float32(1e-6)
+            np.divide(m, g, out=g)
+            g *= np.float32(rate)
+            w -= g
+            if rows is not None:
+                self.net.p[k][rows], self.m[k][rows], self.s2[k][rows] = w, m, s
 
 
 def pack(docs: list[np.ndarray], end: int, lines: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
@@ -433,7 +468,7 @@ def score_documents(docs: list[np.ndarray], net: Network, v: Vocabulary) -> np.n
     h = np.zeros((grid.shape[1], HIDDEN), np.float32)
     for a, live, inputs, target, some in windows(grid, size, v.end):
         states, _ = net.run(inputs, h[:live], v.end)
-        h = states[-1]
+        h = states[-1].copy()
         flat, x = states.reshape(-1, HIDDEN), np.zeros(target.size, np.float32)
         at = slice(None) if some is None else some
         x[at] = net.output(flat[at], target[at], v)[0]
@@ -452,6 +487,7 @@ def train_all(encoded: DataFrame, v: Vocabulary, vocabulary) -> tuple[Network, i
     """The network after all rounds over the rows of (symbols), and the number of words it was trained on."""
     spark, net, words = encoded.sparkSession, Network(v), 0
     share, lo = F.pmod(F.xxhash64(F.lit(3), "symbols"), F.lit(SHARES)), 0
+    partitions = encoded.rdd.getNumPartitions()
     for parts, rate in ROUNDS:
         start = spark.sparkContext.broadcast(net)
 
@@ -466,6 +502,8 @@ def train_all(encoded: DataFrame, v: Vocabulary, vocabulary) -> tuple[Network, i
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(w), dtype=np.int32)), pa.array(np.append(0, hi)), pa.array(np.append(n, lo))], names=["i", "hi", "lo"])
 
         rows = encoded.filter((share >= lo) & (share < lo + parts)).select("symbols")
+        if parts < FULL:
+            rows = rows.coalesce(max(1, -(-partitions * parts // FULL)))
         # Sums of whole numbers: the order in which copies arrive doesn't show.
         made = rows.mapInArrow(train, "i int, hi long, lo long").groupBy("i").agg(F.sum("hi").alias("hi"), F.sum("lo").alias("lo")).toArrow().sort_by("i")
         if made.num_rows:
@@ -525,8 +563,9 @@ def lm_score(docs: DataFrame, learn: Column | DataFrame | None = None, text: str
     counts = materialise(count_words(train), "counts")
     v = vocabulary_of(counts)
     vocabulary = spark.sparkContext.broadcast(v)
+    key = ["_k", "_l"]
     rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, flag.alias("_learn"), F.col(text).alias("_text"))
-    encoded = materialise(encode(rows, vocabulary).withColumn("_row", F.monotonically_increasing_id()), "encoded")
+    encoded = materialise(encode(rows, vocabulary).withColumn("_row", F.monotonically_increasing_id()).withColumns({"_k": F.xxhash64("symbols"), "_l": F.xxhash64(F.lit(3), "symbols")}), "encoded")
     taught = materialise(encode(train.withColumnRenamed("text", "_text"), vocabulary).select("symbols"), "taught") if other else encoded.filter("_learn")
     net, _ = train_all(taught.select("symbols"), v, vocabulary)
     release(taught)
@@ -536,13 +575,14 @@ def lm_score(docs: DataFrame, learn: Column | DataFrame | None = None, text: str
         v, net = vocabulary.value, network.value
         for part in _gather(batches):
             own = score_documents([d for b in part for d in _symbols(b)], net, v)
-            rows = pa.concat_arrays([b["_row"] for b in part])
-            yield pa.RecordBatch.from_arrays([rows, pa.array(own)], names=["_row", "own"])
+            yield pa.RecordBatch.from_arrays([*(pa.concat_arrays([b[c] for b in part]) for c in key), pa.array(own)], names=[*key, "own"])
 
-    own = encoded.select("_row", "symbols").mapInArrow(score, "_row long, own double")
+    # Products round by where a line stands, so equal rows take one of their scores.
+    scored = encoded.select(*key, "symbols").mapInArrow(score, "_k long, _l long, own double").groupBy(*key).agg(F.min("own").alias("own"))
+    own = encoded.select("_row", *key).join(scored.hint("merge"), key).select("_row", "own")
     words = encoded.select("_row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("_row", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
     rare = words.join(counts.hint("merge"), "word").groupBy("_row").agg(F.sum(F.col("times") * F.log(F.col("c") + 1.0)).alias("rare"), F.sum("times").alias("known"))
-    out = encoded.drop("symbols", "rest", "times").join(own, "_row", "left").join(rare, "_row", "left")
+    out = encoded.drop("symbols", "rest", "times", *key).join(own, "_row", "left").join(rare, "_row", "left")
     ten = float(np.log(10.0))
     extra = F.coalesce("rare", F.lit(0.0))
     # c > 0 for every word of the dictionary, except an end token that was never seen.

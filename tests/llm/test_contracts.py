@@ -552,6 +552,50 @@ def test_language_model_trains_on_every_document(spark, monkeypatch):
     assert with_it > lm_scoring.lm_score(test, full).first().score
 
 
+def test_rounds_of_few_rows_fill_their_copies(spark, monkeypatch):
+    """A round of few shares trains fewer copies, on more rows each, and still on every row."""
+    words = [b"", *(f"w{i}".encode() for i in range(50))]
+    v = _vocabulary(words, np.arange(120, 120 - len(words), -1))
+    rng = np.random.default_rng(4)
+    docs = [np.append(rng.integers(1, v.head, 9), v.end).astype(np.uint16) for _ in range(640)]
+    encoded = spark.createDataFrame([(bytearray(d.tobytes()),) for d in docs], "symbols binary").repartition(16).localCheckpoint()
+    copies, real = [], type(encoded).mapInArrow
+    monkeypatch.setattr(type(encoded), "mapInArrow", lambda df, *a: copies.append(df.rdd.getNumPartitions()) or real(df, *a))
+    _, n = lm_scoring.train_all(encoded, v, spark.sparkContext.broadcast(v))
+    assert copies == [2, 2, 4, 8, 16, 16] and n == 6400
+
+
+def test_repeated_rows_have_one_score(spark):
+    rng = np.random.default_rng(6)
+    text = lambda n: " ".join(f"w{i}" for i in rng.zipf(1.3, n) % 400)
+    same = text(300)
+    docs = spark.createDataFrame([(i, same if i % 3 else text(50 + 7 * i)) for i in range(120)], "doc_id long, text string").repartition(5)
+    got = lm_scoring.lm_score(docs).collect()
+    assert len(got) == 120 and len({r.score for r in got if r.doc_id % 3}) == 1 and len({r.score for r in got}) == 41
+
+
+@pytest.mark.parametrize("scale", [1, 40])
+def test_language_model_equals_plain_softmaxes(scale):
+    """Shares of classes and of words in them, for small weights and for those whose logits have to be shifted."""
+    words = [b"", *(f"w{i}".encode() for i in range(50))]
+    v = _vocabulary(words, np.arange(120, 120 - len(words), -1))
+    net, rng = lm_scoring.Network(v), np.random.default_rng(3)
+    for k in ("wc", "bc", "wo", "bo"):
+        net.p[k] += scale * rng.normal(0, 0.5, net.p[k].shape).astype(np.float32)
+    s, target = rng.uniform(-1, 1, (3000, lm_scoring.HIDDEN)).astype(np.float32), rng.integers(0, v.symbols, 3000).astype(np.uint16)
+    p = {k: x.astype(np.float64) for k, x in net.p.items()}
+    share = lambda a: a - a.max() - np.log(np.exp(a - a.max()).sum())
+    got, ds = net.output(s, target, v, {})
+    assert np.array_equal(got, net.output(s, target, v)[0]) and np.isfinite(ds).all()
+    for x, t, g in zip(s[:300].astype(np.float64), target.tolist(), got.tolist(), strict=False):
+        k = int(v.class_of[t])
+        want = share(x @ p["wc"] + p["bc"])[k]
+        if t < v.head:
+            lo, hi = v.first[k : k + 2]
+            want += share(p["wo"][lo:hi] @ x + p["bo"][lo:hi])[t - lo]
+        assert abs(want - g) < 1e-4 * max(1, abs(want))
+
+
 def test_a_weak_opening_does_not_hide_the_rest_of_a_diagonal(spark):
     item = [f"w{i}" for i in range(80)]
     bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
